@@ -9,6 +9,7 @@ from quillspark.llm.cluster import cut, fresh_name
 from quillspark.llm.columns import ascii_lower, strip_white, text_key
 
 KEY = ["h0", "h1"]
+UNION_SHORTCUT = "spark.sql.unionOutputPartitioning"
 
 
 class LevelledRuns:
@@ -102,7 +103,17 @@ def repeated_keys(docs: DataFrame, min_chars: int, min_docs: int, batches: int,
         above = doc > edges[k] if k < len(edges) else F.lit(True)
         below = doc <= edges[k - 1] if k else F.lit(True)
         ranges.append(above & below if k < len(edges) else F.coalesce(below, F.lit(True)))
-    runs = LevelledRuns(spark, fanout)
+    # Spark 4.1 gives wrong rows where a union of bucketed tables keeps their partitioning
+    # but reads them unbucketed, so that shortcut is off while runs are joined.
+    before = spark.conf.get(UNION_SHORTCUT, None)
+    spark.conf.set(UNION_SHORTCUT, "false")
+    try:
+        return _collect_runs(docs, ranges, LevelledRuns(spark, fanout), min_chars, min_docs)
+    finally:
+        spark.conf.unset(UNION_SHORTCUT) if before is None else spark.conf.set(UNION_SHORTCUT, before)
+
+
+def _collect_runs(docs: DataFrame, ranges: list[Column], runs: LevelledRuns, min_chars: int, min_docs: int) -> DataFrame:
     for among in ranges:  # from the largest ids down: the first to bring a key owns it
         long_lines = F.filter(_lines(F.col("text")), lambda x: F.length(strip_white(x)) >= min_chars)
         keys = docs.filter(among).select("doc_id", F.explode(F.array_distinct(F.transform(long_lines, _hashed))).alias("k"))
