@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import line_runs, simhash, suffix_array, suffix_trees, url_cascade
+from quillspark.llm import compression, jpeg, line_runs, packing, personal_data, simhash, suffix_array, suffix_trees, tiling, url_cascade
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 RULES = [
     url_cascade.Rule("org", "/", "allow"),
     url_cascade.Rule("example.org", "/es/", "block"),
@@ -38,6 +40,30 @@ def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op4_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return compression.score(docs, compression.train_on(docs, _table(spark, sf_dir, "labels")))
+
+
+def op5_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), TOKENIZER, with_ids=False).drop("ids")
+
+
+def op7_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.read_media(jpeg.store_texts(_table(spark, sf_dir, "documents")), with_rgb=False).drop("height", "width", "rgb")
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find_personal_data(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["rank"] < len(personal_data.BASE))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["rank"] == k)).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(personal_data.BASE)]
+    return found.select("doc_id", *counts, F.sha2(personal_data.named(base), 256).alias("base_sha256"), personal_data.named(F.col("spans")).alias("spans"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     thinned = line_runs.dedup_lines(_table(spark, sf_dir, "documents"))
     return thinned.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -48,7 +74,8 @@ def op10_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_cascade, op2_simhash, op3_suffix_array, op9_line_dedup, op10_suffix_trees)}
+    operators = (op1_url_cascade, op2_simhash, op3_suffix_array, op4_compression, op5_tiling, op6_packing, op7_jpeg, op8_personal_data, op9_line_dedup, op10_suffix_trees)
+    return {f.__name__: f for f in operators}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import defaultdict
 
 import xxhash
@@ -71,3 +72,26 @@ def simhash(docs: list[tuple[int, str | None]], width: int = 3) -> list[tuple]:
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
     return sorted((d, f"{f:016x}", root(d)) for d, f in prints)
+
+
+def personal_data(text: str | None) -> list[tuple[int, int, str, int]]:
+    """(start, rank, kind, end) of the base kinds, by the plain patterns."""
+    text, out = text or "", []
+
+    def luhn(digits: str) -> bool:
+        total = 0
+        for k, d in enumerate(reversed(digits)):
+            d = int(d) * (1 + k % 2)
+            total += d - 9 * (d > 9)
+        return total % 10 == 0
+
+    only = lambda s: re.sub("[^0-9]", "", s)
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 12 <= len(only(s)) <= 19 and luhn(only(s))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(only(s)) <= 15),
+    ]
+    for rank, (kind, pattern, valid) in enumerate(kinds):
+        out += [(m.start(), rank, kind, m.end()) for m in re.finditer(pattern, text) if valid(m.group())]
+    return sorted(out)
