@@ -7,7 +7,6 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -62,7 +61,6 @@ class Encoder:
         return np.frombuffer(b"".join(map(known.__getitem__, parts)) + self.end, np.uint32)
 
 
-@cache
 def combinations(slots: int = SLOTS, depth: int = 3) -> np.ndarray:
     """Columns of counts: the ways to fill ``slots`` with at most ``depth`` lengths of 1 to ``slots``."""
     found: list[tuple[int, ...]] = []
@@ -114,7 +112,7 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
     return x
 
 
-def pack(lengths: list[int], window: int) -> Iterator[list[tuple[int, int, int]]]:
+def pack(lengths: list[int], window: int, ways: np.ndarray | None = None) -> Iterator[list[tuple[int, int, int]]]:
     """Sequences of pieces (document, start, length), at most ``window`` together.
 
     Full windows are cut off first. The remainders are counted in classes of window / 128
@@ -132,7 +130,7 @@ def pack(lengths: list[int], window: int) -> Iterator[list[tuple[int, int, int]]
             start += window
         if n > start:
             classes[int(np.ceil((n - start) / unit)) - 1].append((document, start, n - start))
-    a = combinations(slots)
+    a = combinations(slots) if ways is None else ways
     repeats = nnls(a, np.array([len(c) for c in classes], float))
     filled: list[list[tuple[int, int, int]]] = []
     for k in np.argsort(-repeats, kind="stable"):
@@ -177,6 +175,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder.of_process(tokenizer, end_id)
+        ways = combinations(min(SLOTS, window))
         partition = TaskContext.get().partitionId()
 
         def groups() -> Iterator[list[tuple[int, np.ndarray]]]:
@@ -194,7 +193,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
         def rows() -> Iterator[tuple]:
             sequence_id = partition << 40
             for group in groups():
-                for sequence in pack([len(ids) for _, ids in group], window):
+                for sequence in pack([len(ids) for _, ids in group], window, ways):
                     offset = 0
                     for document, start, n in sequence:
                         doc, ids = group[document]

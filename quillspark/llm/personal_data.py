@@ -113,27 +113,35 @@ def _value_check(kind: str, value: Column) -> Column:
     return _valid(kind, value)
 
 
+def _label(text: Column, rank: int, s: Column) -> Column:
+    """A span with the labelers' votes."""
+    kind = KINDS[rank]
+    before = F.lower(F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT))))
+    votes = [
+        s["value"].rlike(STRICT[kind]), s["value"].rlike(GAZETTEER[kind]),
+        before.rlike(r"(?:^|[^\p{L}])(?:" + CUES[kind] + r")[^\p{L}]*$"), _value_check(kind, s["value"]),
+    ]
+    return F.struct(
+        s["start"].alias("start"), F.lit(rank).alias("rank"), s["stop"].alias("stop"),
+        *[v.cast("int").alias(name) for name, v in zip(LABELERS, votes, strict=True)],
+        F.least(F.floor(F.log2(F.length(s["value"]))), F.lit(7)).cast("int").alias("size"),
+    )
+
+
+def _proposed(text: Column, rank: int) -> Column:
+    """The spans of one kind that pass its check, labelled."""
+    kind = KINDS[rank]
+    spans = _spans(text, BASE.get(kind) or ADDED[kind])
+    return F.transform(F.filter(spans, lambda s: _valid(kind, s["value"])), lambda s: _label(text, rank, s))
+
+
 def _candidates(text: Column) -> Column:
-    """All proposed spans of a text as structs (start, rank, stop, votes, length class)."""
-    every = []
-    for rank, kind in enumerate(KINDS):
-        pattern = BASE.get(kind) or ADDED[kind]
-        spans = F.filter(_spans(text, pattern), lambda s, kind=kind: _valid(kind, s["value"]))
-
-        def label(s: Column, rank: int = rank, kind: str = kind) -> Column:
-            before = F.lower(F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT))))
-            votes = [
-                s["value"].rlike(STRICT[kind]), s["value"].rlike(GAZETTEER[kind]),
-                before.rlike(r"(?:^|[^\p{L}])(?:" + CUES[kind] + r")[^\p{L}]*$"), _value_check(kind, s["value"]),
-            ]
-            return F.struct(
-                s["start"].alias("start"), F.lit(rank).alias("rank"), s["stop"].alias("stop"),
-                *[v.cast("int").alias(name) for name, v in zip(LABELERS, votes, strict=True)],
-                F.least(F.floor(F.log2(F.length(s["value"]))), F.lit(7)).cast("int").alias("size"),
-            )
-
-        every.append(F.transform(spans, label))
-    return F.array_sort(F.concat(*every))
+    """All proposed spans of a text as structs (start, rank, stop, votes, size), in this order."""
+    return F.array_sort(F.concat(*(_proposed(text, rank) for rank in range(len(KINDS)))))
+
+
+def of_kind(spans: Column, rank: int) -> Column:
+    return F.filter(spans, lambda s: s["rank"] == rank)
 
 
 @dataclass(frozen=True)

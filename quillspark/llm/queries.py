@@ -60,7 +60,7 @@ def op7_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data.find_personal_data(_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["rank"] < len(personal_data.BASE))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["rank"] == k)).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(personal_data.BASE)]
+    counts = [F.size(personal_data.of_kind(F.col("spans"), k)).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(personal_data.BASE)]
     return found.select("doc_id", *counts, F.sha2(personal_data.named(base), 256).alias("base_sha256"), personal_data.named(F.col("spans")).alias("spans"))
 
 
