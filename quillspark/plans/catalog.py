@@ -1,9 +1,353 @@
-"""Registered queries."""
+"""Registered queries over the given tables, each with its DuckDB counterpart."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-def oracle_sql():
-    return {}
+from quillspark import schema
+from quillspark.functions import reltime, text
+from quillspark.operators import changelog, lookup, search, store, views
+from quillspark.plans import notes as bind
+from quillspark.sources import codec
+
+CURRENT = "17"
+STALE = "no-such-note"
+
+#: SQL of the notes collection, and of what a row is reported as.
+_NOTES = r"""
+    n AS (SELECT CAST(doc_id AS VARCHAR) AS id, 'Doc ' || doc_id || ' ' || lang AS title,
+        chr(10) || ' ' || chr(10) || '## **' || lang || '** *n* `c` [<' || source || '>](http://x/' || source || ') ' || text AS markdown_content,
+        source AS folder_id, [lang, source] AS tags, epoch_ms(TIMESTAMP '2024-01-01 00:00:00') + doc_id * 3600000 AS ms,
+        'local-user' AS owner_id, doc_id AS position FROM documents)"""
+_ROW = "id, title, sha256(markdown_content) AS body_sha256, folder_id, array_to_string(tags, ',') AS tags, {created} AS created_ms, {updated} AS updated_ms, owner_id, position"
+_REPORT = _ROW.format(created="ms", updated="ms")
+_NOW_MS = f"epoch_ms(TIMESTAMP '{bind.NOW}')"
+
+
+def _report(notes: DataFrame) -> DataFrame:
+    """Notes with bodies as digests, tags joined and moments in milliseconds."""
+    return notes.select(
+        "id", "title", F.sha2("markdown_content", 256).alias("body_sha256"), "folder_id", F.array_join("tags", ",").alias("tags"),
+        F.unix_millis("created_at").alias("created_ms"), F.unix_millis("updated_at").alias("updated_ms"), "owner_id", "position",
+    )
+
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        _queries[f.__name__] = f
+        if sql is not None:
+            _sql[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+# ---- scans and codec -----------------------------------------------------------------------
+
+
+@_query(f"WITH {_NOTES} SELECT {_REPORT} FROM n")
+def scan_notes(spark, sf_dir):
+    return _report(bind.notes(spark, sf_dir))
+
+
+@_query("SELECT source AS id, source AS name, min(doc_id) AS position FROM documents GROUP BY source")
+def scan_folders(spark, sf_dir):
+    return bind.folders(spark, sf_dir).select("id", "name", "position")
+
+
+@_query("SELECT lang AS id, lang AS name, '#3b82f6' AS color, min(doc_id) AS position FROM documents GROUP BY lang")
+def scan_tags(spark, sf_dir):
+    return bind.tags(spark, sf_dir).select("id", "name", "color", "position")
+
+
+@_query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_valid(props) AND json_type(props) = 'OBJECT'")
+def json_decode(spark, sf_dir):
+    """Each event's properties as a stored collection of one (an object counts as one item)."""
+    items = codec.decode(F.col("props"), T.StructType([T.StructField("k", T.LongType())]))
+    return bind.table(spark, sf_dir, "events").select("event_id", F.explode(items).alias("item")).select("event_id", F.col("item.k").alias("k"))
+
+
+@_query(f"WITH {_NOTES} SELECT {_REPORT.replace('position', '0 AS position')} FROM n")
+def json_round_trip(spark, sf_dir):
+    """Every note encoded as stored JSON and decoded again."""
+    return _report(codec.decode_notes(codec.encode_each(bind.notes(spark, sf_dir))))
+
+
+# ---- filters, lookups, lists ---------------------------------------------------------------
+
+
+@_query(f"WITH {_NOTES} SELECT {_REPORT} FROM n WHERE id = '{CURRENT}' ORDER BY position LIMIT 1")
+def note_by_id(spark, sf_dir):
+    return _report(views.by_id(bind.notes(spark, sf_dir), CURRENT))
+
+
+@_query(f"WITH {_NOTES} SELECT coalesce(min(position), -1) AS position FROM n WHERE id = '{CURRENT}'")
+def note_index(spark, sf_dir):
+    return views.index_of(bind.notes(spark, sf_dir), CURRENT)
+
+
+@_query(f"WITH {_NOTES} SELECT {_REPORT} FROM n WHERE contains(lower(title), 'the') OR contains(lower(markdown_content), 'the') OR len(list_filter(tags, lambda x: contains(lower(x), 'the'))) > 0")
+def search_notes(spark, sf_dir):
+    return _report(search.by_all(bind.notes(spark, sf_dir), "The"))
+
+
+@_query(f"WITH {_NOTES} SELECT {_REPORT} FROM n WHERE contains(lower(title), 'thea') OR contains(lower(markdown_content), 'thea')")
+def search_sidebar(spark, sf_dir):
+    found = search.by_title_or_body(bind.notes(spark, sf_dir), "THEA")
+    return _report(found)
+
+
+@_query(f"WITH {_NOTES} SELECT {_REPORT} FROM n WHERE len(list_filter(tags, lambda x: contains(lower(x), 'en'))) > 0")
+def search_by_tag(spark, sf_dir):
+    return _report(search.by_tag(bind.notes(spark, sf_dir), "EN"))
+
+
+_LINES = r"list_filter(string_split(trim(regexp_replace(replace(replace(replace(regexp_replace(markdown_content, '(?m)^#+ ', '', 'g'), '**', ''), '*', ''), '`', ''), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), ' ' || chr(9) || chr(10) || chr(13)), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '')"
+_PREVIEW = f"(SELECT CASE WHEN length(l) > 60 THEN substring(l, 1, 60) || '...' ELSE l END FROM (SELECT coalesce(({_LINES})[1], '') AS l))"
+_DAYS = f"CAST(floor(({_NOW_MS} - ms) / 86400000.0) AS BIGINT)"
+_LABEL = f"CASE WHEN {_DAYS} = 0 THEN 'Today' WHEN {_DAYS} = 1 THEN 'Yesterday' WHEN {_DAYS} < 7 THEN {_DAYS} || ' days ago' ELSE strftime(make_timestamp(ms * 1000), '%b %-d') END"
+
+
+@_query(f"WITH {_NOTES} SELECT id, title, {_PREVIEW} AS preview, {_LABEL} AS label, id = '{CURRENT}' AS active, position FROM n")
+def list_view(spark, sf_dir):
+    return views.list_view(bind.notes(spark, sf_dir), bind.now(), CURRENT)
+
+
+@_query(f"WITH {_NOTES} SELECT id, {_PREVIEW} AS preview FROM n")
+def note_preview(spark, sf_dir):
+    return bind.notes(spark, sf_dir).select("id", text.preview(F.col("markdown_content")).alias("preview"))
+
+
+@_query(f"WITH {_NOTES} SELECT id, {_DAYS} AS days, {_LABEL} AS label FROM n")
+def relative_date(spark, sf_dir):
+    at = F.col("updated_at")
+    return bind.notes(spark, sf_dir).select("id", reltime.days_between(at, bind.now()).alias("days"), reltime.label(at, bind.now()).alias("label"))
+
+
+@_query(f"WITH {_NOTES} SELECT {_REPORT} FROM n ORDER BY position LIMIT 10")
+def recent_10(spark, sf_dir):
+    return _report(views.recent(bind.notes(spark, sf_dir)))
+
+
+@_query(f"WITH {_NOTES} SELECT {_REPORT} FROM n ORDER BY position LIMIT 1")
+def init_or_first(spark, sf_dir):
+    """The first note; a new one if there is none."""
+    notes = bind.notes(spark, sf_dir)
+    return _report(store.reselect(notes, "", "", "new", bind.now()))
+
+
+def _pointer(spark: SparkSession, value: str) -> DataFrame:
+    return spark.range(1).select(F.lit(value).alias("id"))
+
+
+@_query(f"WITH {_NOTES} SELECT {_REPORT} FROM n WHERE id = '{CURRENT}'")
+def current_note(spark, sf_dir):
+    return _report(views.current_or_first(bind.notes(spark, sf_dir), _pointer(spark, CURRENT)))
+
+
+@_query(f"WITH {_NOTES} SELECT {_REPORT} FROM n ORDER BY position LIMIT 1")
+def current_note_stale(spark, sf_dir):
+    return _report(views.current_or_first(bind.notes(spark, sf_dir), _pointer(spark, STALE)))
+
+
+@_query("SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN NULL ELSE source END, ''), 'Notes') AS title FROM documents")
+def display_title(spark, sf_dir):
+    """A fallback for empty and missing titles, which every third document is given in turn."""
+    given = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, F.lit(None)).otherwise(F.col("source"))
+    return bind.table(spark, sf_dir, "documents").select("doc_id", text.or_default(given, schema.APP_TITLE).alias("title"))
+
+
+@_query("SELECT event_id, CASE event_type WHEN 'click' THEN 'Saving...' WHEN 'purchase' THEN 'Unsaved' WHEN 'view' THEN 'Saved' END AS status FROM events")
+def save_status(spark, sf_dir):
+    names = F.create_map(*map(F.lit, ("click", "saving", "purchase", "unsaved", "view", "saved")))
+    return bind.table(spark, sf_dir, "events").select("event_id", views.status_text(F.coalesce(F.element_at(names, F.col("event_type")), F.lit(""))).alias("status"))
+
+
+@_query("SELECT doc_id, 100 - coalesce(quality * 40, 0) AS left_over FROM documents LEFT JOIN labels USING (doc_id)")
+def progress_offset(spark, sf_dir):
+    labels = bind.table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return bind.table(spark, sf_dir, "documents").select("doc_id").join(labels, "doc_id", "left").select("doc_id", views.percent_left(F.col("quality") * 40).alias("left_over"))
+
+
+@_query("SELECT count(*) AS n FROM documents")
+def note_count(spark, sf_dir):
+    return bind.notes(spark, sf_dir).agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {_NOTES} SELECT count(*) = 0 AS empty, CASE WHEN count(*) = 0 THEN 'No notes found' END AS message FROM n WHERE contains(lower(title), 'no such title')")
+def empty_state(spark, sf_dir):
+    notes = bind.notes(spark, sf_dir)
+    return views.empty_state(notes.filter(text.contains_ci(F.col("title"), "No such title")), "No such title")
+
+
+# ---- changes -------------------------------------------------------------------------------
+
+_NEW = f"SELECT '{{id}}' AS id, 'Untitled Note' AS title, sha256('# New note' || chr(10) || chr(10) || 'Write here.') AS body_sha256, NULL AS folder_id, '' AS tags, {_NOW_MS} AS created_ms, {_NOW_MS} AS updated_ms, 'local-user' AS owner_id, {{position}} AS position"
+
+
+@_query(f"WITH {_NOTES} SELECT {_REPORT} FROM n UNION ALL SELECT * FROM ({_NEW.format(id='new', position='(SELECT min(position) - 1 FROM n)')})")
+def create_note(spark, sf_dir):
+    return _report(store.create_note(bind.notes(spark, sf_dir), "new", bind.now()))
+
+
+_MARKED = "(SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id FROM labels WHERE quality = 1)"
+
+
+@_query(f"WITH {_NOTES}, p AS {_MARKED} SELECT n.id, CASE WHEN p.id IS NULL THEN title ELSE 'Checked ' || n.id END AS title, sha256(markdown_content) AS body_sha256, CASE WHEN p.id IS NULL THEN folder_id END AS folder_id, array_to_string(tags, ',') AS tags, ms AS created_ms, CASE WHEN p.id IS NULL THEN ms ELSE {_NOW_MS} END AS updated_ms, owner_id, position FROM n LEFT JOIN p ON n.id = p.id")
+def update_note(spark, sf_dir):
+    """New titles for the documents labelled as good, and no folder."""
+    patches = bind.marked_ids(spark, sf_dir).select(
+        "id", F.array(F.lit("title"), F.lit("folder_id")).alias("set_mask"), F.concat(F.lit("Checked "), "id").alias("title"), F.lit(None).cast("string").alias("folder_id")
+    )
+    return _report(store.update_notes(bind.notes(spark, sf_dir), patches, bind.now()))
+
+
+@_query(f"WITH {_NOTES} SELECT {_REPORT} FROM n WHERE id NOT IN (SELECT id FROM {_MARKED})")
+def delete_note(spark, sf_dir):
+    return _report(store.delete_notes(bind.notes(spark, sf_dir), bind.marked_ids(spark, sf_dir)))
+
+
+@_query(f"WITH {_NOTES} SELECT count(*) > 0 AS removed FROM n WHERE id IN (SELECT id FROM {_MARKED})")
+def delete_reported(spark, sf_dir):
+    return store.deleted_any(bind.notes(spark, sf_dir), bind.marked_ids(spark, sf_dir))
+
+
+@_query(f"WITH {_NOTES} SELECT {_REPORT} FROM n WHERE id <> '0' ORDER BY position LIMIT 1")
+def reselect_after_delete(spark, sf_dir):
+    notes = bind.notes(spark, sf_dir)
+    left = store.delete_notes(notes, _pointer(spark, "0"))
+    return _report(store.reselect(left, "0", "0", "new", bind.now()))
+
+
+@_query("SELECT source AS id, source AS name, min(doc_id) AS position FROM documents GROUP BY source UNION ALL SELECT 'f', 'Inbox', max(position) + 1 FROM (SELECT min(doc_id) AS position FROM documents GROUP BY source)")
+def create_folder(spark, sf_dir):
+    return store.create_folder(bind.folders(spark, sf_dir), "f", "Inbox", bind.now()).select("id", "name", "position")
+
+
+@_query("SELECT lang AS id, lang AS name, '#3b82f6' AS color, min(doc_id) AS position FROM documents GROUP BY lang UNION ALL SELECT 't', 'Later', '#3b82f6', max(position) + 1 FROM (SELECT min(doc_id) AS position FROM documents GROUP BY lang)")
+def create_tag(spark, sf_dir):
+    return store.create_tag(bind.tags(spark, sf_dir), "t", "Later").select("id", "name", "color", "position")
+
+
+# ---- logs of events ------------------------------------------------------------------------
+
+_EDITS = "SELECT CAST(user_id AS VARCHAR) AS note_id, ts, event_id AS seq, event_type AS value FROM events"
+
+
+@_query(f"SELECT note_id, seq, value FROM (SELECT *, lag(value) OVER (PARTITION BY note_id ORDER BY ts, seq) AS before FROM ({_EDITS})) WHERE value IS DISTINCT FROM before")
+def changed_edits(spark, sf_dir):
+    return changelog.changed_edits(bind.edits(spark, sf_dir)).select("note_id", "seq", "value")
+
+
+@_query("""
+    WITH e AS (SELECT CAST(user_id AS VARCHAR) AS note_id, ts, event_id AS seq, event_type AS kind, 'v' || event_id AS value FROM events WHERE event_type <> 'view'),
+    s AS (SELECT *, count(*) FILTER (WHERE kind IN ('signup', 'error')) OVER (PARTITION BY note_id ORDER BY ts, seq) AS segment FROM e),
+    g AS (SELECT note_id, segment, arg_min(kind, (ts, seq)) AS head, min(ts) AS created, max(ts) AS updated,
+        arg_max(value, (ts, seq)) FILTER (WHERE kind = 'click') AS title, arg_max(value, (ts, seq)) FILTER (WHERE kind = 'purchase') AS body FROM s GROUP BY ALL),
+    l AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY segment DESC) = 1)
+    SELECT note_id, coalesce(title, 'Untitled Note') AS title, coalesce(body, '# New note' || chr(10) || chr(10) || 'Write here.') AS markdown_content,
+        epoch_us(created) AS created_us, epoch_us(updated) AS updated_us FROM l WHERE head = 'signup'""")
+def changelog_fold(spark, sf_dir):
+    folded = changelog.fold_notes(bind.note_events(spark, sf_dir))
+    return folded.select("note_id", "title", "markdown_content", F.unix_micros("created_at").alias("created_us"), F.unix_micros("updated_at").alias("updated_us"))
+
+
+@_query(f"""
+    WITH b AS (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY note_id ORDER BY ts, seq) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS starts FROM ({_EDITS})),
+    s AS (SELECT *, sum(starts) OVER (PARTITION BY note_id ORDER BY ts, seq) AS session FROM b)
+    SELECT note_id, epoch_us(min(ts)) AS started_us, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS saved_us, count(*) AS edits FROM s GROUP BY note_id, session""")
+def save_sessions(spark, sf_dir):
+    found = changelog.save_sessions(bind.edits(spark, sf_dir), "30 minutes")
+    return found.select("note_id", F.unix_micros("started").alias("started_us"), F.unix_micros("saved").alias("saved_us"), "edits")
+
+
+_TOASTS = "SELECT CAST(user_id AS VARCHAR) AS list_id, ts, event_id AS seq, event_type AS kind, 'v' || event_id AS value FROM events WHERE event_type IN ('signup', 'click', 'error', 'purchase')"
+
+
+@_query(f"""
+    WITH s AS (SELECT *, count(*) FILTER (WHERE kind = 'signup') OVER (PARTITION BY list_id ORDER BY ts, seq) AS segment FROM ({_TOASTS})),
+    g AS (SELECT list_id, segment, arg_max(value, (ts, seq)) FILTER (WHERE kind IN ('signup', 'click')) AS title,
+        coalesce(bool_or(kind = 'error'), false) AS dismissed, coalesce(bool_or(kind = 'purchase'), false) AS removed FROM s WHERE segment > 0 GROUP BY ALL),
+    l AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY list_id ORDER BY segment DESC) = 1)
+    SELECT list_id, title, NOT dismissed AS open FROM l WHERE NOT removed""")
+def toast_fold(spark, sf_dir):
+    return changelog.fold_toasts(bind.toast_events(spark, sf_dir))
+
+
+@_query(f"""
+    WITH s AS (SELECT *, count(*) FILTER (WHERE kind = 'signup') OVER (PARTITION BY list_id ORDER BY ts, seq) AS segment FROM ({_TOASTS}))
+    SELECT list_id, arg_min(seq, (ts, seq)) AS seq, epoch_us(min(ts)) + 1000000000 AS expires_us FROM s WHERE segment > 0 AND kind = 'error' GROUP BY list_id, segment""")
+def toast_expiry(spark, sf_dir):
+    found = changelog.toast_expiries(bind.toast_events(spark, sf_dir))
+    return found.select("list_id", "seq", F.unix_micros("expires").alias("expires_us"))
+
+
+@_query(f"SELECT CAST((seq + 1) % 9007199254740991 AS VARCHAR) AS toast_id, value AS title FROM ({_TOASTS}) WHERE kind = 'signup' ORDER BY ts DESC, seq DESC LIMIT 1")
+def toast_latest(spark, sf_dir):
+    return changelog.latest_toast(bind.toast_events(spark, sf_dir))
+
+
+# ---- library lookups -----------------------------------------------------------------------
+
+
+@_query("""
+    WITH g AS (SELECT lang, list_sort(list(DISTINCT source)) AS names FROM documents GROUP BY lang)
+    SELECT lang, array_to_string(list_transform(names[1:3], lambda x: upper(x[1])), ',') AS initials, CASE WHEN len(names) > 3 THEN len(names) - 3 END AS more FROM g""")
+def collab_overflow(spark, sf_dir):
+    """The sources of each language as its collaborators."""
+    people = bind.table(spark, sf_dir, "documents").groupBy("lang").agg(F.sort_array(F.collect_set("source")).alias("names"))
+    initials, more = views.shown_people(F.col("names"))
+    return people.select("lang", F.array_join(initials, ",").alias("initials"), more.alias("more"))
+
+
+@_query("""
+    WITH c AS (SELECT source AS key, 'S' || min(doc_id) AS label FROM documents GROUP BY source),
+    i AS (SELECT doc_id AS item_id, lang AS key, CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN 'none' ELSE lang END AS resolved FROM documents)
+    SELECT item_id, resolved, CASE WHEN a.key IS NOT NULL THEN a.label ELSE b.label END AS label FROM i LEFT JOIN c a ON i.resolved = a.key LEFT JOIN c b ON i.key = b.key""")
+def chart_label_lookup(spark, sf_dir):
+    """A third of the items name their source directly, a third something unknown in a nested map, a third nothing."""
+    docs = bind.table(spark, sf_dir, "documents")
+    config = docs.groupBy("source").agg(F.concat(F.lit("S"), F.min("doc_id").cast("string")).alias("label")).select(F.col("source").alias("key"), "label")
+    none = F.create_map().cast("map<string,string>")
+
+    def third(k: int, value: Column) -> Column:
+        return F.when(F.col("doc_id") % 3 == k, F.create_map("lang", value)).otherwise(none)
+
+    items = docs.select(F.col("doc_id").alias("item_id"), F.col("lang").alias("key"), third(0, F.col("source")).alias("payload"), third(1, F.lit("none")).alias("inner"))
+    return lookup.item_config(items, config)
+
+
+@_query("""
+    WITH c AS (SELECT r_regionkey AS ord, lower(replace(r_name, ' ', '-')) AS key, CASE WHEN r_regionkey % 2 = 0 THEN '#' || r_regionkey END AS color, r_regionkey % 3 = 0 AS themed FROM region),
+    e AS (SELECT * FROM c WHERE themed OR color IS NOT NULL),
+    t AS (SELECT * FROM (VALUES ('light', ''), ('dark', '.dark')) v(theme, prefix)),
+    l AS (SELECT theme, prefix, ord, coalesce('  --color-' || key || ': ' || coalesce(CASE WHEN themed AND theme = 'dark' THEN 'black' || ord END, color) || ';', '') AS line FROM e, t)
+    SELECT theme, chr(10) || prefix || ' [data-chart=r1] {' || chr(10) || string_agg(line, chr(10) ORDER BY ord) || chr(10) || '}' || chr(10) AS css FROM l GROUP BY theme, prefix""")
+def chart_css(spark, sf_dir):
+    key = F.col("r_regionkey")
+    dark = F.when(key % 3 == 0, F.create_map(F.lit("dark"), F.concat(F.lit("black"), key.cast("string"))))
+    config = bind.table(spark, sf_dir, "region").select(
+        key.alias("ord"), F.lower(F.replace("r_name", F.lit(" "), F.lit("-"))).alias("key"), F.when(key % 2 == 0, F.concat(F.lit("#"), key.cast("string"))).alias("color"), dark.alias("theme")
+    )
+    return lookup.theme_css(config, ":r1:")
+
+
+@_query("SELECT doc_id, CASE WHEN doc_id <> 0 THEN format('{:,}', doc_id * 1000) END AS shown FROM documents")
+def chart_value_fmt(spark, sf_dir):
+    return bind.table(spark, sf_dir, "documents").select("doc_id", text.grouped_number(F.col("doc_id") * 1000).alias("shown"))
