@@ -18,10 +18,10 @@ LEVEL = 3
 
 @dataclass(frozen=True)
 class Sample:
-    """The bound of the training sample: so many rows of each class, none over so many bytes,
-    chosen by a hash of doc_id. Half of them make the dictionaries, half calibrate."""
+    """The bound of the training sample: so many marked rows of each class at most, chosen by a
+    hash of doc_id, of which those over so many bytes are passed over. Half of them make the dictionaries, half calibrate."""
 
-    rows: int = 2000
+    rows: int = 2500
     row_bytes: int = 16_384
     dictionary_bytes: int = 112_640
 
@@ -78,15 +78,28 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return tuple(map(float, w))
 
 
-def train(labelled: DataFrame, sample: Sample = Sample()) -> Model:
-    """A model from ``labelled`` (doc_id, text, label 0 or 1), of which a bounded sample is read.
+def _sample_ids(marks: DataFrame, n: int) -> DataFrame:
+    """At most ``n`` rows of ``marks`` (doc_id, label), by a hash of doc_id. What is far from being chosen
+    is left out before the sort, so that few rows for each task reach the driver."""
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    share = min(1.0, 4 * n / max(1, marks.count()))
+    return marks.filter(spread < int(share * 1_000_000) + 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
 
-    With rows of one class only, or none, every score is the smoothed share of label 1.
+
+def train(docs: DataFrame, marks: DataFrame, sample: Sample = Sample()) -> Model:
+    """A model from a bounded sample of ``docs`` (doc_id, text) that ``marks`` (doc_id once, label 0 or 1) marks.
+
+    The ids are chosen first, from the marks alone: at most ``2 * sample.rows`` of them are
+    sent to the executors, and only their texts are read back. With rows of one class only,
+    or none, every score is the smoothed share of label 1.
     """
-    rows = []
-    usable = labelled.filter("text IS NOT NULL AND doc_id IS NOT NULL").filter(F.octet_length("text") <= sample.row_bytes)
-    for label in (0, 1):
-        rows.append([bytes(r.text) for r in usable.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample.rows).select(F.col("text").cast("binary").alias("text")).collect()])
+    usable = docs.select("doc_id", "text").filter("text IS NOT NULL").filter(F.octet_length("text") <= sample.row_bytes)
+    ids = [_sample_ids(marks.filter(F.col("label") == label), sample.rows) for label in (0, 1)]
+    chosen = usable.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
+    # a doc_id that rows repeat counts once, so the bound holds
+    each = chosen.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    read = sorted((r.label, r.doc_id, bytes(r.text)) for r in each.select("doc_id", "label", F.col("text").cast("binary").alias("text")).collect())
+    rows = [[text for mark, _, text in read if mark == label] for label in (0, 1)]
     bad, good = rows
     if len(good) < 4 or len(bad) < 4:
         return Model(b"", b"", ((len(good) + 1) / (len(good) + len(bad) + 2),))
@@ -114,7 +127,7 @@ def train_on(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> M
     """From the rows of ``docs`` that ``labels`` (doc_id, quality) marks, without those held out.
     A doc_id with several labels has the smallest."""
     marks = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("label"))
-    return train(docs.select("doc_id", "text").join(marks, "doc_id"), sample)
+    return train(docs, marks, sample)
 
 
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
