@@ -104,7 +104,7 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     )
 
 
-_GRAMS = pa.schema([("g", pa.int64()), ("t0", pa.int64()), ("t1", pa.int64())])
+_GRAMS = pa.schema([("g", pa.int64()), ("n", pa.int64()), ("t0", pa.int64()), ("t1", pa.int64())])
 _AROUND = pa.schema([("g", pa.int64()), ("t0", pa.int64()), ("t1", pa.int64()), ("first_doc", pa.int64()), ("place", pa.int64()), ("first", pa.int64()), ("around", pa.binary())])
 _WINDOWS = pa.schema([("w0", pa.int64()), ("w1", pa.int64()), ("t0", pa.int64()), ("t1", pa.int64()), ("first_doc", pa.int64()), ("start", pa.int64())])
 _SPANS = pa.schema([("t0", pa.int64()), ("t1", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
@@ -145,7 +145,8 @@ def repeated_spans(texts: DataFrame, kind: Passages, search: Callable, first_sta
             for t0, t1, _, _, text in rows_of(batches):
                 found = kind.anchors(kind.symbols(kind.split(text)))[0]
                 if len(found):
-                    yield found.view(np.int64), t0, t1
+                    gram, n = np.unique(found.view(np.int64), return_counts=True)
+                    yield gram, n, t0, t1
 
         return _columns(_GRAMS, parts())
 
@@ -185,7 +186,9 @@ def repeated_spans(texts: DataFrame, kind: Passages, search: Callable, first_sta
         return batched(rows(), _SPANS, lambda row: 32)
 
     anchors = texts.mapInArrow(grams, _ddl(_GRAMS))
-    again = anchors.groupBy("g").count().filter("count > 1")
+    # Counted by the complement, so that the join's both sides come straight from shuffles of its
+    # own, which adaptive execution can split where one gram is very frequent.
+    again = anchors.groupBy(F.bitwise_not("g").alias("k")).agg(F.sum("n").alias("count")).filter("count > 1").select(F.bitwise_not("k").alias("g"), "count")
     wanted = (
         anchors.join(again, "g")
         .groupBy("t0", "t1")
