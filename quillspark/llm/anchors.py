@@ -198,7 +198,13 @@ def repeated_spans(texts: DataFrame, kind: Passages, search: Callable, first_sta
     few = found.mapInArrow(surroundings, _ddl(_AROUND)).repartition("g").sortWithinPartitions("g").mapInArrow(searched, _ddl(_SPANS))
     many = found.mapInArrow(windows, _ddl(_WINDOWS))
     order = F.struct("first_doc", "t0", "t1", "start")
-    counted = many.groupBy("w0", "w1").agg(F.count("*").alias("n"), F.min(order).alias("least")).filter("n > 1")
+    # by the complement again, for the same reason
+    counted = (
+        many.groupBy(F.bitwise_not("w0").alias("k0"), F.bitwise_not("w1").alias("k1"))
+        .agg(F.count("*").alias("n"), F.min(order).alias("least"))
+        .filter("n > 1")
+        .select(F.bitwise_not("k0").alias("w0"), F.bitwise_not("k1").alias("w1"), "least")
+    )
     common = many.join(counted, ["w0", "w1"])
     if first_stays:
         common = common.filter(order != F.col("least"))
