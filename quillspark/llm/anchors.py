@@ -31,6 +31,8 @@ from quillspark.llm.columns import text_key
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Low bits of a packed hash that hold the place; texts are shorter than this many symbols.
 PLACE = 28
+#: One random number for each byte, from a seeded generator.
+BYTES = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -43,6 +45,21 @@ def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return held
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """``h`` with its bits spread."""
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def run_hashes(symbols: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of symbols from ``starts`` to ``stops`` (uint64)."""
+    n = len(symbols)
+    up, down = _power_tables(BASES[0], n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(symbols * up[:n], out=sums[1:])
+    return mixed((sums[stops] - sums[starts]) * down[starts] ^ (stops - starts).astype(np.uint64))
+
+
 def gram_hashes(symbols: np.ndarray, k: int, base: int = BASES[0]) -> np.ndarray:
     """A 64-bit hash of each run of ``k`` symbols (uint64)."""
     n = len(symbols)
@@ -51,11 +68,7 @@ def gram_hashes(symbols: np.ndarray, k: int, base: int = BASES[0]) -> np.ndarray
     up, down = _power_tables(base, n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(symbols * up[:n], out=sums[1:])
-    h = (sums[k:] - sums[:-k]) * down[: n - k + 1]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(29)
-    return h
+    return mixed((sums[k:] - sums[:-k]) * down[: n - k + 1])
 
 
 def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
@@ -72,7 +85,7 @@ def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
 @dataclass(frozen=True)
 class Passages:
     """What a passage is. ``symbols`` gives a text's symbols as uint64 numbers, ``cut`` the
-    bytes of some of its symbols; both get the text as ``split`` made it."""
+    bytes of some of its symbols from the text as ``split`` made it."""
 
     length: int
     reach: int
@@ -93,6 +106,21 @@ class Passages:
         last = np.r_[first[1:] - 1, len(place) - 1]
         return grams[place[first]], place[first], first, last
 
+    def anchors_of_many(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(gram, text): the grams at the anchors of texts of ``length`` symbols or more that
+        follow each other in ``symbols``, each with the number of its text."""
+        grams = gram_hashes(symbols, self.length - self.reach + 1)
+        mask = np.uint64((1 << PLACE) - 1)
+        packed = (grams & ~mask) | np.arange(len(grams), dtype=np.uint64)
+        place = (sliding_min(packed, self.reach) & mask).astype(np.int64)
+        ends = np.cumsum(lengths)
+        inside = np.ones(len(symbols), bool)
+        for k in range(1, self.length):  # passages that would run on into the next text
+            inside[ends - k] = False
+        place = place[inside[: len(place)]]
+        place = place[np.r_[True, place[1:] != place[:-1]]]
+        return grams[place], np.searchsorted(ends, place, "right")
+
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """(t0, t1, copies, first_doc, text): each text once; null counts as empty."""
@@ -142,11 +170,28 @@ def repeated_spans(texts: DataFrame, kind: Passages, search: Callable, first_sta
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[tuple]:
+            for rows, lengths, symbols in joined(batches):
+                gram, text = kind.anchors_of_many(symbols, lengths)
+                order = np.lexsort((gram, text))
+                gram, text = gram[order], text[order]
+                first = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (text[1:] != text[:-1])][: len(gram)])
+                keys = np.array(rows, np.int64)[text[first]]
+                yield gram[first].view(np.int64), np.diff(np.r_[first, len(gram)]), keys[:, 0], keys[:, 1]
+
+        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+            """Keys, lengths and symbols of successive texts, so many that array operations pay."""
+            rows, parts, size = [], [], 0
             for t0, t1, _, _, text in rows_of(batches):
-                found = kind.anchors(kind.symbols(kind.split(text)))[0]
-                if len(found):
-                    gram, n = np.unique(found.view(np.int64), return_counts=True)
-                    yield gram, n, t0, t1
+                symbols = kind.symbols(text)
+                if len(symbols) >= kind.length:
+                    rows.append((t0, t1))
+                    parts.append(symbols)
+                    size += len(symbols)
+                if size >= 1 << 16:
+                    yield rows, np.array([len(p) for p in parts]), np.concatenate(parts)
+                    rows, parts, size = [], [], 0
+            if rows:
+                yield rows, np.array([len(p) for p in parts]), np.concatenate(parts)
 
         return _columns(_GRAMS, parts())
 
@@ -154,15 +199,15 @@ def repeated_spans(texts: DataFrame, kind: Passages, search: Callable, first_sta
         for *key, text, few, many in rows_of(batches):
             wanted = (few, many)[which]
             if wanted:
-                split = kind.split(text)
-                symbols = kind.symbols(split)
+                symbols = kind.symbols(text)
                 gram, place, first, last = kind.anchors(symbols)
                 keep = np.flatnonzero(np.isin(gram.view(np.int64), np.array(wanted, np.int64)))
-                yield key, split, symbols, gram.view(np.int64)[keep], place[keep], first[keep], last[keep]
+                yield key, text, symbols, gram.view(np.int64)[keep], place[keep], first[keep], last[keep]
 
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for (t0, t1, _, doc), split, _, gram, place, first, last in chosen(batches, 0):
+            for (t0, t1, _, doc), text, _, gram, place, first, last in chosen(batches, 0):
+                split = kind.split(text)
                 for g, p, a, z in zip(gram.tolist(), place.tolist(), first.tolist(), last.tolist(), strict=True):
                     yield g, t0, t1, doc, p, a, kind.cut(split, a, z + kind.length)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.anchors import Passages, distinct_texts, merged, repeated_spans, with_spans
+from quillspark.llm.anchors import BYTES, Passages, distinct_texts, merged, repeated_spans, with_spans
 from quillspark.llm.cluster import batched, rows_of
 from quillspark.llm.columns import text_key
 
@@ -87,14 +87,10 @@ def _search(length: int):
     return search
 
 
-#: One random number for each byte, from a seeded generator.
-_BYTES = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64)
-
-
 def byte_passages(length: int) -> Passages:
     return Passages(
         length=length, reach=max(1, length // 2), split=lambda text: text,
-        symbols=lambda text: _BYTES[np.frombuffer(text, np.uint8)], cut=lambda text, a, z: text[a:z],
+        symbols=lambda text: BYTES[np.frombuffer(text, np.uint8)], cut=lambda text, a, z: text[a:z],
     )
 
 

@@ -7,32 +7,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.anchors import Passages, distinct_texts, merged, repeated_spans, with_spans
+from quillspark.llm.anchors import BYTES, Passages, distinct_texts, merged, repeated_spans, run_hashes, with_spans
 from quillspark.llm.cluster import batched, rows_of
-from quillspark.llm.columns import text_key
+from quillspark.llm.columns import WHITE, text_key
 
+#: Whether a byte is ASCII white space, where ``bytes.split`` splits too.
+_WHITE = np.isin(np.arange(256), list(WHITE.encode()))
 
-class _Words(dict):
-    """A hash of each word, kept for the next time."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-
-_words = _Words()
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word (uint64)."""
+    raw = np.frombuffer(text, np.uint8)
+    white = np.ones(len(raw) + 2, np.int8)
+    white[1:-1] = _WHITE[raw]
+    edges = np.flatnonzero(np.diff(white))
+    return run_hashes(BYTES[raw], edges[::2], edges[1::2])
 
 
 def word_passages(length: int) -> Passages:
     return Passages(
         length=length, reach=max(1, length * 3 // 5), split=bytes.split,  # at ASCII white space
-        symbols=lambda words: np.array([_words[w] for w in words], np.uint64), cut=lambda words, a, z: b" ".join(words[a:z]),
+        symbols=word_hashes, cut=lambda words, a, z: b" ".join(words[a:z]),
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.anchors import gram_hashes
 from quillspark.llm.cluster import batched, rows_of
-from quillspark.llm.suffix_trees import _Words
+from quillspark.llm.suffix_trees import word_hashes
 
 #: Bytes of benchmark text that one pass over the documents carries to the executors.
 BLOCK_BYTES = 16 << 20
@@ -57,10 +57,9 @@ class _Index:
     """The seeds of a block of benchmark items."""
 
     def __init__(self, items: list[tuple[int, bytes]], width: int):
-        self.words = _Words()
         self.width = width
         self.items = [(key, text.lower().split()) for key, text in items]
-        grams = [self.grams(words) for _, words in self.items]
+        grams = [self.grams(text.lower()) for _, text in items]
         sizes = [len(g) for g in grams]
         every = np.concatenate([np.zeros(0, np.uint64), *grams])
         owner = np.repeat(np.arange(len(grams)), sizes)
@@ -69,19 +68,20 @@ class _Index:
         self.owner, self.place = owner[order], place[order]
         self.seeds, self.first, self.count = np.unique(every[order], return_index=True, return_counts=True)
 
-    def grams(self, words: list[bytes]) -> np.ndarray:
-        return gram_hashes(np.array([self.words[w] for w in words], np.uint64), self.width)
+    def grams(self, text: bytes) -> np.ndarray:
+        return gram_hashes(word_hashes(text), self.width)
 
     def covered(self, text: bytes) -> Iterator[tuple[int, int, int, int]]:
         """(item key, its words, words covered, tiles) for each item that shares a seed."""
-        words = text.lower().split()
-        grams = self.grams(words)
+        text = text.lower()
+        grams = self.grams(text)
         if not len(grams) or not len(self.seeds):
             return
         at = np.minimum(np.searchsorted(self.seeds, grams), len(self.seeds) - 1)
         i = np.flatnonzero(self.seeds[at] == grams)
         if not len(i):
             return
+        words = text.split()
         at = at[i]
         many = self.count[at]
         posting = np.repeat(self.first[at], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)

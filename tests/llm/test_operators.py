@@ -170,6 +170,25 @@ def test_interval_tree():
         assert best[k] == (most if most >= 4 else 0)
 
 
+def test_word_hashes(texts):
+    seen = {}
+    for _, text in texts:
+        raw = (text or "").encode()
+        hashes = suffix_trees.word_hashes(raw).tolist()
+        assert len(hashes) == len(raw.split())
+        for word, h in zip(raw.split(), hashes, strict=True):
+            assert seen.setdefault(h, word) == word
+    assert len(seen) > 100
+
+
+@pytest.mark.parametrize("kind", [suffix_array.byte_passages(9), suffix_trees.word_passages(4), suffix_trees.word_passages(1)])
+def test_anchors_of_many(texts, kind):
+    parts = [s for s in (kind.symbols((text or "").encode()) for _, text in texts) if len(s) >= kind.length]
+    found = kind.anchors_of_many(np.concatenate(parts), np.array([len(s) for s in parts]))
+    alone = [(g, k) for k, s in enumerate(parts) for g in kind.anchors(s)[0].tolist()]
+    assert list(zip(*(c.tolist() for c in found), strict=True)) == alone
+
+
 def test_minima():
     values = np.random.default_rng(0).integers(0, 50, 200, dtype=np.uint64)
     for w in (1, 2, 7, 200):
