@@ -7,10 +7,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.cluster import batched, cut, rows_of
+from quillspark.llm.columns import text_key
 from quillspark.llm.components import connected_components
 
 SEED = 42
@@ -39,15 +40,24 @@ def fingerprint(text: bytes, width: int = WIDTH) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Rows (doc_id, fp) for every row of ``docs`` (doc_id, text); a null text counts as empty."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, width: int = WIDTH, keyed: bool = False) -> DataFrame:
+    """Rows (doc_id, fp) for every row of ``docs`` (doc_id, text), and t0, t1, which stand for
+    the text, if ``keyed``; a null text counts as empty."""
+    names = ["doc_id", *["t0", "t1"] * keyed, "fp"]
+    schema = pa.schema([(name, pa.int64()) for name in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((doc_id, int(np.uint64(fingerprint(text or b"", width)).astype(np.int64))) for doc_id, text in rows_of(batches))
-        return batched(rows, schema, lambda row: 16)
+        rows = ((*key, int(np.uint64(fingerprint(text or b"", width)).astype(np.int64))) for *key, text in rows_of(batches))
+        return batched(rows, schema, lambda row: 8 * len(names))
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    key = _row_key() if keyed else _row_key()[:1]
+    return docs.select(*key, F.col("text").cast("binary").alias("text")).mapInArrow(run, ", ".join(f"{name} bigint" for name in names))
+
+
+def _row_key() -> list[Column]:
+    """doc_id, and two hashes of the text: rows that agree in them are repeated rows."""
+    t0, t1 = text_key(F.coalesce("text", F.lit("")))
+    return [F.col("doc_id").cast("bigint").alias("doc_id"), t0.alias("t0"), t1.alias("t1")]
 
 
 def near_links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -99,9 +109,38 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, bucket: int = BUCKET) -
     are null. Other columns are ignored; no rows give no rows.
     """
     prints = cut(fingerprints(docs, width))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    named = _least_of_groups(prints, F.col("doc_id"), bucket).select("fp", F.col("least").alias("component_id"))
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def _least_of_groups(prints: DataFrame, order: Column, bucket: int) -> DataFrame:
+    """(fp, least): each fingerprint with the least ``order`` of the rows of its group."""
+    nodes = prints.groupBy("fp").agg(F.min(order).alias("least"))
     groups = connected_components(near_links(nodes.select("fp"), bucket))
     rooted = nodes.join(groups, nodes.fp == groups.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("root"))
-    roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(roots, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    roots = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    return rooted.join(roots, "root").select("fp", roots.least)
+
+
+def one_of_each_group(docs: DataFrame, width: int = WIDTH, bucket: int = BUCKET) -> DataFrame:
+    """The rows of ``docs``, with all columns, one for each group of :func:`near_duplicates`.
+
+    The row with the smallest doc_id stays, a null one being the largest; at a tie, as where
+    different texts share a doc_id, the one with the smallest text hashes. Of repeated rows
+    (equal doc_id and text) any one. So a row goes only for another that stays.
+    """
+    prints = cut(fingerprints(docs, width, keyed=True))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "t0", "t1")
+    later = prints.join(_least_of_groups(prints, order, bucket), "fp").filter(order != F.col("least")).select("doc_id", "t0", "t1").distinct()
+    repeated = cut(prints.groupBy("doc_id", "t0", "t1").count().filter("count > 1").select("doc_id", "t0", "t1"))
+
+    whole = docs.select(F.struct(*docs.columns).alias("row"), *_row_key())
+
+    def matching(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        k = keys.toDF("k_doc", "k0", "k1")
+        return rows.join(k, F.col("doc_id").eqNullSafe(F.col("k_doc")) & (F.col("t0") == F.col("k0")) & (F.col("t1") == F.col("k1")), how)
+
+    if not repeated.isEmpty():
+        once = matching(whole, repeated, "left_semi").groupBy("doc_id", "t0", "t1").agg(F.first("row").alias("row"))
+        whole = matching(whole, repeated, "left_anti").unionByName(once.select("row", "doc_id", "t0", "t1"))
+    return matching(whole, later, "left_anti").select("row.*")

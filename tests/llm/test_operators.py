@@ -135,6 +135,18 @@ def test_simhash_odd(odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_one_of_each_group(spark, docs, texts, odd, none):
+    keep = {d for d, _, c in brute.simhash(texts) if d == c}
+    kept = simhash.one_of_each_group(docs)
+    assert kept.columns == docs.columns and _rows(kept.select("doc_id")) == sorted(((d,) for d in keep), key=repr)
+    got = _rows(simhash.one_of_each_group(odd))
+    # three texts with different fingerprints: the repeated one, "another text" under the same id, and the empty one
+    assert got in ([(1, "another text"), (1, "same text of a row"), (2, None)], [(1, "same text of a row"), (1, "another text"), (2, None)])
+    near = spark.createDataFrame([(4, "Same Text"), (4, "same text"), (None, "same text"), (None, "SAME text")], "doc_id long, text string")
+    assert [r.doc_id for r in simhash.one_of_each_group(near).collect()] == [4]
+    assert simhash.one_of_each_group(none).count() == 0
+
+
 # 3 and 10 -----------------------------------------------------------------------------------
 
 
