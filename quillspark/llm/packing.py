@@ -27,8 +27,9 @@ class Encoder:
     """Ids of whole texts. No token of the vocabulary crosses white space, so a text's ids are
     those of its parts between blanks, and the ids of parts are kept for the next time."""
 
-    #: A full stop or comma between a letter and a blank is a part of its own in any case.
-    POINT = re.compile(r"(?<=[^\W\d_])([.,])(?=[ \n])")
+    #: A full stop or comma between a letter and a blank is a part of its own in any case. Only ASCII
+    #: letters: others may become a letter and a combining mark, and the mark joins the point.
+    POINT = re.compile(r"(?<=[A-Za-z])([.,])(?=[ \n])")
     KEPT = 1_000_000
 
     def __init__(self, path: str, end_id: int):

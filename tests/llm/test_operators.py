@@ -308,6 +308,14 @@ def test_ids_of_odd_texts():
         assert encode(t).tolist() == [*plain.encode(t, add_special_tokens=False).ids, 1]
 
 
+@pytest.mark.parametrize("letter", ["\u0130", "\u09df", "\u0958", "\ufb2a", "e\u0301", "\u0915\u093c", "\u00e9", "z"])
+def test_ids_of_points_after_letters(letter):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, encode = tokenizers.Tokenizer.from_file(path), packing.Encoder(path, 1)
+    for t in [f"a{letter}{point}{blank}b" for point in (".", ",", ".,") for blank in (" ", "\n", "\t", "")]:
+        assert encode(t).tolist() == [*plain.encode(t, add_special_tokens=False).ids, 1]
+
+
 def test_least_squares():
     r = np.random.default_rng(1)
     a, x = r.integers(0, 3, (12, 20)).astype(float), np.maximum(0, r.normal(size=20))
