@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -28,6 +29,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files that no DataFrame refers to any more; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh_name(prefix: str) -> str:
     """A table name that no other run uses."""
     return f"{prefix}_{uuid.uuid4().hex}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,11 +50,11 @@ def fingerprints(docs: DataFrame, width: int = WIDTH, keyed: bool = False) -> Da
         rows = ((*key, int(np.uint64(fingerprint(text or b"", width)).astype(np.int64))) for *key, text in rows_of(batches))
         return batched(rows, schema, lambda row: 8 * len(names))
 
-    key = _row_key() if keyed else _row_key()[:1]
+    key = row_key() if keyed else row_key()[:1]
     return docs.select(*key, F.col("text").cast("binary").alias("text")).mapInArrow(run, ", ".join(f"{name} bigint" for name in names))
 
 
-def _row_key() -> list[Column]:
+def row_key() -> list[Column]:
     """doc_id, and two hashes of the text: rows that agree in them are repeated rows."""
     t0, t1 = text_key(F.coalesce("text", F.lit("")))
     return [F.col("doc_id").cast("bigint").alias("doc_id"), t0.alias("t0"), t1.alias("t1")]
@@ -109,19 +109,25 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, bucket: int = BUCKET) -
     are null. Other columns are ignored; no rows give no rows.
     """
     prints = cut(fingerprints(docs, width))
-    named = _least_of_groups(prints, F.col("doc_id"), bucket).select("fp", F.col("least").alias("component_id"))
+    named = least_of_groups(prints, F.col("doc_id"), lambda nodes: near_links(nodes, bucket)).select("fp", F.col("least").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _least_of_groups(prints: DataFrame, order: Column, bucket: int) -> DataFrame:
-    """(fp, least): each fingerprint with the least ``order`` of the rows of its group."""
+def least_of_groups(prints: DataFrame, order: Column, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(fp, least): each fingerprint with the least ``order`` of the rows of its group; ``links`` makes (a, b) of the fingerprints."""
     nodes = prints.groupBy("fp").agg(F.min(order).alias("least"))
-    groups = connected_components(near_links(nodes.select("fp"), bucket))
+    groups = connected_components(links(nodes.select("fp")))
     rooted = nodes.join(groups, nodes.fp == groups.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("least").alias("least"))
     return rooted.join(roots, "root").select("fp", roots.least)
 
 
+def matching(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """``rows`` (.., doc_id, t0, t1) joined with ``keys`` (doc_id, t0, t1); null doc_ids are equal."""
+    k = keys.toDF("k_doc", "k0", "k1")
+    return rows.join(k, F.col("doc_id").eqNullSafe(F.col("k_doc")) & (F.col("t0") == F.col("k0")) & (F.col("t1") == F.col("k1")), how)
+
+
 def one_of_each_group(docs: DataFrame, width: int = WIDTH, bucket: int = BUCKET) -> DataFrame:
     """The rows of ``docs``, with all columns, one for each group of :func:`near_duplicates`.
 
@@ -130,16 +136,16 @@ def one_of_each_group(docs: DataFrame, width: int = WIDTH, bucket: int = BUCKET)
     (equal doc_id and text) any one. So a row goes only for another that stays.
     """
     prints = cut(fingerprints(docs, width, keyed=True))
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "t0", "t1")
-    later = prints.join(_least_of_groups(prints, order, bucket), "fp").filter(order != F.col("least")).select("doc_id", "t0", "t1").distinct()
-    repeated = cut(prints.groupBy("doc_id", "t0", "t1").count().filter("count > 1").select("doc_id", "t0", "t1"))
+    return keep_least(docs, prints, lambda order: least_of_groups(prints, order, lambda nodes: near_links(nodes, bucket)))
 
-    whole = docs.select(F.struct(*docs.columns).alias("row"), *_row_key())
 
-    def matching(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-        k = keys.toDF("k_doc", "k0", "k1")
-        return rows.join(k, F.col("doc_id").eqNullSafe(F.col("k_doc")) & (F.col("t0") == F.col("k0")) & (F.col("t1") == F.col("k1")), how)
+def keep_least(docs: DataFrame, prints: DataFrame, least: Callable[[Column], DataFrame]) -> DataFrame:
+    """The rows of ``docs`` that are the least of their groups; ``least(order)`` gives (fp, least)."""
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "t0", "t1")
+    later = prints.join(least(order), "fp").filter(order != F.col("least")).select("doc_id", "t0", "t1").distinct()
+    repeated = cut(prints.groupBy("doc_id", "t0", "t1").count().filter("count > 1").select("doc_id", "t0", "t1"))
 
+    whole = docs.select(F.struct(*docs.columns).alias("row"), *row_key())
     if not repeated.isEmpty():
         once = matching(whole, repeated, "left_semi").groupBy("doc_id", "t0", "t1").agg(F.first("row").alias("row"))
         whole = matching(whole, repeated, "left_anti").unionByName(once.select("row", "doc_id", "t0", "t1"))
