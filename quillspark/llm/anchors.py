@@ -5,9 +5,14 @@ symbols, the anchor of a passage is the smallest hash among its first ``reach``
 ``length - reach + 1`` symbols (the leftmost at a tie), so equal passages have equal anchors
 at equal distances, and each passage has just one. Only about two in ``reach`` places are
 anchors. A first pass counts the grams at anchors; a second ships the surroundings of those
-that occur again, grouped by gram, and each group is searched in one task. A gram that occurs
-more than ``group`` times is not grouped: the 128-bit hashes of its passages are counted by
-Spark's partial aggregation, so a passage in a third of all rows loads no single task.
+that occur again, grouped by gram, and each group is searched in one task.
+
+A gram that occurs more than ``group`` times is split by longer keys: its passages are dealt
+into pieces by their distance to the anchor, and a piece's key is all that its passages have
+in common, nearly a whole passage. Pieces are counted and searched like grams. What is still
+too frequent is split into the passages themselves; there nothing is left to sort, as all
+members are the same string, and Spark's partial aggregation counts them. So a passage in a
+third of all rows loads no single task.
 
 Texts are processed once each, however many rows hold them.
 """
@@ -29,8 +34,10 @@ from quillspark.llm.columns import text_key
 
 #: Odd multipliers of the rolling hashes (fixed values, any odd numbers do).
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-#: Low bits of a packed hash that hold the place; texts are shorter than this many symbols.
+#: Low bits of a packed hash that hold the place within a stretch of this many passages.
 PLACE = 28
+#: Pieces of a frequent gram.
+PIECES = 8
 #: One random number for each byte, from a seeded generator.
 BYTES = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -85,34 +92,56 @@ def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
 @dataclass(frozen=True)
 class Passages:
     """What a passage is. ``symbols`` gives a text's symbols as uint64 numbers, ``cut`` the
-    bytes of some of its symbols from the text as ``split`` made it."""
+    bytes of some of its symbols from the text as ``split`` made it. Surroundings reach so far
+    that they hold strings of ``long`` symbols that begin with a passage."""
 
     length: int
     reach: int
+    long: int
     split: Callable
     symbols: Callable
     cut: Callable
 
+    def places(self, symbols: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """The anchor of the passage at each start, found a stretch at a time, so that places fit beside hashes."""
+        mask = np.uint64((1 << PLACE) - 1)
+        step = (1 << PLACE) - self.reach
+        found = []
+        for at in range(0, len(symbols) - self.length + 1, step):
+            part = grams[at : at + step + self.reach - 1]
+            packed = (part & ~mask) | np.arange(len(part), dtype=np.uint64)
+            found.append((sliding_min(packed, self.reach) & mask).astype(np.int64) + at)
+        return found[0] if len(found) == 1 else np.concatenate(found)
+
     def anchors(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(gram, place, first, last): ``place`` is the anchor of the passages that start from first to last."""
         grams = gram_hashes(symbols, self.length - self.reach + 1)
         if len(symbols) < self.length:
             empty = np.zeros(0, np.int64)
             return np.zeros(0, np.uint64), empty, empty, empty
-        mask = np.uint64((1 << PLACE) - 1)
-        packed = (grams & ~mask) | np.arange(len(grams), dtype=np.uint64)
-        place = (sliding_min(packed, self.reach) & mask).astype(np.int64)
+        place = self.places(symbols, grams)
         first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
         last = np.r_[first[1:] - 1, len(place) - 1]
         return grams[place[first]], place[first], first, last
 
+    def pieces(self, symbols: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(key, place, first, last): the passages at each anchor dealt by their distance to it; the key stands for what those of a piece share."""
+        width = -(-self.reach // PIECES)
+        out = []
+        for low in range(0, self.reach, width):
+            high = min(low + width, self.reach) - 1  # distances low to high
+            a, z = np.maximum(first, place - high), np.minimum(last, place - low)
+            some = a <= z
+            p = place[some]
+            key = mixed(run_hashes(symbols, p - low, p - high + self.length) ^ np.uint64(low + 1))
+            out.append((key, p, a[some], z[some]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
     def anchors_of_many(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(gram, text): the grams at the anchors of texts of ``length`` symbols or more that
         follow each other in ``symbols``, each with the number of its text."""
         grams = gram_hashes(symbols, self.length - self.reach + 1)
-        mask = np.uint64((1 << PLACE) - 1)
-        packed = (grams & ~mask) | np.arange(len(grams), dtype=np.uint64)
-        place = (sliding_min(packed, self.reach) & mask).astype(np.int64)
+        place = self.places(symbols, grams)
         ends = np.cumsum(lengths)
         inside = np.ones(len(symbols), bool)
         for k in range(1, self.length):  # passages that would run on into the next text
@@ -134,8 +163,9 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
 
 _GRAMS = pa.schema([("g", pa.int64()), ("n", pa.int64()), ("t0", pa.int64()), ("t1", pa.int64())])
 _AROUND = pa.schema([("g", pa.int64()), ("t0", pa.int64()), ("t1", pa.int64()), ("first_doc", pa.int64()), ("place", pa.int64()), ("first", pa.int64()), ("around", pa.binary())])
-_WINDOWS = pa.schema([("w0", pa.int64()), ("w1", pa.int64()), ("t0", pa.int64()), ("t1", pa.int64()), ("first_doc", pa.int64()), ("start", pa.int64())])
-_SPANS = pa.schema([("t0", pa.int64()), ("t1", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+_PASSAGES = pa.schema([(name, pa.int64()) for name in ("w0", "w1", "v0", "v1", "t0", "t1", "first_doc", "start")])
+#: ``places``: how often the string starts anywhere; ``long``: whether it has ``Passages.long`` symbols (1) or less (0).
+_SPANS = pa.schema([(name, pa.int64()) for name in ("t0", "t1", "start", "stop", "long", "places")])
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -160,66 +190,111 @@ def _columns(schema: pa.Schema, parts: Iterable[tuple], rows_max: int = 1 << 16)
         yield flush()
 
 
-def repeated_spans(texts: DataFrame, kind: Passages, search: Callable, first_stays: bool, group: int = 20_000) -> DataFrame:
-    """(t0, t1, start, stop): the runs of symbols to remove from each text, maybe overlapping.
+def _stretches(batches: Iterable[pa.RecordBatch], kind: Passages) -> Iterator[tuple]:
+    """Keys, lengths and symbols of successive texts, so many that array operations pay."""
+    rows, parts, size = [], [], 0
+    for t0, t1, _, _, text in rows_of(batches):
+        symbols = kind.symbols(text)
+        if len(symbols) >= kind.length:
+            rows.append((t0, t1))
+            parts.append(symbols)
+            size += len(symbols)
+        if size >= 1 << 16:
+            yield rows, np.array([len(p) for p in parts]), np.concatenate(parts)
+            rows, parts, size = [], [], 0
+    if rows:
+        yield rows, np.array([len(p) for p in parts]), np.concatenate(parts)
+
+
+def _counted(key: np.ndarray, text: np.ndarray, rows: list[tuple[int, int]]) -> tuple:
+    """(key, n, t0, t1): how often each text has each key."""
+    order = np.lexsort((key, text))
+    key, text = key[order], text[order]
+    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (text[1:] != text[:-1])][: len(key)])
+    keys = np.array(rows, np.int64)[text[first]]
+    return key[first].view(np.int64), np.diff(np.r_[first, len(key)]), keys[:, 0], keys[:, 1]
+
+
+def _wanted(counted: DataFrame, group: int) -> DataFrame:
+    """(t0, t1, few, many): the keys of each text that occur again, those of more than ``group`` places apart.
+
+    Counted by the complement, so that the join's both sides come straight from shuffles of its
+    own, which adaptive execution can split where one key is very frequent.
+    """
+    again = counted.groupBy(F.bitwise_not("g").alias("k")).agg(F.sum("n").alias("count")).filter("count > 1").select(F.bitwise_not("k").alias("g"), "count")
+    keys = [F.collect_set(F.when(condition, F.col("g"))) for condition in (F.col("count") <= group, F.col("count") > group)]
+    return counted.join(again, "g").groupBy("t0", "t1").agg(keys[0].alias("few"), keys[1].alias("many"))
+
+
+def repeated_spans(texts: DataFrame, kind: Passages, search: Callable, first_stays: bool, group: int = 5_000) -> DataFrame:
+    """(t0, t1, start, stop, long, places): the runs of symbols that are repeats in each text, maybe overlapping.
 
     ``search(members)`` gets the members (t0, t1, first_doc, place, first, around) of one
-    gram and yields spans. ``first_stays``: the first occurrence of a passage (by document,
+    key and yields spans. ``first_stays``: the first occurrence of a passage (by document,
     then start) is not marked.
     """
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _columns(_GRAMS, (_counted(*kind.anchors_of_many(symbols, lengths), rows) for rows, lengths, symbols in _stretches(batches, kind)))
+
+    def anchors(symbols: np.ndarray, wanted: list[int]) -> tuple[np.ndarray, ...]:
+        gram, *rest = kind.anchors(symbols)
+        keep = np.isin(gram.view(np.int64), np.array(wanted, np.int64))
+        return gram[keep], *(c[keep] for c in rest)
+
+    def split(symbols: np.ndarray, grams: list[int], wanted: list[int]) -> tuple[np.ndarray, ...]:
+        key, *rest = kind.pieces(symbols, *anchors(symbols, grams)[1:])
+        keep = np.isin(key.view(np.int64), np.array(wanted, np.int64))
+        return key[keep], *(c[keep] for c in rest)
+
+    def piece_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[tuple]:
-            for rows, lengths, symbols in joined(batches):
-                gram, text = kind.anchors_of_many(symbols, lengths)
-                order = np.lexsort((gram, text))
-                gram, text = gram[order], text[order]
-                first = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (text[1:] != text[:-1])][: len(gram)])
-                keys = np.array(rows, np.int64)[text[first]]
-                yield gram[first].view(np.int64), np.diff(np.r_[first, len(gram)]), keys[:, 0], keys[:, 1]
-
-        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-            """Keys, lengths and symbols of successive texts, so many that array operations pay."""
-            rows, parts, size = [], [], 0
-            for t0, t1, _, _, text in rows_of(batches):
-                symbols = kind.symbols(text)
-                if len(symbols) >= kind.length:
-                    rows.append((t0, t1))
-                    parts.append(symbols)
-                    size += len(symbols)
-                if size >= 1 << 16:
-                    yield rows, np.array([len(p) for p in parts]), np.concatenate(parts)
-                    rows, parts, size = [], [], 0
-            if rows:
-                yield rows, np.array([len(p) for p in parts]), np.concatenate(parts)
+            for t0, t1, _, _, text, _, many in rows_of(batches):
+                if many:
+                    symbols = kind.symbols(text)
+                    key = kind.pieces(symbols, *anchors(symbols, many)[1:])[0]
+                    yield _counted(key, np.zeros(len(key), np.int64), [(t0, t1)])
 
         return _columns(_GRAMS, parts())
 
-    def chosen(batches: Iterator[pa.RecordBatch], which: int) -> Iterator[tuple]:
-        for *key, text, few, many in rows_of(batches):
-            wanted = (few, many)[which]
-            if wanted:
-                symbols = kind.symbols(text)
-                gram, place, first, last = kind.anchors(symbols)
-                keep = np.flatnonzero(np.isin(gram.view(np.int64), np.array(wanted, np.int64)))
-                yield key, text, symbols, gram.view(np.int64)[keep], place[keep], first[keep], last[keep]
+    def around(key: tuple, text: bytes, places: tuple[np.ndarray, ...]) -> Iterator[tuple]:
+        t0, t1, doc = key
+        symbols = kind.split(text)
+        for g, p, a, z in zip(places[0].view(np.int64).tolist(), *(c.tolist() for c in places[1:]), strict=True):
+            yield g, t0, t1, doc, p, a, kind.cut(symbols, a, z + kind.long)
 
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for (t0, t1, _, doc), text, _, gram, place, first, last in chosen(batches, 0):
-                split = kind.split(text)
-                for g, p, a, z in zip(gram.tolist(), place.tolist(), first.tolist(), last.tolist(), strict=True):
-                    yield g, t0, t1, doc, p, a, kind.cut(split, a, z + kind.length)
+            for t0, t1, _, doc, text, few, _ in rows_of(batches):
+                if few:
+                    yield from around((t0, t1, doc), text, anchors(kind.symbols(text), few))
 
         return batched(rows(), _AROUND, lambda row: 60 + len(row[-1]))
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts() -> Iterator[tuple]:
-            for (t0, t1, _, doc), _, symbols, _, _, first, last in chosen(batches, 1):
-                start = np.concatenate([np.arange(a, z + 1) for a, z in zip(first, last, strict=True)])
-                yield *(gram_hashes(symbols, kind.length, b)[start].view(np.int64) for b in BASES), t0, t1, (1 << 63) - 1 if doc is None else doc, start
+    def piece_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for t0, t1, _, doc, text, frequent, few, _ in rows_of(batches):
+                if few:
+                    yield from around((t0, t1, doc), text, split(kind.symbols(text), frequent, few))
+
+        return batched(rows(), _AROUND, lambda row: 60 + len(row[-1]))
 
-        return _columns(_WINDOWS, parts())
+    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts() -> Iterator[tuple]:
+            for t0, t1, _, doc, text, frequent, _, many in rows_of(batches):
+                if many:
+                    symbols = kind.symbols(text)
+                    _, _, first, last = split(symbols, frequent, many)
+                    start = np.concatenate([np.arange(a, z + 1) for a, z in zip(first, last, strict=True)])
+                    both = []
+                    for n in (kind.length, kind.long):
+                        for base in BASES:
+                            h = gram_hashes(symbols, n, base).view(np.int64)
+                            fits = start < len(h)
+                            both.append(np.where(fits, h[np.where(fits, start, 0)] if len(h) else 0, 0))
+                    yield *both, t0, t1, (1 << 63) - 1 if doc is None else doc, start
+
+        return _columns(_PASSAGES, parts())
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -228,41 +303,45 @@ def repeated_spans(texts: DataFrame, kind: Passages, search: Callable, first_sta
                 if len(held) > 1:
                     yield from search(held)
 
-        return batched(rows(), _SPANS, lambda row: 32)
+        return batched(rows(), _SPANS, lambda row: 48)
 
-    anchors = texts.mapInArrow(grams, _ddl(_GRAMS))
-    # Counted by the complement, so that the join's both sides come straight from shuffles of its
-    # own, which adaptive execution can split where one gram is very frequent.
-    again = anchors.groupBy(F.bitwise_not("g").alias("k")).agg(F.sum("n").alias("count")).filter("count > 1").select(F.bitwise_not("k").alias("g"), "count")
-    wanted = (
-        anchors.join(again, "g")
-        .groupBy("t0", "t1")
-        .agg(F.collect_set(F.when(F.col("count") <= group, F.col("g"))).alias("few"), F.collect_set(F.when(F.col("count") > group, F.col("g"))).alias("many"))
-    )
-    found = texts.join(wanted, ["t0", "t1"])
-    few = found.mapInArrow(surroundings, _ddl(_AROUND)).repartition("g").sortWithinPartitions("g").mapInArrow(searched, _ddl(_SPANS))
-    many = found.mapInArrow(windows, _ddl(_WINDOWS))
+    def in_groups(rows: DataFrame) -> DataFrame:
+        return rows.repartition("g").sortWithinPartitions("g").mapInArrow(searched, _ddl(_SPANS))
+
+    found = texts.join(_wanted(texts.mapInArrow(grams, _ddl(_GRAMS)), group), ["t0", "t1"])
+    finer = _wanted(found.mapInArrow(piece_keys, _ddl(_GRAMS)), group)
+    split_up = found.withColumnsRenamed({"few": "few_grams", "many": "frequent"}).drop("few_grams").join(finer, ["t0", "t1"])
+    around_all = found.mapInArrow(surroundings, _ddl(_AROUND)).unionByName(split_up.mapInArrow(piece_surroundings, _ddl(_AROUND)))
+    alike = split_up.mapInArrow(passages, _ddl(_PASSAGES))
+    spans = in_groups(around_all).unionByName(_same_passages(alike, "w", kind.length, kind.long == kind.length, first_stays))
+    if kind.long > kind.length:
+        spans = spans.unionByName(_same_passages(alike.filter((F.col("v0") != 0) | (F.col("v1") != 0)), "v", kind.long, True, first_stays))
+    return spans
+
+
+def _same_passages(alike: DataFrame, name: str, length: int, long: bool, first_stays: bool) -> DataFrame:
+    """Spans of the passages in ``alike`` whose hashes occur again; by the complement again, for the same reason."""
     order = F.struct("first_doc", "t0", "t1", "start")
-    # by the complement again, for the same reason
+    h0, h1 = f"{name}0", f"{name}1"
     counted = (
-        many.groupBy(F.bitwise_not("w0").alias("k0"), F.bitwise_not("w1").alias("k1"))
+        alike.groupBy(F.bitwise_not(h0).alias("k0"), F.bitwise_not(h1).alias("k1"))
         .agg(F.count("*").alias("n"), F.min(order).alias("least"))
         .filter("n > 1")
-        .select(F.bitwise_not("k0").alias("w0"), F.bitwise_not("k1").alias("w1"), "least")
+        .select(F.bitwise_not("k0").alias(h0), F.bitwise_not("k1").alias(h1), "least", "n")
     )
-    common = many.join(counted, ["w0", "w1"])
+    common = alike.join(counted, [h0, h1])
     if first_stays:
         common = common.filter(order != F.col("least"))
-    return few.unionByName(common.select("t0", "t1", "start", (F.col("start") + kind.length).alias("stop")))
+    return common.select("t0", "t1", "start", (F.col("start") + length).alias("stop"), F.lit(int(long)).cast("bigint").alias("long"), F.col("n").alias("places"))
 
 
 def with_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """``texts`` with the sorted starts and stops of each text's spans, or null."""
-    by_text = spans.groupBy("t0", "t1").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    return texts.join(by_text, ["t0", "t1"], "left").select("t0", "t1", "copies", "first_doc", "text", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))
+    """``texts`` with the sorted starts, stops and kinds of each text's spans, or null, and the most places of one."""
+    by_text = spans.groupBy("t0", "t1").agg(F.sort_array(F.collect_set(F.struct("start", "stop", "long"))).alias("spans"), F.max("places").alias("places"))
+    return texts.join(by_text, ["t0", "t1"], "left").select("t0", "t1", "copies", "first_doc", "text", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"), F.col("spans.long").alias("long"), "places")
 
 
-def merged(starts: list[int] | None, stops: list[int] | None) -> list[tuple[int, int]]:
+def merged(starts: Iterable[int] | None, stops: Iterable[int] | None) -> list[tuple[int, int]]:
     """Maximal runs that the spans, sorted by start, cover."""
     runs: list[list[int]] = []
     for a, z in zip(starts or [], stops or [], strict=True):

@@ -37,7 +37,8 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_array.remove_repeats(_table(spark, sf_dir, "documents"))
+    """Beside what 400 bytes remove, what repeats of 256 bytes cover: a passage of 50 words is often shorter than 400."""
+    return suffix_array.remove_repeats(_table(spark, sf_dir, "documents"), shared=256).drop("most_places")
 
 
 def op4_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,4 +103,33 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
                    sha256(coalesce(string_agg(ln, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
             FROM m GROUP BY doc_id""",
+        # a text's bytes as hexadecimal digits, two for each; a string of n bytes starts at each place
+        "op3_suffix_array": """
+            WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+            b AS (SELECT doc_id, x, unnest(range(0, length(x), 512)) AS base FROM d),
+            y AS (SELECT doc_id, base // 2 AS base, least(512, length(x) - base) // 2 AS n, x[base + 1 : base + 1312] AS x FROM b),
+            p AS (SELECT doc_id, base, x, unnest(range(n)) AS k FROM y),
+            w AS (SELECT doc_id, base + k AS pos, x[2 * k + 1 : 2 * k + 2] AS byte,
+                  CASE WHEN 2 * k + 800 <= length(x) THEN md5(x[2 * k + 1 : 2 * k + 800]) END AS long,
+                  CASE WHEN 2 * k + 512 <= length(x) THEN md5(x[2 * k + 1 : 2 * k + 512]) END AS short FROM p),
+            s AS (SELECT doc_id, pos, byte, long IS NOT NULL AND count(*) OVER (PARTITION BY long) > 1 AS gone,
+                  short IS NOT NULL AND count(*) OVER (PARTITION BY short) > 1 AS shared FROM w),
+            c AS (SELECT doc_id, pos, byte, max(gone) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) AS gone,
+                  max(shared) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 255 PRECEDING AND CURRENT ROW) AS shared FROM s),
+            r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER o, false) AS starts, pos - sum(shared::INT) OVER o AS run FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+            l AS (SELECT doc_id, max(n) AS longest FROM (SELECT doc_id, run, count(*) AS n FROM r WHERE shared GROUP BY ALL) GROUP BY doc_id),
+            g AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE starts) AS n_spans, count(*) FILTER (WHERE shared) AS n_shared,
+                  string_agg(byte, '' ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM r GROUP BY doc_id)
+            SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256,
+                   coalesce(n_shared, 0) AS n_shared, coalesce(longest, 0) AS longest_shared
+            FROM d LEFT JOIN g USING (doc_id) LEFT JOIN l USING (doc_id)""",
+        "op10_suffix_trees": r"""
+            WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+            p AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS pos FROM d),
+            w AS (SELECT doc_id, pos, words[pos] AS word, CASE WHEN pos + 19 <= len(words) THEN array_to_string(words[pos : pos + 19], ' ') END AS passage FROM p),
+            s AS (SELECT doc_id, pos, word, passage IS NOT NULL AND row_number() OVER (PARTITION BY passage ORDER BY doc_id, pos) > 1 AS again FROM w),
+            c AS (SELECT doc_id, pos, word, max(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM s),
+            g AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY doc_id)
+            SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+            FROM d LEFT JOIN g USING (doc_id)""".replace("\\\\", "\\"),
     }

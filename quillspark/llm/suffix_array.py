@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,14 +40,14 @@ def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
 
 
 def maximal_repeats(members: list[tuple[bytes, bytes]], length: int) -> Iterator[tuple[int, int, list[int]]]:
-    """(before, after, occurrences): groups of members (reversed left context, right context)
-    that agree in ``before`` bytes to the left and ``after`` to the right, ``length`` together.
+    """(before, after, occurrences): the maximal repeats of ``length`` bytes or more among members
+    (reversed left context, right context): groups that agree in ``before`` bytes to the left and
+    ``after`` to the right, and in no further byte on either side.
 
     The right contexts are the suffix array. At each node of its interval tree the left
-    contexts, sorted in reverse, are a suffix array of their own; its intervals of left
-    depth ``length - after`` or more are the repeats. A node whose members all go on with one
-    byte to the left isn't left-diverse: its shallower left intervals hold the same members
-    and are skipped, as the deeper one covers them.
+    contexts, sorted in reverse, are a suffix array of their own, whose intervals are
+    left-diverse: some members differ in the byte before. One that isn't right-diverse, as all
+    its members lie below one child of the node, is left to that child.
     """
     order = sorted(range(len(members)), key=lambda m: members[m][1])
     lcp = [0, *(common_prefix(members[a][1], members[b][1]) for a, b in zip(order, order[1:], strict=False))]
@@ -59,68 +59,119 @@ def maximal_repeats(members: list[tuple[bytes, bytes]], length: int) -> Iterator
         if max(back) + after < length:
             continue
         for before, lo, hi in intervals(back):
-            if hi > lo and before + after >= length:
+            if hi > lo and before + after >= length and diverse(members[m][1][after : after + 1] for m in inside[lo : hi + 1]):
                 yield before, after, inside[lo : hi + 1]
 
 
-def _search(length: int):
-    def search(members: list[tuple]) -> Iterator[tuple]:
-        around = {(place - first, text) for _, _, _, place, first, text in members}
-        if len(around) == 1:
-            yield from ((t0, t1, first, first + len(text)) for t0, t1, _, _, first, text in members)
-            return
-        # members with the same surroundings are one row of the suffix array
-        rows = sorted(around)
-        at = {row: k for k, row in enumerate(rows)}
-        held: list[list[tuple]] = [[] for _ in rows]
-        for t0, t1, _, place, first, text in members:
-            held[at[place - first, text]].append((t0, t1, place))
-        best: list[list[tuple[int, int]]] = [[(off, len(text) - off)] if len(held[k]) > 1 else [] for k, (off, text) in enumerate(rows)]
+def diverse(following: Iterable[bytes]) -> bool:
+    """Whether the next bytes differ; an end counts as different from all, another end too."""
+    seen = None
+    for b in following:
+        if not b or seen is not None and b != seen:
+            return True
+        seen = b
+    return False
+
+
+def repeats_at_anchor(members: list[tuple], length: int) -> Iterator[tuple[int, int, int, list[tuple]]]:
+    """(before, after, places, occurrences) of each maximal repeat around the anchor that ``members`` (t0, t1, first_doc, place, first, around) share."""
+    # members with the same surroundings are one row of the suffix array
+    alike: dict[tuple[int, bytes], list[tuple]] = {}
+    for t0, t1, _, place, first, text in members:
+        alike.setdefault((place - first, text), []).append((t0, t1, place))
+    rows = sorted(alike)
+    for off, text in rows:
+        held = alike[off, text]
+        if len(held) > 1 and len(text) >= length:
+            yield off, len(text) - off, len(held), held
+    if len(rows) > 1:
         for before, after, found in maximal_repeats([(text[:off][::-1], text[off:]) for off, text in rows], length):
-            for k in found:
-                best[k].append((before, after))
-        for k, spans in enumerate(best):
-            if spans:  # all hold the anchor, so together they are one run
-                before, after = (max(side) for side in zip(*spans, strict=True))
-                yield from ((t0, t1, place - before, place + after) for t0, t1, place in held[k])
+            occurrences = [m for k in found for m in alike[rows[k]]]
+            yield before, after, len(occurrences), occurrences
+
+
+def _search(length: int, long: int):
+    def search(members: list[tuple]) -> Iterator[tuple]:
+        # all repeats of a member hold the anchor, so together they are one run
+        runs: dict[tuple[tuple, int], list[int]] = {}
+        for before, after, places, occurrences in repeats_at_anchor(members, length):
+            for member in occurrences:
+                for is_long in (0, 1) if before + after >= long else (0,):
+                    run = runs.setdefault((member, is_long), [0, 0, 0])
+                    run[:] = max(run[0], before), max(run[1], after), max(run[2], places)
+        for ((t0, t1, place), is_long), (before, after, places) in runs.items():
+            yield t0, t1, place - before, place + after, is_long, places
 
     return search
 
 
-def byte_passages(length: int) -> Passages:
+def byte_passages(length: int, long: int | None = None) -> Passages:
     return Passages(
-        length=length, reach=max(1, length // 2), split=lambda text: text,
+        length=length, reach=max(1, length // 2), long=long or length, split=lambda text: text,
         symbols=lambda text: BYTES[np.frombuffer(text, np.uint8)], cut=lambda text, a, z: text[a:z],
     )
 
 
-_CLEAN = pa.schema([("t0", pa.int64()), ("t1", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())])
+def repeat_groups(docs: DataFrame, length: int = 256, group: int = 5_000) -> DataFrame:
+    """(repeat, n_bytes, places, t0, t1, start): the maximal repeats of ``length`` bytes or more
+    with all their occurrences, a row for each; ``repeat`` stands for the string, (t0, t1) for
+    the text, and places counts the occurrences in distinct texts.
+
+    Repeats are maximal within the surroundings of an anchor, up to twice ``length``; a longer
+    one shows as several that overlap. Those of a passage in more than ``group`` places are its
+    ``length`` bytes. Null and empty texts have none; no rows give no rows; other columns are ignored.
+    """
+
+    def search(members: list[tuple]) -> Iterator[tuple]:
+        for before, after, places, occurrences in repeats_at_anchor(members, length):
+            yield from ((t0, t1, place - before, place + after, 1, places) for t0, t1, place in occurrences)
+
+    texts = distinct_texts(docs)
+    spans = repeated_spans(texts, byte_passages(length, length), search, first_stays=False, group=group)
+    string = F.substring(F.col("text"), F.col("start").cast("int") + 1, (F.col("stop") - F.col("start")).cast("int"))
+    return spans.join(texts, ["t0", "t1"]).select(F.xxhash64(string).alias("repeat"), (F.col("stop") - F.col("start")).alias("n_bytes"), "places", "t0", "t1", "start").distinct()
+
+
+_CLEAN = pa.schema([
+    ("t0", pa.int64()), ("t1", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string()),
+    ("n_shared", pa.int64()), ("longest_shared", pa.int64()), ("most_places", pa.int64()),
+])
+_CLEAN_DDL = "t0 bigint, t1 bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string, n_shared bigint, longest_shared bigint, most_places bigint"
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, group: int = 20_000, keep_text: bool = False) -> DataFrame:
-    """Every row of ``docs`` (doc_id, text) as (doc_id, n_bytes, n_removed, n_spans, kept_sha256), and
-    kept (binary) with ``keep_text``.
+def remove_repeats(docs: DataFrame, length: int = 400, group: int = 5_000, keep_text: bool = False, shared: int | None = None) -> DataFrame:
+    """Every row of ``docs`` (doc_id, text) as (doc_id, n_bytes, n_removed, n_spans, kept_sha256),
+    kept (binary) with ``keep_text``, and (n_shared, longest_shared, most_places) with ``shared``.
 
     Each byte goes that a string of ``length`` bytes covers which also starts anywhere else,
     in this text or another row's; a null text is empty. All copies of a text of ``length``
-    bytes or more go wholly, and rows that repeat a doc_id are copies like any other. Texts
-    shorter than ``length`` stay. Other columns are ignored.
+    bytes or more go wholly, and rows that repeat a doc_id, or have none, are copies like any
+    other. Texts shorter than ``length`` stay, however long others are. n_shared counts the
+    bytes that repeats of only ``shared`` bytes (at most ``length``) cover, longest_shared those
+    of the longest run, and most_places how often the commonest of them starts in distinct
+    texts, or a copied text in rows; they remove nothing. No rows give no rows. Other columns are ignored.
     """
-    kind = byte_passages(length)
+    kind = byte_passages(min(shared or length, length), length)
     texts = distinct_texts(docs)
-    spans = repeated_spans(texts, kind, _search(length), first_stays=False, group=group)
+    spans = repeated_spans(texts, kind, _search(kind.length, length), first_stays=False, group=group)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for t0, t1, copies, _, text, starts, stops in rows_of(batches):
-                runs = [(0, len(text))] if copies > 1 and len(text) >= length else merged(starts, stops)
+            for t0, t1, copies, _, text, starts, stops, long, places in rows_of(batches):
+                spans = list(zip(starts or [], stops or [], long or [], strict=True))
+                runs = merged([a for a, _, is_long in spans if is_long], [z for _, z, is_long in spans if is_long])
+                found = merged(starts, stops)
+                if copies > 1 and len(text) >= kind.length:
+                    found, places = [(0, len(text))], max(copies, places or 0)
+                    runs = found if len(text) >= length else runs
                 edges = [0, *(e for run in runs for e in run), len(text)]
                 kept = b"".join(text[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True))
-                yield t0, t1, len(text), len(text) - len(kept), len(runs), kept if keep_text else None, hashlib.sha256(kept).hexdigest()
+                sizes = [z - a for a, z in found]
+                yield t0, t1, len(text), len(text) - len(kept), len(runs), kept if keep_text else None, hashlib.sha256(kept).hexdigest(), sum(sizes), max(sizes, default=0), places or 0
 
-        return batched(rows(), _CLEAN, lambda row: 120 + len(row[5] or b""))
+        return batched(rows(), _CLEAN, lambda row: 150 + len(row[5] or b""))
 
-    cleaned = with_spans(texts, spans).mapInArrow(clean, "t0 bigint, t1 bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string")
+    cleaned = with_spans(texts, spans).mapInArrow(clean, _CLEAN_DDL)
     t0, t1 = text_key(F.coalesce("text", F.lit("")))
     out = docs.select("doc_id", t0.alias("t0"), t1.alias("t1")).join(cleaned, ["t0", "t1"])
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_text)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_text, *["n_shared", "longest_shared", "most_places"] * (shared is not None))

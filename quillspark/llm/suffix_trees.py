@@ -29,7 +29,7 @@ def word_hashes(text: bytes) -> np.ndarray:
 
 def word_passages(length: int) -> Passages:
     return Passages(
-        length=length, reach=max(1, length * 3 // 5), split=bytes.split,  # at ASCII white space
+        length=length, reach=max(1, length * 3 // 5), long=length, split=bytes.split,  # at ASCII white space
         symbols=word_hashes, cut=lambda words, a, z: b" ".join(words[a:z]),
     )
 
@@ -67,7 +67,7 @@ def _search(length: int):
         for m in members:
             t0, t1, _, place, first, text = m
             if (place - first, text) in first_with:  # all its passages have come before
-                yield t0, t1, first, first + text.count(b" ") + 1
+                yield t0, t1, first, first + text.count(b" ") + 1, 1, 2
             else:
                 first_with[place - first, text] = m
         if len(first_with) == 1:
@@ -84,7 +84,7 @@ def _search(length: int):
                 for below in deep_nodes(suffixes, length):
                     for number in sorted(below)[1:]:  # members are in order of occurrence
                         t0, t1, _, place, _, _ = kept[number]
-                        yield t0, t1, place - before, place - before + length
+                        yield t0, t1, place - before, place - before + length, 1, len(below)
 
     return search
 
@@ -93,7 +93,7 @@ _CLEAN = pa.schema([("t0", pa.int64()), ("t1", pa.int64()), ("first_doc", pa.int
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def remove_repeated_words(docs: DataFrame, length: int = 20, group: int = 20_000, keep_text: bool = False) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, length: int = 20, group: int = 5_000, keep_text: bool = False) -> DataFrame:
     """Every row of ``docs`` (doc_id, text) as (doc_id, n_words, n_removed, kept_sha256), and kept
     (binary) with ``keep_text``.
 
@@ -101,7 +101,8 @@ def remove_repeated_words(docs: DataFrame, length: int = 20, group: int = 20_000
     in a smaller doc_id, or earlier in the same text. A later copy of a text goes wholly if
     it has ``length`` words. Rows that repeat the smallest doc_id of a text all count as its
     first; different texts under one doc_id are ordered by their hashes; a null doc_id
-    comes after all others. Null texts have no words. Other columns are ignored.
+    comes after all others. Null and empty texts have no words; texts of any length are read
+    whole; no rows give no rows. Other columns are ignored.
     """
     kind = word_passages(length)
     texts = distinct_texts(docs)
@@ -109,7 +110,7 @@ def remove_repeated_words(docs: DataFrame, length: int = 20, group: int = 20_000
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for t0, t1, _, doc, text, starts, stops in rows_of(batches):
+            for t0, t1, _, doc, text, starts, stops, _, _ in rows_of(batches):
                 words = text.split()
                 edges = [0, *(e for run in merged(starts, stops) for e in run), len(words)]
                 kept = b" ".join(w for a, z in zip(edges[::2], edges[1::2], strict=True) for w in words[a:z])

@@ -160,6 +160,56 @@ def test_word_repeats(docs, texts, length, group):
     assert _rows(suffix_trees.remove_repeated_words(docs, length, group)) == brute.repeated_words(texts, length)
 
 
+@pytest.mark.parametrize("group", [1, 2, 6, 5_000])
+def test_frequent_repeats(spark, group):
+    """Passages in very many texts, in others whole and in others cut, so that grams, pieces and passages are split."""
+    r = random.Random(8)
+    common = _words(r, 30, 9999)
+    texts = [f"{_words(r, r.randrange(9), 9999)} {common[r.randrange(3):][: r.randrange(60, 140)]} {_words(r, r.randrange(9), 9999)}" for _ in range(60)] + [common * 3, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert _rows(suffix_array.remove_repeats(docs, 40, group)) == brute.repeats(list(enumerate(texts)), 40)
+    assert _rows(suffix_trees.remove_repeated_words(docs, 6, group)) == brute.repeated_words(list(enumerate(texts)), 6)
+    found = suffix_array.remove_repeats(docs, 60, group, shared=40)
+    assert _rows(found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == brute.repeats(list(enumerate(texts)), 60)
+    assert _rows(found.select("doc_id", "n_shared")) == sorted([(d, n) for d, _, n, _, _ in brute.repeats(list(enumerate(texts)), 40)], key=repr)
+
+
+def test_repeat_groups(spark):
+    """Every pair of equal passages is in a group, groups hold equal strings, and can't be extended."""
+    r = random.Random(9)
+    a, b = _words(r, 8, 99), _words(r, 5, 99)
+    texts = [f"x{a}y{b}", f"z{a}y{b[:9]}", f"{b}{a}q", f"u{b}v", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = {(x.t0, x.t1): (x.text or "").encode() for x in anchors.distinct_texts(docs).withColumn("text", F.col("text").cast("string")).collect()}
+    length, groups = 12, {}
+    for x in suffix_array.repeat_groups(docs, length).collect():
+        groups.setdefault((x.repeat, x.places), set()).add((keys[x.t0, x.t1], x.start, x.n_bytes))
+    held = set()
+    for (_, places), found in groups.items():
+        assert len(found) == places > 1 and len({t[p : p + n] for t, p, n in found}) == 1
+        held |= {(t, q) for t, p, n in found for q in range(p, p + n - length + 1)}
+    starts = {}
+    for t in keys.values():
+        for p in range(len(t) - length + 1):
+            starts.setdefault(t[p : p + length], []).append((t, p))
+    assert held == {x for found in starts.values() if len(found) > 1 for x in found}
+
+
+def test_long_stretches():
+    """Anchors are the same where texts are longer than a stretch of places."""
+    kind = suffix_array.byte_passages(9)
+    symbols = kind.symbols(random.Random(3).randbytes(3000))
+    whole, kept = kind.anchors(symbols), anchors.PLACE
+    low = whole[0] >> np.uint64(kept)  # hashes that agree above the places' bits would be ties
+    assert len(np.unique(low)) == len(np.unique(whole[0]))
+    try:
+        anchors.PLACE = 8
+        parts = kind.anchors(symbols)
+    finally:
+        anchors.PLACE = kept
+    assert all((x == y).all() for x, y in zip(whole, parts, strict=True))
+
+
 def test_repeats_odd(odd, none):
     rows = _rows(suffix_array.remove_repeats(odd, 10).select("doc_id", "n_removed"))
     assert rows == sorted([(1, 18), (1, 18), (1, 0), (None, 18), (None, 0), (2, 0)], key=repr)
