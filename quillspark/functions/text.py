@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: White space that is trimmed (fixed values): not U+0085, but U+FEFF.
 TRIMMED = "\t\n\x0b\x0c\r   " + "".join(map(chr, range(0x2000, 0x200B))) + "    　﻿"
 PREVIEW_CHARS = 60
+#: A link of a Markdown text, whose first group is what it shows (fixed value).
+LINK = r"\[([^\]]+)\]\([^)]+\)"
 
 
 def trim(c: Column) -> Column:
@@ -24,7 +26,7 @@ def strip_markdown(c: Column) -> Column:
     c = F.regexp_replace(c, r"(?<![^\n\r\x{2028}\x{2029}])#+ ", "")
     for mark in ("**", "*", "`"):
         c = F.replace(c, F.lit(mark), F.lit(""))
-    return trim(F.regexp_replace(c, r"\[([^\]]+)\]\([^)]+\)", "$1"))
+    return trim(F.regexp_replace(c, LINK, "$1"))
 
 
 def preview(c: Column) -> Column:
@@ -46,3 +48,18 @@ def or_default(c: Column, default: str) -> Column:
 def grouped_number(c: Column) -> Column:
     """With thousands separators and up to three decimals; null for zero."""
     return F.when(c != 0, F.call_function("format_number", c, F.lit("#,##0.###")))
+
+
+def new_id() -> Column:
+    """A random version 4 UUID, another in each row and at each evaluation: write it before it is used twice."""
+    return F.expr("uuid()")
+
+
+def slot_char(typed: Column, at: Column) -> Column:
+    """The character of what was typed that the slot with this index shows, or null; indices start at 0."""
+    return F.nullif(F.substring(typed, at.cast("int") + 1, F.lit(1)), F.lit(""))
+
+
+def without(props: Column, *names: str) -> Column:
+    """A struct without the named fields; the rest is passed on."""
+    return props.dropFields(*names)

@@ -19,30 +19,47 @@ def _after(event: str, head: str) -> Column:
     return F.coalesce((e["ts"] > h["ts"]) | ((e["ts"] == h["ts"]) & (e["seq"] > h["seq"])), F.lit(False))
 
 
+#: What a note event may set; other names in a mask are ignored.
+NOTE_FIELDS = ["title", "markdown_content", "folder_id", "tags", "owner_id"]
+
+
+def _default(name: str) -> Column:
+    """What a new note has in a field that its create doesn't set."""
+    texts = {"title": schema.DEFAULT_TITLE, "markdown_content": schema.DEFAULT_BODY, "owner_id": schema.DEFAULT_OWNER}
+    return F.array().cast("array<string>") if name == "tags" else F.lit(texts.get(name)).cast("string")
+
+
 def fold_notes(events: DataFrame) -> DataFrame:
-    """``events`` (note_id, ts, seq, op, value) to the notes that are there in the end.
+    """``events`` (note_id, ts, seq, op, set_mask, and the fields that masks name) to the notes that are there in the end.
 
-    A create starts a note afresh, a delete ends it, and patches set one field of a note
-    that is there; so a field is that of its latest patch, if that came after the last
-    create, and a note is there if the last create or delete was a create.
+    A create starts a note afresh, with the fields it sets (null ones take their defaults); a
+    delete ends it; a patch of a note that is there sets the fields it names, to null perhaps.
+    So a field is that of the latest event after the last create that names it, and a note is
+    there if the last create or delete was a create. ``created_at``, where events have it,
+    is the moment that a create stands for if it isn't its own.
     """
-    op = F.col("op")
+    op, mask = F.col("op"), F.coalesce("set_mask", F.array().cast("array<string>"))
+    fields = [c for c in NOTE_FIELDS if c in events.columns]
+    born = F.coalesce("created_at", "ts") if "created_at" in events.columns else F.col("ts")
     folded = events.groupBy("note_id").agg(
-        _latest(op.isin("create", "delete"), "op").alias("head"),
-        _latest(op == "title", "value").alias("title"),
-        _latest(op == "body", "value").alias("body"),
+        _latest(op.isin("create", "delete"), "op", born.alias("born"), *(F.when(F.array_contains(mask, c), F.col(c)).alias(c) for c in fields)).alias("head"),
+        _latest(op == "patch").alias("patched"),
+        *(_latest((op == "patch") & F.array_contains(mask, c), F.col(c).alias("value")).alias(f"of_{c}") for c in fields),
     )
 
-    def field(name: str, default: str) -> Column:
-        return F.when(_after(name, "head"), F.col(name)["value"]).otherwise(default)
+    def field(name: str) -> Column:
+        if name not in fields:
+            return _default(name)
+        return F.when(_after(f"of_{name}", "head"), F.col(f"of_{name}")["value"]).otherwise(F.coalesce(F.col("head")[name], _default(name)))
 
-    def moment(name: str) -> Column:
-        return F.when(_after(name, "head"), F.col(name)["ts"])
+    updated = F.when(_after("patched", "head"), F.col("patched.ts")).otherwise(F.col("head.ts"))
+    return folded.filter(F.col("head.op") == "create").select("note_id", *(field(c).alias(c) for c in NOTE_FIELDS), F.col("head.born").alias("created_at"), updated.alias("updated_at"))
 
-    return folded.filter(F.col("head.op") == "create").select(
-        "note_id", field("title", schema.DEFAULT_TITLE).alias("title"), field("body", schema.DEFAULT_BODY).alias("markdown_content"),
-        F.col("head.ts").alias("created_at"), F.greatest("head.ts", moment("title"), moment("body")).alias("updated_at"),
-    )
+
+def as_events(folded: DataFrame) -> DataFrame:
+    """Folded notes as creates again, so that a fold may go on from them. They come before all events of their moment."""
+    mask = F.array(*map(F.lit, NOTE_FIELDS))
+    return folded.select("note_id", F.col("updated_at").alias("ts"), F.lit(-(2**63)).cast("bigint").alias("seq"), F.lit("create").alias("op"), mask.alias("set_mask"), *NOTE_FIELDS, "created_at")
 
 
 def changed_edits(edits: DataFrame) -> DataFrame:
@@ -58,32 +75,67 @@ def save_sessions(edits: DataFrame, gap: str) -> DataFrame:
     return edits.groupBy("note_id", w).agg(F.count("*").alias("edits")).select("note_id", F.col("w.start").alias("started"), F.col("w.end").alias("saved"), "edits")
 
 
+#: Ids count adds up to this number and then start again (fixed value).
+ID_WRAP = 2**53 - 1
+
+
+def numbered_adds(events: DataFrame) -> DataFrame:
+    """``events`` (list_id, ts, seq, type, ..) with ``adds``: how many messages the list had been given by then. An add's own number is its id."""
+    so_far = Window.partitionBy("list_id").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return events.withColumn("adds", F.sum((F.col("type") == "ADD").cast("bigint")).over(so_far))
+
+
+def toast_id(number: Column) -> Column:
+    """The id that the ``number``-th add of a list gets."""
+    return (number % ID_WRAP).cast("string")
+
+
 def fold_toasts(events: DataFrame) -> DataFrame:
-    """``events`` (list_id, ts, seq, type, title) to the message each list shows in the end, if any: (list_id, title, open).
+    """``events`` (list_id, ts, seq, type, toast_id, title, description) to the message each list shows in the end, if any:
+    (list_id, toast_id, title, description, open).
 
-    A list holds one message: an add replaces it, an update gives it another title, a
-    dismiss closes it and a remove takes it away.
+    A list holds one message, the one added last. An update changes what it gives (not null)
+    of the message with its id; a dismiss closes and a remove takes away the message with its
+    id, or any if it names none. Folded by id first and then by list, both with partial aggregates.
     """
     kind = F.col("type")
-    folded = events.groupBy("list_id").agg(
-        _latest(kind == "ADD", "title").alias("added"),
-        _latest(kind == "UPDATE", "title").alias("updated"),
+    by_id = events.groupBy("list_id", "toast_id").agg(
+        _latest(kind == "ADD", "title", "description").alias("added"),
+        _latest((kind == "UPDATE") & F.col("title").isNotNull(), "title").alias("retitled"),
+        _latest((kind == "UPDATE") & F.col("description").isNotNull(), "description").alias("described"),
         _latest(kind == "DISMISS").alias("dismissed"),
         _latest(kind == "REMOVE").alias("removed"),
     )
-    title = F.when(_after("updated", "added"), F.col("updated.title")).otherwise(F.col("added.title"))
-    return folded.filter(F.col("added").isNotNull() & ~_after("removed", "added")).select("list_id", title.alias("title"), (~_after("dismissed", "added")).alias("open"))
+    every, named = F.col("toast_id").isNull(), F.col("added").isNotNull()
+    head = F.struct(F.col("added.ts").alias("ts"), F.col("added.seq").alias("seq"), "toast_id", "added", "retitled", "described", "dismissed", "removed")
+    by_list = by_id.groupBy("list_id").agg(
+        F.max(F.when(named, head)).alias("head"), F.max(F.when(every, F.col("dismissed"))).alias("all_dismissed"), F.max(F.when(every, F.col("removed"))).alias("all_removed")
+    )
+    flat = by_list.filter(F.col("head").isNotNull()).select("list_id", "head", "head.*", "all_dismissed", "all_removed")
+    gone = _after("removed", "head") | _after("all_removed", "head")
+    shut = _after("dismissed", "head") | _after("all_dismissed", "head")
+    title = F.when(_after("retitled", "head"), F.col("retitled.title")).otherwise(F.col("added.title"))
+    description = F.when(_after("described", "head"), F.col("described.description")).otherwise(F.col("added.description"))
+    return flat.filter(~gone).select("list_id", "toast_id", title.alias("title"), description.alias("description"), (~shut).alias("open"))
 
 
 def toast_expiries(events: DataFrame, delay: str = "1000 seconds") -> DataFrame:
-    """(list_id, seq, expires): when a dismissed message is removed. Only the first dismiss after an add starts the delay."""
-    some = events.filter(F.col("type").isin("ADD", "DISMISS"))
-    before = F.lag("type").over(Window.partitionBy("list_id").orderBy("ts", "seq"))
-    first = some.withColumn("before", before).filter((F.col("type") == "DISMISS") & (F.col("before") == "ADD"))
-    return first.select("list_id", "seq", (F.col("ts") + F.expr(f"INTERVAL {delay}")).alias("expires"))
+    """(list_id, toast_id, seq, expires): when a dismissed message is removed, once for each id: its first dismiss starts the delay.
+
+    A dismiss without id is one of the message that the list holds then, if it holds any.
+    """
+    order = Window.partitionBy("list_id").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = F.last(F.when(F.col("type") == "ADD", F.col("toast_id")), ignorenulls=True).over(order)
+    now = events.withColumn("held", held)
+    since_add = Window.partitionBy("list_id", "held").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    takes = (F.col("type") == "REMOVE") & (F.col("toast_id").isNull() | (F.col("toast_id") == F.col("held")))
+    there = now.withColumn("gone", F.max(takes).over(since_add)).filter("type = 'DISMISS'")
+    meant = F.coalesce("toast_id", F.when(~F.col("gone"), F.col("held")))
+    first = there.withColumn("toast_id", meant).filter("toast_id IS NOT NULL").groupBy("list_id", "toast_id").agg(F.min(F.struct("ts", "seq")).alias("at"))
+    return first.select("list_id", "toast_id", "at.seq", (F.col("at.ts") + F.expr(f"INTERVAL {delay}")).alias("expires"))
 
 
 def latest_toast(events: DataFrame) -> DataFrame:
-    """(toast_id, title) of the last add: ids are a counter that starts again below 2^53."""
-    last = events.filter(F.col("type") == "ADD").orderBy(F.desc("ts"), F.desc("seq")).limit(1)
-    return last.select(((F.col("seq") + 1) % (2**53 - 1)).cast("string").alias("toast_id"), "title")
+    """(list_id, toast_id, title) of each list's last add; its id is the count of the list's adds."""
+    adds = events.filter(F.col("type") == "ADD").groupBy("list_id").agg(F.count("*").alias("n"), _latest(F.lit(True), "title").alias("last"))
+    return adds.select("list_id", toast_id(F.col("n")).alias("toast_id"), "last.title")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from quillspark import schema
 from quillspark.operators.views import first_by_position
 
-PATCHED = ["title", "markdown_content", "folder_id", "tags", "owner_id"]
+#: What a patch may set: any field but updated_at. A new id comes as ``new_id``, as ``id`` says which note is meant.
+PATCHED = ["id", "title", "markdown_content", "folder_id", "tags", "created_at", "owner_id"]
 
 
 def new_note(at: DataFrame, note_id: str, now: Column, given: Mapping[str, object] | None = None) -> DataFrame:
@@ -36,12 +37,16 @@ def create_note(notes: DataFrame, note_id: str, now: Column, given: Mapping[str,
 
 
 def update_notes(notes: DataFrame, patches: DataFrame, now: Column) -> DataFrame:
-    """``patches``: id, set_mask (the names of the fields it sets, to null perhaps) and those
-    fields. Positions stay; updated_at is ``now``; patches of unknown ids do nothing. Each id once."""
-    fields = [c for c in PATCHED if c in patches.columns]
-    p = patches.select(F.col("id").alias("patch_id"), "set_mask", *(F.col(c).alias(f"new_{c}") for c in fields))
+    """``patches``: id, set_mask (the names of the fields it sets, to null perhaps), those fields
+    (a new id as ``new_id``), and seq where an id has several: then a field is that of the last
+    that sets it. Positions stay; updated_at is ``now``; patches of unknown ids do nothing."""
+    given = {c: "new_id" if c == "id" else c for c in PATCHED}
+    fields = [c for c, name in given.items() if name in patches.columns]
+    seq = F.col("seq") if "seq" in patches.columns else F.lit(0)
+    last = [F.max(F.when(F.array_contains("set_mask", c), F.struct(seq.alias("seq"), F.col(given[c]).alias("value")))).alias(f"set_{c}") for c in fields]
+    p = patches.groupBy(F.col("id").alias("patch_id")).agg(F.count("*").alias("n_patches"), *last)
     joined = notes.join(p, notes.id == p.patch_id, "left")
-    changed = {c: F.when(F.coalesce(F.array_contains("set_mask", c), F.lit(False)), F.col(f"new_{c}")).otherwise(F.col(c)) for c in fields}
+    changed = {c: F.when(F.col(f"set_{c}").isNotNull(), F.col(f"set_{c}")["value"]).otherwise(F.col(c)) for c in fields}
     changed["updated_at"] = F.when(F.col("patch_id").isNotNull(), now).otherwise(F.col("updated_at"))
     return joined.select(*(changed.get(c, F.col(c)).alias(c) for c in notes.columns))
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from quillspark import schema
 from quillspark.functions import reltime, text
-from quillspark.operators import changelog, lookup, search, store, views
+from quillspark.operators import changelog, lookup, search, slots, store, views
 from quillspark.plans import notes as bind
 from quillspark.sources import codec
 
@@ -259,13 +259,14 @@ def changed_edits(spark, sf_dir):
     WITH e AS (SELECT CAST(user_id AS VARCHAR) AS note_id, ts, event_id AS seq, event_type AS kind, 'v' || event_id AS value FROM events WHERE event_type <> 'view'),
     s AS (SELECT *, count(*) FILTER (WHERE kind IN ('signup', 'error')) OVER (PARTITION BY note_id ORDER BY ts, seq) AS segment FROM e),
     g AS (SELECT note_id, segment, arg_min(kind, (ts, seq)) AS head, min(ts) AS created, max(ts) AS updated,
-        arg_max(value, (ts, seq)) FILTER (WHERE kind = 'click') AS title, arg_max(value, (ts, seq)) FILTER (WHERE kind = 'purchase') AS body FROM s GROUP BY ALL),
+        arg_max(value, (ts, seq)) FILTER (WHERE kind = 'click' OR (kind = 'signup' AND seq % 3 = 0)) AS title, arg_max(value, (ts, seq)) FILTER (WHERE kind = 'purchase') AS body,
+        arg_max(seq, (ts, seq)) FILTER (WHERE kind = 'click' AND seq % 4 = 0) AS moved FROM s GROUP BY ALL),
     l AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY segment DESC) = 1)
     SELECT note_id, coalesce(title, 'Untitled Note') AS title, coalesce(body, '# New note' || chr(10) || chr(10) || 'Write here.') AS markdown_content,
-        epoch_us(created) AS created_us, epoch_us(updated) AS updated_us FROM l WHERE head = 'signup'""")
+        CASE WHEN moved % 8 <> 0 THEN 'f' || moved END AS folder_id, 'local-user' AS owner_id, epoch_us(created) AS created_us, epoch_us(updated) AS updated_us FROM l WHERE head = 'signup'""")
 def changelog_fold(spark, sf_dir):
     folded = changelog.fold_notes(bind.note_events(spark, sf_dir))
-    return folded.select("note_id", "title", "markdown_content", F.unix_micros("created_at").alias("created_us"), F.unix_micros("updated_at").alias("updated_us"))
+    return folded.select("note_id", "title", "markdown_content", "folder_id", "owner_id", F.unix_micros("created_at").alias("created_us"), F.unix_micros("updated_at").alias("updated_us"))
 
 
 @_query(f"""
@@ -277,32 +278,120 @@ def save_sessions(spark, sf_dir):
     return found.select("note_id", F.unix_micros("started").alias("started_us"), F.unix_micros("saved").alias("saved_us"), "edits")
 
 
-_TOASTS = "SELECT CAST(user_id AS VARCHAR) AS list_id, ts, event_id AS seq, event_type AS kind, 'v' || event_id AS value FROM events WHERE event_type IN ('signup', 'click', 'error', 'purchase')"
+#: Adds are numbered as they come; the others name the message added last or the one before, or any (null).
+_TOASTS = """
+    n AS (SELECT CAST(user_id AS VARCHAR) AS list_id, ts, event_id AS seq, event_type AS kind, 'v' || event_id AS value,
+        count(*) FILTER (WHERE event_type = 'signup') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS adds FROM events WHERE event_type IN ('signup', 'click', 'error', 'purchase')),
+    t AS (SELECT list_id, ts, seq, kind, value, adds, CASE WHEN kind = 'signup' THEN adds WHEN kind <> 'click' AND seq % 5 = 0 THEN NULL ELSE greatest(adds - seq % 2, 1) END AS id FROM n)"""
+#: An action reaches the one message that the list holds, the last added, if it names that or none.
+_REACHES = "(id IS NULL OR id = adds)"
 
 
 @_query(f"""
-    WITH s AS (SELECT *, count(*) FILTER (WHERE kind = 'signup') OVER (PARTITION BY list_id ORDER BY ts, seq) AS segment FROM ({_TOASTS})),
-    g AS (SELECT list_id, segment, arg_max(value, (ts, seq)) FILTER (WHERE kind IN ('signup', 'click')) AS title,
-        coalesce(bool_or(kind = 'error'), false) AS dismissed, coalesce(bool_or(kind = 'purchase'), false) AS removed FROM s WHERE segment > 0 GROUP BY ALL),
-    l AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY list_id ORDER BY segment DESC) = 1)
-    SELECT list_id, title, NOT dismissed AS open FROM l WHERE NOT removed""")
+    WITH {_TOASTS},
+    l AS (SELECT *, max(adds) OVER (PARTITION BY list_id) AS last FROM t),
+    g AS (SELECT list_id, last, arg_max(value, (ts, seq)) FILTER (WHERE kind = 'signup' OR (kind = 'click' AND id = adds AND seq % 3 <> 0)) AS title,
+        arg_max(value, (ts, seq)) FILTER (WHERE kind = 'signup' OR (kind = 'click' AND id = adds AND seq % 2 <> 0)) AS description,
+        coalesce(bool_or(kind = 'error' AND {_REACHES}), false) AS dismissed, coalesce(bool_or(kind = 'purchase' AND {_REACHES}), false) AS removed
+        FROM l WHERE adds = last AND last > 0 GROUP BY ALL)
+    SELECT list_id, CAST(last AS VARCHAR) AS toast_id, title, 'd' || description AS description, NOT dismissed AS open FROM g WHERE NOT removed""")
 def toast_fold(spark, sf_dir):
     return changelog.fold_toasts(bind.toast_events(spark, sf_dir))
 
 
 @_query(f"""
-    WITH s AS (SELECT *, count(*) FILTER (WHERE kind = 'signup') OVER (PARTITION BY list_id ORDER BY ts, seq) AS segment FROM ({_TOASTS}))
-    SELECT list_id, arg_min(seq, (ts, seq)) AS seq, epoch_us(min(ts)) + 1000000000 AS expires_us FROM s WHERE segment > 0 AND kind = 'error' GROUP BY list_id, segment""")
+    WITH {_TOASTS},
+    s AS (SELECT *, bool_or(kind = 'purchase' AND {_REACHES}) OVER (PARTITION BY list_id, adds ORDER BY ts, seq) AS gone FROM t),
+    d AS (SELECT list_id, ts, seq, CASE WHEN id IS NOT NULL THEN id WHEN adds > 0 AND NOT gone THEN adds END AS meant FROM s WHERE kind = 'error')
+    SELECT list_id, CAST(meant AS VARCHAR) AS toast_id, arg_min(seq, (ts, seq)) AS seq, epoch_us(min(ts)) + 1000000000 AS expires_us FROM d WHERE meant IS NOT NULL GROUP BY list_id, meant""")
 def toast_expiry(spark, sf_dir):
     found = changelog.toast_expiries(bind.toast_events(spark, sf_dir))
-    return found.select("list_id", "seq", F.unix_micros("expires").alias("expires_us"))
+    return found.select("list_id", "toast_id", "seq", F.unix_micros("expires").alias("expires_us"))
 
 
-@_query(f"SELECT CAST((seq + 1) % 9007199254740991 AS VARCHAR) AS toast_id, value AS title FROM ({_TOASTS}) WHERE kind = 'signup' ORDER BY ts DESC, seq DESC LIMIT 1")
+@_query(f"WITH {_TOASTS} SELECT list_id, CAST(max(adds) AS VARCHAR) AS toast_id, arg_max(value, (ts, seq)) AS title FROM t WHERE kind = 'signup' GROUP BY list_id")
 def toast_latest(spark, sf_dir):
     return changelog.latest_toast(bind.toast_events(spark, sf_dir))
 
 
+# ---- the slot of the current note ----------------------------------------------------------
+
+_WRITES = """
+    w AS (SELECT user_id AS session, event_id AS seq, CASE WHEN event_type = 'view' THEN CASE WHEN event_id % 3 = 0 THEN 'x' || event_id ELSE CAST(event_id % 50 AS VARCHAR) END WHEN event_id % 2 = 0 THEN '' END AS id
+        FROM events WHERE event_type IN ('view', 'error')),
+    i AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id FROM documents),
+    l AS (SELECT session, arg_max(coalesce(id, ''), seq) AS id FROM w GROUP BY session),
+    slots AS (SELECT session, id FROM l WHERE id <> '')"""
+
+
+def _no_slots(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "session bigint, id string")
+
+
+@_query(f"WITH {_WRITES} SELECT session, id FROM slots")
+def slot_write(spark, sf_dir):
+    """Each user's slot after all writes and clears."""
+    return slots.written(_no_slots(spark), bind.slot_writes(spark, sf_dir))
+
+
+@_query(f"WITH {_WRITES} SELECT session, arg_max(id, seq) AS id FROM w WHERE id IN (SELECT id FROM i) GROUP BY session")
+def select_note(spark, sf_dir):
+    """As selections: those of unknown notes are no-ops, clears are none at all."""
+    return slots.selected(_no_slots(spark), bind.slot_writes(spark, sf_dir), bind.notes(spark, sf_dir))
+
+
+@_query(f"""WITH {_WRITES}, u AS (SELECT DISTINCT user_id AS session FROM events), f AS (SELECT id AS first FROM i ORDER BY doc_id LIMIT 1)
+    SELECT u.session, coalesce(i.id, f.first) AS current, coalesce(slots.id, f.first) AS id FROM u CROSS JOIN f LEFT JOIN slots USING (session) LEFT JOIN i ON slots.id = i.id""")
+def slot_on_load(spark, sf_dir):
+    """What each user sees first: a missing slot is filled, a stale one stays."""
+    held = slots.written(_no_slots(spark), bind.slot_writes(spark, sf_dir))
+    users = bind.table(spark, sf_dir, "events").select(F.col("user_id").alias("session")).distinct()
+    return slots.loaded(held, users, bind.notes(spark, sf_dir))
+
+
+@_query(f"WITH {_NOTES} SELECT {_REPORT}, id = 'new' AS active FROM n UNION ALL SELECT *, true FROM ({_NEW.format(id='new', position='(SELECT min(position) - 1 FROM n)')})")
+def new_note_selected(spark, sf_dir):
+    """A new note, and the slot that names it."""
+    made = store.create_note(bind.notes(spark, sf_dir), "new", bind.now())
+    opened = slots.selected(_no_slots(spark), spark.range(1).select(F.col("id").alias("session"), F.lit(1).alias("seq"), F.lit("new").alias("id")), made)
+    marked = made.join(opened.select(F.col("id").alias("current")), F.col("id") == F.col("current"), "left")
+    report = _report(made).columns
+    return _report(marked.withColumn("owner_id", F.struct("owner_id", "current"))).select(*[F.col("owner_id.owner_id").alias(c) if c == "owner_id" else c for c in report], F.col("owner_id.current").isNotNull().alias("active"))
+
+
+@_query("SELECT count(*) AS n, count(*) AS distinct_ids, count(*) AS well_formed FROM documents")
+def new_ids(spark, sf_dir):
+    """An id for each document: all differ, all are version 4 UUIDs."""
+    made = bind.table(spark, sf_dir, "documents").select(text.new_id().alias("id"))
+    formed = F.col("id").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
+    return made.agg(F.count("*").alias("n"), F.count_distinct("id").alias("distinct_ids"), F.sum(formed.cast("bigint")).alias("well_formed"))
+
+
+@_query("SELECT doc_id, source, lang FROM documents")
+def object_rest(spark, sf_dir):
+    """Each document's fields without its text and length."""
+    docs = bind.table(spark, sf_dir, "documents")
+    return docs.select(text.without(F.struct(*docs.columns), "text", "n_chars").alias("rest")).select("rest.*")
+
+
+@_query("SELECT doc_id, nullif(substring(source, CAST(doc_id % 6 + 1 AS INTEGER), 1), '') AS char FROM documents")
+def slot_char(spark, sf_dir):
+    """The character of the source's name that one of six slots shows."""
+    return bind.table(spark, sf_dir, "documents").select("doc_id", text.slot_char(F.col("source"), F.col("doc_id") % 6).alias("char"))
+
+
+@_query(f"""WITH {_NOTES}, p AS (SELECT CAST(doc_id AS VARCHAR) AS id, min(quality) AS q FROM labels GROUP BY doc_id)
+    SELECT CASE WHEN p.id IS NOT NULL THEN 'm' || n.id ELSE n.id END AS id, CASE WHEN p.id IS NULL THEN title WHEN q = 0 THEN NULL ELSE 'second' END AS title, sha256(markdown_content) AS body_sha256, folder_id,
+    array_to_string(tags, ',') AS tags, CASE WHEN p.id IS NULL THEN ms ELSE 0 END AS created_ms, CASE WHEN p.id IS NULL THEN ms ELSE {_NOW_MS} END AS updated_ms, owner_id, position FROM n LEFT JOIN p ON n.id = p.id""")
+def patch_any_field(spark, sf_dir):
+    """Several patches of one note in turn: a new id and creation time first, titles (or none) later."""
+    marks = bind.table(spark, sf_dir, "labels").groupBy(F.col("doc_id").cast("string").alias("id")).agg(F.min("quality").alias("q"))
+    steps = F.array(*(F.struct(F.lit(k).alias("seq"), F.array(*map(F.lit, mask)).alias("set_mask"), title.alias("title")) for k, mask, title in (
+        (1, ["id", "created_at", "title"], F.lit("first")), (2, ["title"], F.when(F.col("q") != 0, "second")))))
+    patches = marks.select("id", "q", F.explode(steps).alias("s")).select("id", "s.seq", "s.set_mask", "s.title", F.concat(F.lit("m"), "id").alias("new_id"), F.timestamp_seconds(F.lit(0)).alias("created_at"))
+    return _report(store.update_notes(bind.notes(spark, sf_dir), patches, bind.now()))
+
+
 # ---- library lookups -----------------------------------------------------------------------
 
 

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark import schema
+from quillspark.operators import changelog
 
 #: The moment that relative dates refer to.
 NOW = "2024-02-10 12:00:00"
-EVENT_OPS = {"signup": "create", "click": "title", "purchase": "body", "error": "delete", "view": "select"}
+EVENT_OPS = {"signup": "create", "click": "patch", "purchase": "patch", "error": "delete", "view": "select"}
 TOAST_TYPES = {"signup": "ADD", "click": "UPDATE", "error": "DISMISS", "purchase": "REMOVE"}
 
 
@@ -53,13 +54,31 @@ def _mapped(names: dict[str, str]):
 
 
 def note_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event log as changes to one note for each user."""
+    """The event log as changes to one note for each user. Every third create brings a title;
+    clicks set the title and every fourth the folder too, to null each second time; purchases set the body."""
+    number, kind = F.col("event_id"), F.col("event_type")
+    value = F.concat(F.lit("v"), number.cast("string"))
+    mask = (
+        F.when((kind == "signup") & (number % 3 == 0), F.array(F.lit("title")))
+        .when((kind == "click") & (number % 4 == 0), F.array(F.lit("title"), F.lit("folder_id")))
+        .when(kind == "click", F.array(F.lit("title")))
+        .when(kind == "purchase", F.array(F.lit("markdown_content")))
+    )
     return table(spark, sf_dir, "events").select(
-        F.col("user_id").cast("string").alias("note_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"),
-        _mapped(EVENT_OPS).alias("op"), F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("value"),
+        F.col("user_id").cast("string").alias("note_id"), F.col("ts").cast("timestamp").alias("ts"), number.alias("seq"),
+        _mapped(EVENT_OPS).alias("op"), mask.alias("set_mask"), value.alias("title"), value.alias("markdown_content"),
+        F.when(number % 8 != 0, F.concat(F.lit("f"), number.cast("string"))).alias("folder_id"),
     )
 
 
+def slot_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(session, seq, id): views write a note's id, which a third of the time is unknown; errors clear the slot, with null or an empty id."""
+    number, kind = F.col("event_id"), F.col("event_type")
+    wanted = F.when(number % 3 == 0, F.concat(F.lit("x"), number.cast("string"))).otherwise((number % 50).cast("string"))
+    events = table(spark, sf_dir, "events").filter(kind.isin("view", "error"))
+    return events.select(F.col("user_id").alias("session"), number.alias("seq"), F.when(kind == "view", wanted).when(number % 2 == 0, "").alias("id"))
+
+
 def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events as edits, whose value is the event's type, so that neighbours may be equal."""
     return table(spark, sf_dir, "events").select(
@@ -68,13 +87,20 @@ def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toast_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
+    """Adds get their ids by count. The others mean the message added last or the one before, or,
+    but for updates, every fifth time any. Every third update gives no title and every second no description."""
+    kind, number = _mapped(TOAST_TYPES), F.col("event_id")
+    value = F.concat(F.lit("v"), number.cast("string"))
+    events = (
         table(spark, sf_dir, "events")
         .filter(F.col("event_type").isin(*TOAST_TYPES))
-        .select(
-            F.col("user_id").cast("string").alias("list_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"),
-            _mapped(TOAST_TYPES).alias("type"), F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("title"),
-        )
+        .select(F.col("user_id").cast("string").alias("list_id"), F.col("ts").cast("timestamp").alias("ts"), number.alias("seq"), kind.alias("type"), value.alias("value"))
+    )
+    update, seq, adds = F.col("type") == "UPDATE", F.col("seq"), F.col("adds")
+    meant = F.when(F.col("type") == "ADD", adds).when(~update & (seq % 5 == 0), F.lit(None)).otherwise(F.greatest(adds - seq % 2, F.lit(1)))
+    return changelog.numbered_adds(events).select(
+        "list_id", "ts", "seq", "type", changelog.toast_id(meant).alias("toast_id"),
+        F.when(~(update & (seq % 3 == 0)), F.col("value")).alias("title"), F.when(~(update & (seq % 2 == 0)), F.concat(F.lit("d"), "value")).alias("description"),
     )
 
 

@@ -5,24 +5,47 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quillspark.sources import codec
 
 
 def write_collection(df: DataFrame, path: str) -> None:
     """Overwrite ``path``: written beside it first and then swapped, through Spark's own file
-    systems. A failed write leaves the old rows in place and is raised."""
+    systems. A failed write or swap leaves the old rows in place and is raised."""
     spark = df.sparkSession
     staged, old = f"{path}.staged-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     df.write.parquet(staged)
     jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        fs.rename(target, jvm.org.apache.hadoop.fs.Path(old))
-    if not fs.rename(jvm.org.apache.hadoop.fs.Path(staged), target):
-        fs.rename(jvm.org.apache.hadoop.fs.Path(old), target)
+    at = jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(at(path)) and not fs.rename(at(path), at(old)):
+        fs.delete(at(staged), True)
+        raise OSError(f"could not move {path} aside")
+    if not fs.rename(at(staged), at(path)):
+        fs.rename(at(old), at(path))
         raise OSError(f"could not put {staged} in place")
-    fs.delete(jvm.org.apache.hadoop.fs.Path(old), True)
+    fs.delete(at(old), True)
 
 
 def read_collection(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def set_aside(stored: DataFrame, item: T.StructType, path: str) -> DataFrame:
+    """``stored`` (key, value) without the collections that can't be decoded; those are added to
+    ``path`` first, as a write that follows would lose them."""
+    broken = codec.broken(F.col("value"), item)
+    stored.filter(broken).write.mode("append").parquet(path)
+    return stored.filter(~broken)
+
+
+def write_slot(spark: SparkSession, path: str, value: str | None) -> None:
+    """Overwrite a one-row table; null or the empty string clears it."""
+    write_collection(spark.range(1).select(F.lit(value).cast("string").alias("id")).filter(F.coalesce("id", F.lit("")) != "").coalesce(1), path)
+
+
+def read_slot(spark: SparkSession, path: str) -> DataFrame:
+    """(id): one row, or none where the slot is clear."""
+    return spark.read.schema("id string").parquet(path)

@@ -7,6 +7,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quillspark.operators import changelog
@@ -30,57 +31,125 @@ def notes_of_log(spark: SparkSession, path: str) -> DataFrame:
     return changelog.fold_notes(spark.read.parquet(path))
 
 
+class NoteTable:
+    """A sink for ``foreachBatch`` that keeps the folded notes themselves.
+
+    Batch n is folded into the state of the batch before and written as state n, so a batch
+    that is repeated gives the same again, and states don't grow with the log. Events without
+    note or operation go to ``quarantine`` instead. Two states are kept. Listeners get the
+    current state at once when they subscribe, and then after each batch.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.listeners: list[Callable[[DataFrame], None]] = []
+
+    def _numbers(self) -> list[int]:
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/states")
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        done = jvm.org.apache.hadoop.fs.Path
+        return sorted(int(n.removeprefix("state-")) for n in names if n.startswith("state-") and fs.exists(done(f"{self.path}/states/{n}/_SUCCESS")))
+
+    def _at(self, number: int) -> str:
+        return f"{self.path}/states/state-{number}"
+
+    def current(self) -> DataFrame | None:
+        """The notes after the last batch."""
+        numbers = self._numbers()
+        return self.spark.read.parquet(self._at(numbers[-1])) if numbers else None
+
+    def subscribe(self, listener: Callable[[DataFrame], None]) -> Callable[[], None]:
+        """Call ``listener`` with the current notes, now and after each batch; returns what ends that."""
+        self.listeners.append(listener)
+        if (state := self.current()) is not None:
+            listener(state)
+        return lambda: self.listeners.remove(listener) if listener in self.listeners else None
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        usable = F.col("note_id").isNotNull() & F.col("op").isin("create", "patch", "delete", "select")
+        whole = F.coalesce(usable, F.lit(False))
+        batch.filter(~whole).write.mode("overwrite").parquet(f"{self.path}/quarantine/batch={number}")
+        before = [n for n in self._numbers() if n < number]
+        events = batch.filter(whole)
+        if before:
+            held = changelog.as_events(self.spark.read.parquet(self._at(before[-1])))
+            events = held.unionByName(events, allowMissingColumns=True)
+        changelog.fold_notes(events).write.mode("overwrite").parquet(self._at(number))
+        for old in before[:-1]:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(self._at(old))
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        for listener in list(self.listeners):
+            listener(self.spark.read.parquet(self._at(number)))
+
+
 class ToastProcessor(StatefulProcessor):
-    """One message for each list: adds, updates, dismissals and removals as they arrive. A
-    first dismissal starts the delay after which the message is removed."""
+    """One message for each list: adds, updates, dismissals and removals, by id or of any, as they
+    arrive. The first dismissal of an id starts the delay after which that message is removed."""
 
     def __init__(self, delay_ms: int):
         self.delay_ms = delay_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.message = handle.getValueState("message", "title string, open boolean")
+        self.message = handle.getValueState("message", "toast_id string, title string, description string, open boolean")
+        self.adds = handle.getValueState("adds", "n bigint")
+        self.timers = handle.getMapState("timers", "toast_id string", "at bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        events = pd.concat(rows).sort_values(["ts", "seq"])
-        for event in events.itertuples():
-            held = self.message.get() if self.message.exists() else None
-            if event.type == "ADD":
-                self._stop()
-                self.message.update((event.title, True))
-            elif held is None:
-                continue
-            elif event.type == "UPDATE":
-                self.message.update((event.title, held[1]))
-            elif event.type == "DISMISS":
-                if held[1]:
-                    self.handle.registerTimer(int(event.ts.timestamp() * 1000) + self.delay_ms)
-                self.message.update((held[0], False))
-            elif event.type == "REMOVE":
-                self._stop()
-                self.message.clear()
+        events = pd.concat(rows).sort_values(["ts_ms", "seq"])  # one batch's events of one list
+        for event in events.astype(object).where(events.notna(), None).itertuples():
+            self._apply(event)
         yield self._row(key)
 
+    def _apply(self, event: Any) -> None:
+        if event.type == "ADD":
+            n = (self.adds.get()[0] if self.adds.exists() else 0) + 1
+            self.adds.update((n,))
+            self.message.update((event.toast_id or str(n % changelog.ID_WRAP), event.title, event.description, True))
+            return
+        held = tuple(self.message.get()) if self.message.exists() else None
+        meant = held is not None and event.toast_id in (None, held[0])
+        if event.type == "DISMISS" and (event.toast_id or held):
+            self._start_timer(event.toast_id or held[0], int(event.ts_ms))
+        if not meant:
+            return
+        if event.type == "UPDATE" and event.toast_id is not None:
+            new = [old if given is None else given for old, given in zip(held[1:3], (event.title, event.description), strict=True)]
+            self.message.update((held[0], *new, held[3]))
+        elif event.type == "DISMISS":
+            self.message.update((*held[:3], False))
+        elif event.type == "REMOVE":
+            self.message.clear()
+
+    def _start_timer(self, toast_id: str, ts_ms: int) -> None:
+        if not self.timers.containsKey((toast_id,)):
+            self.timers.updateValue((toast_id,), (ts_ms + self.delay_ms,))
+            self.handle.registerTimer(ts_ms + self.delay_ms)
+
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.message.clear()
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        for (toast_id,), (at,) in list(self.timers.iterator()):
+            if at <= now:
+                self.timers.removeKey((toast_id,))
+                if self.message.exists() and self.message.get()[0] == toast_id:
+                    self.message.clear()
         yield self._row(key)
 
-    def _stop(self) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-
     def _row(self, key: Any) -> pd.DataFrame:
-        title, shown = tuple(self.message.get()) if self.message.exists() else (None, None)
-        return pd.DataFrame({"list_id": [key[0]], "title": pd.Series([title], dtype=object), "open": pd.Series([shown], dtype=object)})
+        held = tuple(self.message.get()) if self.message.exists() else (None,) * 4
+        return pd.DataFrame({"list_id": [key[0]]} | {c: pd.Series([v], dtype=object) for c, v in zip(("toast_id", "title", "description", "open"), held, strict=True)})
 
     def close(self) -> None:
         pass
 
 
 def toasts(events: DataFrame, lateness: str = "10 seconds", delay_ms: int = 1_000_000) -> DataFrame:
-    """(list_id, title, open) after each batch that touches a list; nulls once the message is gone."""
+    """(list_id, toast_id, title, description, open) after each batch that touches a list; nulls once the message is gone."""
     return (
-        events.withWatermark("ts", lateness)
+        events.withColumn("ts_ms", F.unix_millis("ts"))
+        .withWatermark("ts", lateness)
         .groupBy("list_id")
-        .transformWithStateInPandas(ToastProcessor(delay_ms), "list_id string, title string, open boolean", "Update", "EventTime")
+        .transformWithStateInPandas(ToastProcessor(delay_ms), "list_id string, toast_id string, title string, description string, open boolean", "Update", "EventTime")
     )

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 import pytest
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark import schema
 from quillspark.functions import reltime, text
-from quillspark.operators import changelog, lookup, search, store, views
+from quillspark.operators import changelog, lookup, search, slots, store, views
 from quillspark.sources import codec, files
 from quillspark.streaming import folds
 
@@ -99,12 +100,49 @@ def test_staged_write(spark, tmp_path):
     assert [p.name for p in tmp_path.iterdir()] == ["notes"]
 
 
+def test_repeated_patches(spark):
+    notes = _notes(spark, [("A", "a", "x", []), ("B", "b", "y", ["t"])])
+    patches = spark.createDataFrame([("B", 1, ["title", "id"], "t1", "C"), ("B", 2, ["title"], None, None)], "id string, seq int, set_mask array<string>, title string, new_id string")
+    changed = store.update_notes(notes, patches, moment())
+    assert [(r.id, r.title) for r in changed.orderBy("position").collect()] == [("A", "a"), ("C", None)]
+
+
+def test_slots(spark, tmp_path):
+    path = str(tmp_path / "slot")
+    for value, held in (("A", ["A"]), ("", []), ("B", ["B"]), (None, [])):
+        files.write_slot(spark, path, value)
+        assert [r.id for r in files.read_slot(spark, path).collect()] == held
+    notes = _notes(spark, [("A", "a", "x", []), ("B", "b", "y", [])])
+    none = spark.createDataFrame([], "session int, id string")
+    asked = spark.createDataFrame([(1, 1, "B"), (1, 2, "Z"), (2, 1, "Z")], "session int, seq int, id string")
+    picked = slots.selected(none, asked, notes)
+    assert [tuple(r) for r in picked.collect()] == [(1, "B")]
+    stale = slots.written(picked, spark.createDataFrame([(3, 1, "Z"), (1, 1, None)], "session int, seq int, id string"))
+    assert sorted(map(tuple, stale.collect())) == [(3, "Z")]
+    sessions = spark.createDataFrame([(1,), (3,)], "session int")
+    assert sorted(map(tuple, slots.loaded(stale, sessions, notes).collect())) == [(1, "A", "A"), (3, "A", "Z")]
+
+
+def test_set_aside(spark, tmp_path):
+    stored = spark.createDataFrame([("a", "[]"), ("b", "not json")], "key string, value string")
+    assert [r.key for r in files.set_aside(stored, schema.STORED_NOTE, str(tmp_path / "aside")).collect()] == ["a"]
+    assert [r.key for r in spark.read.parquet(str(tmp_path / "aside")).collect()] == ["b"]
+
+
 def _at(ms):
     return datetime.fromtimestamp(ms / 1000)
 
 
 EDITS = [("n", _at(ms), seq, "x") for seq, ms in enumerate((0, 500, 1299, 3000))]
-TOASTS = [("l", _at(k), k, kind, title) for k, (kind, title) in enumerate([("ADD", "1"), ("ADD", "2"), ("UPDATE", "3"), ("DISMISS", None), ("DISMISS", None)])]
+#: As the reducer's source has it: an update of a message that was replaced does nothing, and a second dismiss of an id starts no new delay.
+TOASTS = [
+    ("l", _at(k), k, kind, toast_id, title, text)
+    for k, (kind, toast_id, title, text) in enumerate([
+        ("ADD", "1", "one", None), ("ADD", "2", "two", "text"), ("UPDATE", "1", "lost", None), ("UPDATE", "2", "new", None), ("DISMISS", "1", None, None), ("DISMISS", "2", None, None),
+        ("DISMISS", None, None, None), ("REMOVE", "1", None, None),
+    ])
+]
+TOAST_DDL = "list_id string, ts timestamp, seq long, type string, toast_id string, title string, description string"
 
 
 def test_sessions(spark):
@@ -113,10 +151,46 @@ def test_sessions(spark):
 
 
 def test_toasts(spark):
-    events = spark.createDataFrame(TOASTS, "list_id string, ts timestamp, seq long, type string, title string")
-    assert [tuple(r) for r in changelog.fold_toasts(events).collect()] == [("l", "3", False)]
+    events = spark.createDataFrame(TOASTS, TOAST_DDL)
+    assert [tuple(r) for r in changelog.fold_toasts(events).collect()] == [("l", "2", "new", "text", False)]
     expiry = changelog.toast_expiries(events).collect()
-    assert [(r.seq, round(r.expires.timestamp() * 1000)) for r in expiry] == [(3, 1_000_003)]
+    assert sorted((r.toast_id, r.seq, round(r.expires.timestamp() * 1000)) for r in expiry) == [("1", 4, 1_000_004), ("2", 5, 1_000_005)]
+    gone = events.unionByName(spark.createDataFrame([("l", _at(9), 9, "REMOVE", None, None, None), ("l", _at(10), 10, "DISMISS", None, None, None)], TOAST_DDL))
+    assert changelog.fold_toasts(gone).count() == 0
+    assert sorted(r.seq for r in changelog.toast_expiries(gone).collect()) == [4, 5]
+    assert [tuple(r) for r in changelog.latest_toast(events).collect()] == [("l", "2", "two")]
+    assert [r.adds for r in changelog.numbered_adds(events).orderBy("seq").collect()] == [1] + [2] * 7
+
+
+def test_toasts_by_a_plain_reducer(spark):
+    """Random logs, held against a reducer over one list at a time."""
+    r = random.Random(4)
+    rows, expected, timers = [], {}, {}
+    for name in "abcdefgh":
+        held, n = None, 0
+        for k in range(40):
+            kind = r.choice(["ADD", "UPDATE", "UPDATE", "DISMISS", "REMOVE"])
+            n += kind == "ADD"
+            which = str(n) if kind == "ADD" else r.choice([str(max(1, n)), str(max(1, n - 1)), None if kind != "UPDATE" else str(n)])
+            title, text = r.choice(["t", None]) and f"t{k}", r.choice(["d", None]) and f"d{k}"
+            rows.append((name, _at(k), k, kind, which, title, text))
+            if kind == "ADD":
+                held = [which, title, text, True]
+            elif kind == "DISMISS":
+                for meant in [which] if which else [held[0]] if held else []:
+                    timers.setdefault((name, meant), k)
+            if held and kind != "ADD" and which in (None, held[0]):
+                if kind == "UPDATE":
+                    held[1:3] = title or held[1], text or held[2]
+                elif kind == "DISMISS":
+                    held[3] = False
+                else:
+                    held = None
+        if held:
+            expected[name] = tuple(held)
+    events = spark.createDataFrame(rows, TOAST_DDL)
+    assert {x[0]: tuple(x[1:]) for x in changelog.fold_toasts(events).collect()} == expected
+    assert {(x.list_id, x.toast_id): x.seq for x in changelog.toast_expiries(events).collect()} == timers
 
 
 def test_streams(spark, tmp_path):
@@ -133,18 +207,32 @@ def test_streams(spark, tmp_path):
     finish(sessions.writeStream.format("memory").queryName("sessions").outputMode("append"), "sessions")
     assert sorted(r.edits for r in spark.table("sessions").filter("note_id = 'n'").collect()) == [1, 3]
 
-    ddl = "list_id string, ts timestamp, seq long, type string, title string"
-    toasts = folds.toasts(stream(spark.createDataFrame(TOASTS, ddl), ddl, "toasts"))
+    toasts = folds.toasts(stream(spark.createDataFrame(TOASTS, TOAST_DDL), TOAST_DDL, "toasts"))
     finish(toasts.writeStream.format("memory").queryName("toasts").outputMode("update"), "toasts")
-    assert ("l", "3", False) in [tuple(r) for r in spark.table("toasts").collect()]
+    assert ("l", "2", "new", "text", False) in [tuple(r) for r in spark.table("toasts").collect()]
 
-    ddl = "note_id string, ts timestamp, seq long, op string, value string"
-    log = [("n", _at(1), 1, "create", None), ("n", _at(2), 2, "title", "t"), ("m", _at(1), 3, "title", "lost"), ("d", _at(1), 4, "create", None), ("d", _at(2), 5, "delete", None)]
+    ddl = "note_id string, ts timestamp, seq long, op string, set_mask array<string>, title string, folder_id string"
+    log = [
+        ("n", _at(1), 1, "create", ["folder_id"], None, "f"), ("n", _at(2), 2, "patch", ["title"], "t", None), ("m", _at(1), 3, "patch", ["title"], "lost", None),
+        ("d", _at(1), 4, "create", None, None, None), ("d", _at(2), 5, "delete", None, None, None), ("p", _at(1), 6, "create", ["title"], None, None), ("p", _at(3), 7, "patch", ["folder_id"], None, None),
+    ]
     events = spark.createDataFrame(log, ddl)
     finish(stream(events, ddl, "events").writeStream.foreachBatch(folds.event_log(str(tmp_path / "log"))), "log")
-    key = ["note_id", "title", "markdown_content", "created_at", "updated_at"]
-    assert folds.notes_of_log(spark, str(tmp_path / "log")).select(key).collect() == changelog.fold_notes(events).select(key).collect()
-    assert [r.note_id for r in changelog.fold_notes(events).collect()] == ["n"]
+    folded = sorted(map(tuple, changelog.fold_notes(events).collect()))
+    assert sorted(map(tuple, folds.notes_of_log(spark, str(tmp_path / "log")).collect())) == folded
+    assert [r[:2] + r[3:4] for r in folded] == [("n", "t", "f"), ("p", schema.DEFAULT_TITLE, None)]
+
+    # the same log in three batches, one of them twice, into a table that listeners follow
+    table, seen = folds.NoteTable(spark, str(tmp_path / "table")), []
+    batches = [events.filter("seq < 3"), events.filter("seq BETWEEN 3 AND 5").unionByName(spark.createDataFrame([(None, _at(9), 9, "create", None, None, None), ("x", _at(9), 10, "?", None, None, None)], ddl)), events.filter("seq > 5")]
+    table(batches[0], 0)
+    stop = table.subscribe(lambda state: seen.append(state.count()))
+    for number in (1, 1, 2):
+        table(batches[number], number)
+    stop()
+    table(batches[2], 3)
+    assert sorted(map(tuple, table.current().collect())) == folded and seen == [1, 1, 1, 2]
+    assert spark.read.parquet(str(tmp_path / "table" / "quarantine")).count() == 2
 
 
 def test_lookups(spark):
