@@ -163,7 +163,7 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
 
 _GRAMS = pa.schema([("g", pa.int64()), ("n", pa.int64()), ("t0", pa.int64()), ("t1", pa.int64())])
 _AROUND = pa.schema([("g", pa.int64()), ("t0", pa.int64()), ("t1", pa.int64()), ("first_doc", pa.int64()), ("place", pa.int64()), ("first", pa.int64()), ("around", pa.binary())])
-_PASSAGES = pa.schema([(name, pa.int64()) for name in ("w0", "w1", "v0", "v1", "t0", "t1", "first_doc", "start")])
+_PASSAGES = pa.schema([(name, pa.int64()) for name in ("w0", "w1", "n", "t0", "t1", "first_doc", "start")])
 #: ``places``: how often the string starts anywhere; ``long``: whether it has ``Passages.long`` symbols (1) or less (0).
 _SPANS = pa.schema([(name, pa.int64()) for name in ("t0", "t1", "start", "stop", "long", "places")])
 
@@ -215,18 +215,18 @@ def _counted(key: np.ndarray, text: np.ndarray, rows: list[tuple[int, int]]) ->
     return key[first].view(np.int64), np.diff(np.r_[first, len(key)]), keys[:, 0], keys[:, 1]
 
 
-def _wanted(counted: DataFrame, group: int) -> DataFrame:
-    """(t0, t1, few, many): the keys of each text that occur again, those of more than ``group`` places apart.
+def _wanted(counted: DataFrame, group: int) -> tuple[DataFrame, DataFrame]:
+    """(t0, t1, few) and (t0, t1, many): the keys of each text that occur again, up to ``group`` times and oftener.
 
-    Counted by the complement, so that the join's both sides come straight from shuffles of its
-    own, which adaptive execution can split where one key is very frequent.
+    Counted by the complement, so that the joins' both sides come straight from shuffles of their
+    own, which adaptive execution can split where one key is very frequent, or drop where none is.
     """
     again = counted.groupBy(F.bitwise_not("g").alias("k")).agg(F.sum("n").alias("count")).filter("count > 1").select(F.bitwise_not("k").alias("g"), "count")
-    keys = [F.collect_set(F.when(condition, F.col("g"))) for condition in (F.col("count") <= group, F.col("count") > group)]
-    return counted.join(again, "g").groupBy("t0", "t1").agg(keys[0].alias("few"), keys[1].alias("many"))
+    ways = {"few": F.col("count") <= group, "many": F.col("count") > group}
+    return tuple(counted.join(again.filter(among), "g").groupBy("t0", "t1").agg(F.collect_set("g").alias(name)) for name, among in ways.items())
 
 
-def repeated_spans(texts: DataFrame, kind: Passages, search: Callable, first_stays: bool, group: int = 5_000) -> DataFrame:
+def repeated_spans(texts: DataFrame, kind: Passages, search: Callable, first_stays: bool, group: int = 20_000) -> DataFrame:
     """(t0, t1, start, stop, long, places): the runs of symbols that are repeats in each text, maybe overlapping.
 
     ``search(members)`` gets the members (t0, t1, first_doc, place, first, around) of one
@@ -249,11 +249,10 @@ def repeated_spans(texts: DataFrame, kind: Passages, search: Callable, first_sta
 
     def piece_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[tuple]:
-            for t0, t1, _, _, text, _, many in rows_of(batches):
-                if many:
-                    symbols = kind.symbols(text)
-                    key = kind.pieces(symbols, *anchors(symbols, many)[1:])[0]
-                    yield _counted(key, np.zeros(len(key), np.int64), [(t0, t1)])
+            for t0, t1, _, _, text, frequent in rows_of(batches):
+                symbols = kind.symbols(text)
+                key = kind.pieces(symbols, *anchors(symbols, frequent)[1:])[0]
+                yield _counted(key, np.zeros(len(key), np.int64), [(t0, t1)])
 
         return _columns(_GRAMS, parts())
 
@@ -265,34 +264,27 @@ def repeated_spans(texts: DataFrame, kind: Passages, search: Callable, first_sta
 
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for t0, t1, _, doc, text, few, _ in rows_of(batches):
-                if few:
-                    yield from around((t0, t1, doc), text, anchors(kind.symbols(text), few))
+            for t0, t1, _, doc, text, few in rows_of(batches):
+                yield from around((t0, t1, doc), text, anchors(kind.symbols(text), few))
 
         return batched(rows(), _AROUND, lambda row: 60 + len(row[-1]))
 
     def piece_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for t0, t1, _, doc, text, frequent, few, _ in rows_of(batches):
-                if few:
-                    yield from around((t0, t1, doc), text, split(kind.symbols(text), frequent, few))
+            for t0, t1, _, doc, text, frequent, few in rows_of(batches):
+                yield from around((t0, t1, doc), text, split(kind.symbols(text), frequent, few))
 
         return batched(rows(), _AROUND, lambda row: 60 + len(row[-1]))
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[tuple]:
-            for t0, t1, _, doc, text, frequent, _, many in rows_of(batches):
-                if many:
-                    symbols = kind.symbols(text)
-                    _, _, first, last = split(symbols, frequent, many)
-                    start = np.concatenate([np.arange(a, z + 1) for a, z in zip(first, last, strict=True)])
-                    both = []
-                    for n in (kind.length, kind.long):
-                        for base in BASES:
-                            h = gram_hashes(symbols, n, base).view(np.int64)
-                            fits = start < len(h)
-                            both.append(np.where(fits, h[np.where(fits, start, 0)] if len(h) else 0, 0))
-                    yield *both, t0, t1, (1 << 63) - 1 if doc is None else doc, start
+            for t0, t1, _, doc, text, frequent, many in rows_of(batches):
+                symbols = kind.symbols(text)
+                _, _, first, last = split(symbols, frequent, many)
+                every = np.concatenate([np.arange(a, z + 1) for a, z in zip(first, last, strict=True)])
+                for n in {kind.length, kind.long}:
+                    start = every[every <= len(symbols) - n]
+                    yield *(gram_hashes(symbols, n, base).view(np.int64)[start] for base in BASES), n, t0, t1, (1 << 63) - 1 if doc is None else doc, start
 
         return _columns(_PASSAGES, parts())
 
@@ -308,31 +300,28 @@ def repeated_spans(texts: DataFrame, kind: Passages, search: Callable, first_sta
     def in_groups(rows: DataFrame) -> DataFrame:
         return rows.repartition("g").sortWithinPartitions("g").mapInArrow(searched, _ddl(_SPANS))
 
-    found = texts.join(_wanted(texts.mapInArrow(grams, _ddl(_GRAMS)), group), ["t0", "t1"])
-    finer = _wanted(found.mapInArrow(piece_keys, _ddl(_GRAMS)), group)
-    split_up = found.withColumnsRenamed({"few": "few_grams", "many": "frequent"}).drop("few_grams").join(finer, ["t0", "t1"])
-    around_all = found.mapInArrow(surroundings, _ddl(_AROUND)).unionByName(split_up.mapInArrow(piece_surroundings, _ddl(_AROUND)))
-    alike = split_up.mapInArrow(passages, _ddl(_PASSAGES))
-    spans = in_groups(around_all).unionByName(_same_passages(alike, "w", kind.length, kind.long == kind.length, first_stays))
-    if kind.long > kind.length:
-        spans = spans.unionByName(_same_passages(alike.filter((F.col("v0") != 0) | (F.col("v1") != 0)), "v", kind.long, True, first_stays))
-    return spans
+    few, frequent = _wanted(texts.mapInArrow(grams, _ddl(_GRAMS)), group)
+    split_up = texts.join(frequent.withColumnRenamed("many", "frequent"), ["t0", "t1"])
+    few_pieces, many_pieces = _wanted(split_up.mapInArrow(piece_keys, _ddl(_GRAMS)), group)
+    around_all = texts.join(few, ["t0", "t1"]).mapInArrow(surroundings, _ddl(_AROUND))
+    around_all = around_all.unionByName(split_up.join(few_pieces, ["t0", "t1"]).mapInArrow(piece_surroundings, _ddl(_AROUND)))
+    spans = around_all.repartition("g").sortWithinPartitions("g").mapInArrow(searched, _ddl(_SPANS))
+    return spans.unionByName(_same_passages(split_up.join(many_pieces, ["t0", "t1"]).mapInArrow(passages, _ddl(_PASSAGES)), kind.long, first_stays))
 
 
-def _same_passages(alike: DataFrame, name: str, length: int, long: bool, first_stays: bool) -> DataFrame:
+def _same_passages(alike: DataFrame, long: int, first_stays: bool) -> DataFrame:
     """Spans of the passages in ``alike`` whose hashes occur again; by the complement again, for the same reason."""
     order = F.struct("first_doc", "t0", "t1", "start")
-    h0, h1 = f"{name}0", f"{name}1"
     counted = (
-        alike.groupBy(F.bitwise_not(h0).alias("k0"), F.bitwise_not(h1).alias("k1"))
-        .agg(F.count("*").alias("n"), F.min(order).alias("least"))
-        .filter("n > 1")
-        .select(F.bitwise_not("k0").alias(h0), F.bitwise_not("k1").alias(h1), "least", "n")
+        alike.groupBy(F.bitwise_not("w0").alias("k0"), F.bitwise_not("w1").alias("k1"), "n")
+        .agg(F.count("*").alias("places"), F.min(order).alias("least"))
+        .filter("places > 1")
+        .select(F.bitwise_not("k0").alias("w0"), F.bitwise_not("k1").alias("w1"), "n", "least", "places")
     )
-    common = alike.join(counted, [h0, h1])
+    common = alike.join(counted, ["w0", "w1", "n"])
     if first_stays:
         common = common.filter(order != F.col("least"))
-    return common.select("t0", "t1", "start", (F.col("start") + length).alias("stop"), F.lit(int(long)).cast("bigint").alias("long"), F.col("n").alias("places"))
+    return common.select("t0", "t1", "start", (F.col("start") + F.col("n")).alias("stop"), (F.col("n") == long).cast("bigint").alias("long"), "places")
 
 
 def with_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:

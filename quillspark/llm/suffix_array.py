@@ -112,7 +112,7 @@ def byte_passages(length: int, long: int | None = None) -> Passages:
     )
 
 
-def repeat_groups(docs: DataFrame, length: int = 256, group: int = 5_000) -> DataFrame:
+def repeat_groups(docs: DataFrame, length: int = 256, group: int = 20_000) -> DataFrame:
     """(repeat, n_bytes, places, t0, t1, start): the maximal repeats of ``length`` bytes or more
     with all their occurrences, a row for each; ``repeat`` stands for the string, (t0, t1) for
     the text, and places counts the occurrences in distinct texts.
@@ -139,7 +139,7 @@ _CLEAN = pa.schema([
 _CLEAN_DDL = "t0 bigint, t1 bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string, n_shared bigint, longest_shared bigint, most_places bigint"
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, group: int = 5_000, keep_text: bool = False, shared: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, group: int = 20_000, keep_text: bool = False, shared: int | None = None) -> DataFrame:
     """Every row of ``docs`` (doc_id, text) as (doc_id, n_bytes, n_removed, n_spans, kept_sha256),
     kept (binary) with ``keep_text``, and (n_shared, longest_shared, most_places) with ``shared``.
 
