@@ -19,10 +19,10 @@ LEVEL = 3
 @dataclass(frozen=True)
 class Sample:
     """The bound of the training sample: so many marked rows of each class at most, chosen by a
-    hash of doc_id, of which those over so many bytes are passed over. Half of them make the dictionaries, half calibrate."""
+    hash of doc_id, and of each so many pieces at most, at even distances from the start of its text to its end. Half of the rows make the dictionaries, half calibrate."""
 
     rows: int = 2500
-    row_bytes: int = 16_384
+    pieces: int = 2
     dictionary_bytes: int = 112_640
 
 
@@ -39,6 +39,11 @@ def chunks(text: bytes, size: int) -> list[bytes]:
     return [text[k : k + size] for k in range(0, len(text), size)] or [b""]
 
 
+def spread(pieces: list[bytes], n: int) -> list[bytes]:
+    """At most ``n`` of the pieces, at even distances from the first to the last."""
+    return pieces if len(pieces) <= n else [pieces[k * (len(pieces) - 1) // max(1, n - 1)] for k in range(n)]
+
+
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
@@ -47,22 +52,19 @@ class Scorer:
             if d is not None:
                 d.precompute_compress(level=LEVEL)
         self.ways = [zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False) if d else zstandard.ZstdCompressor(level=LEVEL) for d in dictionaries]
-        self.alone = zstandard.ZstdCompressor(level=1, write_content_size=False)
 
-    def features(self, text: bytes) -> list[float]:
-        """One, the normalised difference of the sizes, the size for each byte, and the size alone for each byte."""
-        if not text.strip():
-            return [1.0, 0.0, 1.0, 1.0]
-        pieces = chunks(text, self.model.chunk)
+    def features(self, pieces: list[bytes]) -> list[float]:
+        """One, and the normalised difference of the sizes in percent."""
+        if not any(p.strip() for p in pieces):
+            return [1.0, 0.0]
         good, bad = (sum(len(way.compress(p)) for p in pieces) for way in self.ways)
-        alone = sum(len(self.alone.compress(p)) for p in pieces)
-        return [1.0, 100 * (bad - good) / (bad + good), min(good, bad) / len(text), alone / len(text)]
+        return [1.0, 100 * (bad - good) / (bad + good)]
 
     def score(self, text: bytes) -> float:
         w = self.model.weights
         if len(w) == 1:
             return w[0]
-        z = sum(a * b for a, b in zip(w, self.features(text), strict=True))
+        z = sum(a * b for a, b in zip(w, self.features(chunks(text, self.model.chunk)), strict=True))
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
@@ -86,35 +88,42 @@ def _sample_ids(marks: DataFrame, n: int) -> DataFrame:
     return marks.filter(spread < int(share * 1_000_000) + 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
 
 
-def train(docs: DataFrame, marks: DataFrame, sample: Sample = Sample()) -> Model:
+_PIECES = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("pieces", pa.list_(pa.binary()))])
+
+
+def train(docs: DataFrame, marks: DataFrame, sample: Sample = Sample(), chunk: int = 2048) -> Model:
     """A model from a bounded sample of ``docs`` (doc_id, text) that ``marks`` (doc_id once, label 0 or 1) marks.
 
     The ids are chosen first, from the marks alone: at most ``2 * sample.rows`` of them are
-    sent to the executors, and only their texts are read back. With rows of one class only,
-    or none, every score is the smoothed share of label 1.
+    sent to the executors, and only pieces of their texts are read back. With rows of one class
+    only, or none, every score is the smoothed share of label 1.
     """
-    usable = docs.select("doc_id", "text").filter("text IS NOT NULL").filter(F.octet_length("text") <= sample.row_bytes)
     ids = [_sample_ids(marks.filter(F.col("label") == label), sample.rows) for label in (0, 1)]
-    chosen = usable.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
+    usable = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).filter("text IS NOT NULL")
+    chosen = usable.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").select("doc_id", F.col("label").cast("int").alias("label"), "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((d, label, spread(chunks(t, chunk), sample.pieces)) for d, label, t in rows_of(batches))
+        return batched(rows, _PIECES, lambda row: 16 + sum(map(len, row[2])))
+
     # a doc_id that rows repeat counts once, so the bound holds
-    each = chosen.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    read = sorted((r.label, r.doc_id, bytes(r.text)) for r in each.select("doc_id", "label", F.col("text").cast("binary").alias("text")).collect())
-    rows = [[text for mark, _, text in read if mark == label] for label in (0, 1)]
-    bad, good = rows
+    each = chosen.mapInArrow(cut, "doc_id bigint, label int, pieces array<binary>").groupBy("doc_id", "label").agg(F.min("pieces").alias("pieces"))
+    read = sorted((r.label, r.doc_id, [bytes(p) for p in r.pieces]) for r in each.collect())
+    bad, good = ([pieces for mark, _, pieces in read if mark == label] for label in (0, 1))
     if len(good) < 4 or len(bad) < 4:
-        return Model(b"", b"", ((len(good) + 1) / (len(good) + len(bad) + 2),))
+        return Model(b"", b"", ((len(good) + 1) / (len(good) + len(bad) + 2),), chunk)
     made = []
     for texts in (good, bad):
-        pieces = [p for t in texts[::2] for p in chunks(t, 2048) if len(p) >= 8]
+        pieces = [p for t in texts[::2] for p in t if len(p) >= 8]
         size = min(sample.dictionary_bytes, max(1024, sum(map(len, pieces)) // 4))
         try:
             made.append(zstandard.train_dictionary(size, pieces).as_bytes())
         except zstandard.ZstdError:  # too little text to select from: take it as it is
             made.append(b"".join(pieces)[-size:])
-    scorer = Scorer(Model(*made, ()))
+    scorer = Scorer(Model(*made, (), chunk))
     x = np.array([scorer.features(t) for texts in (good, bad) for t in texts[1::2]])
     y = np.r_[np.ones(len(good[1::2])), np.zeros(len(bad[1::2]))]
-    return Model(*made, _logistic(x, y))
+    return Model(*made, _logistic(x, y), chunk)
 
 
 def held_out(doc_id=None):
@@ -137,8 +146,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """Every row of ``docs`` (doc_id, text) as (doc_id, held_out, score, predicted).
 
     Scores look at nothing but the whole text. A null text scores as an empty one, whose
-    sizes say nothing: its score comes from the constant terms. Rows are scored one by one,
-    repeated or not; other columns are ignored.
+    sizes say nothing: its score comes from the constant term. Texts of any length are scored
+    whole, in pieces. Rows are scored one by one, repeated or not; a null doc_id isn't held
+    out; no rows give no rows; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

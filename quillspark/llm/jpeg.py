@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.cluster import batched, rows_of
 
-#: One MCU: a block of 64 coefficients for each of three components.
+#: Payloads are multiples of three blocks of 64 coefficients.
 UNIT = 192
-#: Blocks in a column of an image; the format allows 65,535 lines.
-MAX_HIGH = 8191
+#: One MCU: 16 x 16 pixels, of which four blocks are lightness and one each the two colours, at half their resolution.
+MCU = 384
+#: MCUs in a column of an image; the format allows 65,535 lines.
+MAX_HIGH = 4095
 
 
 def _zigzag() -> np.ndarray:
@@ -72,34 +74,36 @@ _RUN_TABLE = _table(1, 0, {4: [n << 4 for n in range(15)]})
 
 
 def encode(payload: bytes) -> bytes:
-    """A progressive JPEG, 4:4:4, whose coefficients are the bytes of ``payload``, a multiple of 192.
+    """A progressive JPEG, 4:2:0, whose coefficients are the bytes of ``payload``, a multiple of 192, and blanks that fill its last MCUs.
 
     Byte b is, as DC, the coefficient b - 128, and as AC one whose eight extra bits are b: b
     itself from 128, b - 255 below. All AC coefficients have one size, so each has one code.
     DC comes at 1/128 first and then a bit at a time; AC at 1/2, in bands, and then its last bit.
     """
-    n = len(payload) // UNIT
+    n = -(-len(payload) // MCU)
     wide = -(-n // MAX_HIGH)
     high = -(-n // wide)
-    filler = wide * high - n
-    values = np.frombuffer(payload + b" " * (UNIT * filler), np.uint8).reshape(-1, 3, 64)
-    frame = bytes((8,)) + (8 * high).to_bytes(2) + (8 * wide).to_bytes(2) + b"\3"
-    out = [_HEAD, _segment(0xC2, frame + b"".join(bytes((c + 1, 0x11, 0)) for c in range(3))), _FIRST_TABLES]
+    values = np.frombuffer(payload + b" " * (MCU * wide * high - len(payload)), np.uint8).reshape(-1, 6, 64)
+    frame = bytes((8,)) + (16 * high).to_bytes(2) + (16 * wide).to_bytes(2) + b"\3"
+    out = [_HEAD, _segment(0xC2, frame + bytes((1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0))), _FIRST_TABLES]
     dc = values[:, :, 0].astype(np.int16) - 128
-    top = dc >> 7
-    step = np.diff(top, axis=0, prepend=np.zeros((1, 3), np.int16)).ravel()
+    step = np.empty_like(dc)
+    for own in _COMPONENTS:  # each component's differences run through its own blocks
+        top = (dc[:, own] >> 7).ravel()
+        step[:, own] = np.diff(top, prepend=np.int16(0)).reshape(len(dc), -1)
     # +1: code 0 and bit 1; -1: code 0 and bit 0; 0: code 10
-    pairs = np.stack([(step == 0).astype(np.uint8), (step == 1).astype(np.uint8)], axis=1)
+    pairs = np.stack([(step == 0).astype(np.uint8), (step == 1).astype(np.uint8)], axis=2)
     out.append(_scan([0, 1, 2], 0, 0, 0, 7, _entropy(pairs.ravel())))
     for low in range(6, -1, -1):
         out.append(_scan([0, 1, 2], 0, 0, low + 1, low, _entropy(((dc >> low) & 1).astype(np.uint8).ravel())))
+    planes = [_in_rows(values[:, own], high, wide) for own in _COMPONENTS]
     for component, bands in ((0, ((1, 5), (6, 63))), (1, ((1, 63),)), (2, ((1, 63),))):
         for first, last in bands:
             # the code is one zero bit, and seven extra bits follow
-            out.append(_scan([component], first, last, 0, 1, (values[:, component, first : last + 1] >> 1).tobytes()))
+            out.append(_scan([component], first, last, 0, 1, (planes[component][:, first : last + 1] >> 1).tobytes()))
     out.append(_RUN_TABLE)
-    for component in range(3):
-        own = values[:, component, 1:]
+    for component, plane in enumerate(planes):
+        own = plane[:, 1:]
         bits = own & 1 ^ (own < 128)
         parts = []
         for at in range(0, len(bits), 0x7FFF):
@@ -112,6 +116,21 @@ def encode(payload: bytes) -> bytes:
     return b"".join(out)
 
 
+#: The blocks of an MCU that each component has.
+_COMPONENTS = (slice(0, 4), slice(4, 5), slice(5, 6))
+
+
+def _in_rows(blocks: np.ndarray, high: int, wide: int) -> np.ndarray:
+    """The blocks of a component, MCU by MCU, in the order of the picture's rows instead."""
+    side = 2 if blocks.shape[1] == 4 else 1
+    return blocks.reshape(high, wide, side, side, 64).swapaxes(1, 2).reshape(-1, 64)
+
+
+def _in_mcus(rows: np.ndarray, high: int, wide: int, side: int) -> np.ndarray:
+    """The reverse: (MCUs, blocks, 64)."""
+    return rows.reshape(high, side, wide, side, 64).swapaxes(1, 2).reshape(high * wide, side * side, 64)
+
+
 # ---- reading -------------------------------------------------------------------------------
 
 
@@ -132,8 +151,6 @@ class Image:
     components: dict[int, Component] = field(default_factory=dict)
     quant: dict[int, np.ndarray] = field(default_factory=dict)
     places: dict[tuple[int, ...], list[Places]] = field(default_factory=dict)
-    #: (blocks, components, 64), where all components have one size; theirs are parts of it.
-    whole: np.ndarray | None = None
 
     def most(self, side: str) -> int:
         return max(getattr(c, side) for c in self.components.values())
@@ -226,6 +243,8 @@ def decode_coefficients(data: bytes) -> Image:
     while True:
         marker = data[at + 1]
         if marker == 0xD9:
+            if not image.components:
+                raise ValueError("a JPEG without picture")
             return image
         size = int.from_bytes(data[at + 2 : at + 4])
         body = data[at + 4 : at + 2 + size]
@@ -248,10 +267,6 @@ def decode_coefficients(data: bytes) -> Image:
                 c.wide = -(-image.width // (8 * h_max)) * c.h
                 c.high = -(-image.height // (8 * v_max)) * c.v
                 c.coefficients = np.zeros((c.wide * c.high, 64), np.int16)
-            if h_max == v_max == 1:
-                image.whole = np.zeros((c.wide * c.high, len(image.components), 64), np.int16)
-                for k, c in enumerate(image.components.values()):
-                    c.coefficients = image.whole[:, k]
         elif marker == 0xDA:
             end = at
             while (end := data.index(b"\xff", end)) >= 0 and data[end + 1] == 0:
@@ -269,8 +284,8 @@ def _read_scan(image, scan, numbers, tables, first, last, high, low, data) -> No
     bits = _Bits(data)
     places = _places(image, scan)
     components = [image.components[k] for k in scan]
-    if first == 0 and image.whole is not None and scan == tuple(image.components) and (high or _two_bits(tables, numbers)):
-        _whole_dc(bits.bits, image.whole[:, :, 0], high, low)
+    if first == 0 and high == 0 and _two_bits(tables, numbers):
+        _quick_dc(bits.bits, components, places, low)
     elif first == 0 and high == 0:
         _read_dc(bits, components, [tables[n >> 4] for n in numbers], places, low)
     elif first == 0:
@@ -285,15 +300,15 @@ def _two_bits(tables, numbers) -> bool:
     return all(tables[n >> 4] == {(1, 0): 1, (2, 2): 0} for n in numbers)
 
 
-def _whole_dc(bits: np.ndarray, dc: np.ndarray, high: int, low: int) -> None:
-    """A scan of the DC of all components, one block each in an MCU, all at once."""
-    rows, width = dc.shape
-    if high:
-        dc |= bits[: rows * width].reshape(rows, width).astype(np.int16) << low
-        return
+def _quick_dc(bits: np.ndarray, components: list[Component], places: list[Places], low: int) -> None:
+    """A first scan of DC whose differences all take two bits, all at once."""
+    rows, width = places[0].rows, sum(p.cols for p in places)
     pairs = bits[: 2 * rows * width].reshape(rows, width, 2)
     steps = np.where(pairs[:, :, 0] == 1, 0, 2 * pairs[:, :, 1].astype(np.int16) - 1)
-    dc[:] = np.cumsum(steps, axis=0) << low
+    k = 0
+    for component, place in zip(components, places, strict=True):
+        component.coefficients[place.at, 0] = np.cumsum(steps[:, k : k + place.cols].ravel()) << low
+        k += place.cols
 
 
 def _read_dc(bits, components, codes, places, low) -> None:
@@ -416,9 +431,12 @@ def to_rgb(image: Image) -> np.ndarray:
 def decode(data: bytes) -> tuple[bytes, np.ndarray]:
     """The payload that :func:`encode` stored, with its filler, and the RGB tensor."""
     image = decode_coefficients(data)
-    values = image.whole + 255 * (image.whole < 0)
-    values[:, :, 0] = image.whole[:, :, 0] + 128
-    return values.astype(np.uint8).tobytes(), to_rgb(image)
+    parts = []
+    for c in image.components.values():
+        values = c.coefficients + 255 * (c.coefficients < 0)
+        values[:, 0] = c.coefficients[:, 0] + 128
+        parts.append(_in_mcus(values.astype(np.uint8), c.high // c.v, c.wide // c.h, c.h))
+    return np.concatenate(parts, axis=1).tobytes(), to_rgb(image)
 
 
 # ---- columns -------------------------------------------------------------------------------
@@ -433,8 +451,9 @@ _READ_DDL = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256
 
 def store_texts(docs: DataFrame) -> DataFrame:
     """Every row of ``docs`` (doc_id, text) as (doc_id, n_bytes, media): its UTF-8 bytes, with blanks up
-    to a positive multiple of 192, as a progressive JPEG. A null text is empty; rows are
-    stored each, repeated or not; other columns are ignored."""
+    to a positive multiple of 192, as a progressive JPEG. A null text is empty; texts beyond
+    4,095 MCUs go into more columns; rows are stored each, repeated or not; no rows give no
+    rows; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -459,17 +478,26 @@ def feature(rgb: np.ndarray) -> str:
 
 def read_media(media: DataFrame, with_rgb: bool = True) -> DataFrame:
     """Rows (doc_id, n_bytes, media) decoded: digests of the payload and the stored form, a feature,
-    and (height, width, rgb) of the full-resolution tensor; rgb is null without ``with_rgb``."""
+    and (height, width, rgb) of the full-resolution tensor; rgb is null without ``with_rgb``.
+
+    Null media, and media that break off or aren't such pictures, give nulls in all but doc_id,
+    n_bytes and the size and digest of what is there. Repeated rows are read each; no rows give no rows.
+    """
+
+    def read(n: int | None, data: bytes) -> tuple:
+        try:
+            stored, rgb = decode(data)
+        except (ValueError, IndexError, KeyError):  # not a whole picture
+            return (None,) * 7
+        payload = stored[: n + (-n % UNIT if n else UNIT)] if n is not None else stored
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), feature(rgb), rgb.shape[0], rgb.shape[1], rgb.tobytes() if with_rgb else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for doc, n, data in rows_of(batches):
-                stored, rgb = decode(data)
-                payload = stored[: n + (-n % UNIT if n else UNIT)]
-                yield (
-                    doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(),
-                    feature(rgb), rgb.shape[0], rgb.shape[1], rgb.tobytes() if with_rgb else None,
-                )
+                size, digest, crc, seen, height, width, rgb = read(n, data or b"")
+                form = (None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
+                yield doc, n, size, digest, crc, *form, seen, height, width, rgb
 
         return batched(rows(), _READ, lambda row: 250 + len(row[-1] or b""))
 

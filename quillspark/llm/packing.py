@@ -39,12 +39,11 @@ class Encoder:
 
     @classmethod
     def of_process(cls, path: str, end_id: int) -> Encoder:
-        """This process's encoder. It's kept on the library's module, which outlives the task."""
-        kept = vars(tokenizers).setdefault("_kept_encoders", {})
-        if (path, end_id) not in kept:
+        """This process's encoder: a Python worker serves one task after another, and knows more parts each time."""
+        if (path, end_id) not in _encoders:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            kept[path, end_id] = cls(path, end_id)
-        return kept[path, end_id]
+            _encoders[path, end_id] = cls(path, end_id)
+        return _encoders[path, end_id]
 
     def __call__(self, text: str) -> np.ndarray:
         text = self.POINT.sub(r" \1", text.replace("\n", " ").replace("\t", " ").replace("\r", " "))
@@ -62,6 +61,9 @@ class Encoder:
         return np.frombuffer(b"".join(map(known.__getitem__, parts)) + self.end, np.uint32)
 
 
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
 def combinations(slots: int = SLOTS, depth: int = 3) -> np.ndarray:
     """Columns of counts: the ways to fill ``slots`` with at most ``depth`` lengths of 1 to ``slots``."""
     found: list[tuple[int, ...]] = []

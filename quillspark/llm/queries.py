@@ -55,14 +55,19 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jpeg.read_media(jpeg.store_texts(_table(spark, sf_dir, "documents")), with_rgb=False).drop("height", "width", "rgb")
+    """The digests, and the full-resolution tensor (height, width, 3) as ``rgb``."""
+    return jpeg.read_media(jpeg.store_texts(_table(spark, sf_dir, "documents")))
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data.find_personal_data(_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["rank"] < len(personal_data.BASE))
     counts = [F.size(personal_data.of_kind(F.col("spans"), k)).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(personal_data.BASE)]
-    return found.select("doc_id", *counts, F.sha2(personal_data.named(base), 256).alias("base_sha256"), personal_data.named(F.col("spans")).alias("spans"))
+    n_spans = F.size("spans").cast("bigint")
+    return found.select(
+        "doc_id", *counts, F.sha2(personal_data.named(base), 256).alias("base_sha256"), personal_data.named(F.col("spans")).alias("spans"),
+        n_spans.alias("n_spans"), (n_spans - F.size(base)).alias("n_added"),
+    )
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

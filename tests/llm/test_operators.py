@@ -1,7 +1,9 @@
 """The numbered operators against plain versions, with nulls, ties, repeated rows, long texts and empty tables."""
 
 import random
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import anchors, components, compression, jpeg, line_runs, packing, personal_data, queries, simhash, suffix_array, suffix_trees, tiling, url_cascade
 from tests.llm import brute
 
+SF = "/root/testdata/sf0.01"
 #: Columns whose names the operators use inside.
 CLASHING = ["fp", "g", "h0", "h1", "n", "tag", "row", "t0", "t1", "spans", "key", "owner", "node", "label", "source", "n_chars", "media", "score"]
 
@@ -278,6 +281,37 @@ def test_classifier(spark, docs, none, odd):
     assert compression.score(odd, compression.train_on(none, labels.limit(0))).first().score == 0.5
 
 
+def test_sizes_and_calibration(spark):
+    """Features against plain compression, and held-out scores that mean what they say."""
+    import duckdb
+    import zstandard
+
+    if not Path(SF).exists():
+        pytest.skip("the given tables are not here")
+    docs, labels = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("documents", "labels"))
+    model = compression.train_on(docs, labels)
+    scorer = compression.Scorer(model)
+    text = docs.orderBy(F.desc("n_chars")).first().text.encode()
+    pieces = [text[k : k + 2048] for k in range(0, len(text), 2048)]
+    sizes = []
+    for d in (model.good, model.bad):
+        way = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False)
+        sizes.append(sum(len(way.compress(p)) for p in pieces))
+    assert abs(scorer.features(pieces)[1] - 100 * (sizes[1] - sizes[0]) / sum(sizes)) < 1
+    assert scorer.features([b""]) == scorer.features([b" \n"]) == [1.0, 0.0]
+    marks = dict(duckdb.sql(f"SELECT doc_id, min(quality) FROM '{SF}/labels.parquet' GROUP BY doc_id").fetchall())
+    held = [(r.score, marks[r.doc_id]) for r in compression.score(docs, model).collect() if r.held_out and r.doc_id in marks]
+    good, bad = [s for s, y in held if y == 1], [s for s, y in held if y == 0]
+    wins = sum((a > b) + (a == b) / 2 for a in good for b in bad) / (len(good) * len(bad))
+    assert wins > 0.95
+    assert abs(sum(s for s, _ in held) - len(good)) < 0.1 * len(held)
+
+
+def test_pieces_of_long_texts():
+    pieces = [bytes([k]) for k in range(100)]
+    assert compression.spread(pieces, 8)[::7] == [b"\0", b"c"] and len(compression.spread(pieces, 8)) == 8 and compression.spread(pieces[:5], 8) == pieces[:5]
+
+
 # 5 ------------------------------------------------------------------------------------------
 
 
@@ -291,14 +325,78 @@ def test_decontamination(spark, odd, none):
     ]
     docs = spark.createDataFrame([(*row, 1) for row in rows], "doc_id long, text string, item_id int")
     bench = spark.createDataFrame([(0, " ".join(item), 1), (1, "too short", 1), (2, None, 1), (3, _words(r, 50), 1)], "item_id long, text string, doc_id int")
-    for block in (16 << 20, 100):
-        found = tiling.contaminated(docs, bench, block_bytes=block).collect()
-        assert sorted((x.doc_id, x.item_id, x.covered_words, x.tiles) for x in found) == [(0, 0, 40, 1), (1, 0, 40, 2), (6, 0, 40, 1)]
-        assert {x.doc_id for x in tiling.without_contaminated(docs, bench, block_bytes=block).collect()} == {2, 3, 4, 5, 7}
+    found = tiling.contaminated(docs, bench).collect()
+    assert sorted((x.doc_id, x.item_id, x.covered_words, x.tiles) for x in found) == [(0, 0, 40, 1), (1, 0, 40, 2), (6, 0, 40, 1)]
+    for most in (1 << 20, 0):
+        assert {x.doc_id for x in tiling.without_contaminated(docs, bench, max_broadcast=most).collect()} == {2, 3, 4, 5, 7}
     assert tiling.contaminated(docs, bench.limit(0)).count() == 0 == tiling.contaminated(none, bench).count()
     assert tiling.without_contaminated(odd, bench).count() == 6
 
 
+def _plain_tiles(a, b, width):
+    """Words of ``b`` that greedy string tiling covers: the longest match first, the first of several, by trying all."""
+    used_a, used_b, lengths = set(), set(), []
+    while True:
+        best, at = 0, None
+        for p in range(len(a)):
+            for q in range(len(b)):
+                n = 0
+                while p + n < len(a) and q + n < len(b) and a[p + n] == b[q + n] and p + n not in used_a and q + n not in used_b:
+                    n += 1
+                if n > best:
+                    best, at = n, (p, q)
+        if best < width:
+            return lengths
+        lengths.append(best)
+        used_a.update(range(at[0], at[0] + best))
+        used_b.update(range(at[1], at[1] + best))
+
+
+def test_decontamination_by_brute_force(spark):
+    """The whole operator: reordered, cut, repeated and short passages, common phrases in many documents and items."""
+    r = random.Random(12)
+    phrase = _words(r, 6).split()
+    items = [_words(r, r.randrange(5, 40), 5000).split() for _ in range(12)]
+    items += [[*i[:4], *phrase, *i[4:]] for i in items[:6]] + [["yes", "no"], phrase[:5], phrase * 4]
+    texts = []
+    for k in range(60):
+        item = r.choice(items)
+        parts = [item[a : a + 9] for a in range(0, len(item), 9)]
+        r.shuffle(parts)
+        body = [w for p in parts[: r.randrange(len(parts) + 1)] for w in [*p, *_words(r, r.randrange(2)).split()]]
+        texts.append(" ".join([*_words(r, r.randrange(20)).split(), *(phrase if k % 2 else []), *(item if k % 5 == 0 else body)]))
+    texts += ["yes no", "YES  no", "yes no yes", "no", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    expected = []
+    for d, t in enumerate(texts):
+        words = (t or "").lower().split()
+        for k, item in enumerate(items):
+            if len(item) < 5:
+                lengths = [len(item)] if words == item else []
+            else:
+                lengths = _plain_tiles(words, item, 5)
+            if lengths and sum(lengths) >= 0.8 * len(item):
+                expected.append((d, k, len(item), sum(lengths)))
+    found = tiling.contaminated(docs, bench)
+    assert len(expected) > 20 and _rows(found.select("doc_id", "item_id", "item_words", "covered_words")) == sorted(expected, key=repr)
+    gone = {d for d, *_ in expected}
+    assert {x.doc_id for x in tiling.without_contaminated(docs, bench).collect()} == set(range(len(texts))) - gone
+
+
+def test_common_phrases_are_cheap(spark):
+    """One document against very many items that share a phrase with it: no pair is tiled."""
+    r = random.Random(13)
+    phrase = _words(r, 6)
+    bench = spark.createDataFrame([(k, f"{_words(r, 47, 10**6)} {phrase} {_words(r, 47, 10**6)}") for k in range(400)], "item_id long, text string")
+    docs = spark.createDataFrame([(0, f"{_words(r, 150)} {phrase} {_words(r, 150)}")] * 50, "doc_id long, text string")
+    assert tiling.contaminated(docs, bench).count() == 0
+    text = (" ".join([phrase] * 2000)).encode()
+    item, began = text.split()[:48], time.perf_counter()
+    tiles = tiling.tiles_of(text.split(), item, 5, (suffix_trees.word_hashes(text), suffix_trees.word_hashes(b" ".join(item))))
+    assert [n for _, _, n in tiles] == [len(item)] and time.perf_counter() - began < 1
+
+
 def test_tiles_by_brute_force():
     """The longest match first, over and over, by trying all of them."""
     r = random.Random(4)
@@ -328,6 +426,8 @@ def test_tiles_by_brute_force():
             used_a.update(range(p, p + n))
             used_b.update(range(q, q + n))
         assert [n for _, _, n in tiles] == lengths
+        hashes = tuple(suffix_trees.word_hashes(b" ".join(side)) for side in (a, b))
+        assert sorted(n for _, _, n in tiling.tiles_of(a, b, 2, hashes))[-1] == lengths[0]
 
 
 # 6 ------------------------------------------------------------------------------------------
@@ -366,6 +466,18 @@ def test_ids_of_points_after_letters(letter):
         assert encode(t).tolist() == [*plain.encode(t, add_special_tokens=False).ids, 1]
 
 
+def test_ids_of_all_letters():
+    """Every code point up to U+2FFFF before a point or comma, and text in scripts with combining marks."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, encode = tokenizers.Tokenizer.from_file(path), packing.Encoder(path, 1)
+    letters = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(letters), 512):
+        text = "".join(f"{c}{'.,'[k % 2]} b " for k, c in enumerate(letters[at : at + 512]))
+        assert encode(text).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 1]
+    for text in ("\u0939\u093f\u0928\u094d\u0926\u0940, \u092a\u095d\u0928\u093e. \u0915\u0958, ", "\u09ac\u09be\u0982\u09b2\u09be, \u09b9\u09df. ", "\u0a2a\u0a70\u0a1c\u0a3e\u0a2c\u0a40, \u0a17\u0a5e. "):
+        assert encode(text * 3).tolist() == [*plain.encode(text * 3, add_special_tokens=False).ids, 1]
+
+
 def test_least_squares():
     r = np.random.default_rng(1)
     a, x = r.integers(0, 3, (12, 20)).astype(float), np.maximum(0, r.normal(size=20))
@@ -393,22 +505,141 @@ def test_media(docs, texts, odd, none):
 
 
 def test_wide_media():
-    payload = random.Random(1).randbytes(192 * (jpeg.MAX_HIGH + 5))
+    payload = random.Random(1).randbytes(192 * (2 * jpeg.MAX_HIGH + 5))
     stored, rgb = jpeg.decode(jpeg.encode(payload))
-    assert stored[: len(payload)] == payload and rgb.shape[1] == 16
+    assert stored[: len(payload)] == payload and rgb.shape[1] == 32
+
+
+def test_odd_media(spark):
+    whole = jpeg.encode(b"a" * 192)
+    rows = [(1, 192, whole), (2, 192, None), (3, 192, b""), (4, 192, whole[:200]), (5, 192, whole[: len(whole) - 2]), (6, 192, b"\xff\xd8\xff\xd9"), (7, None, whole)]
+    got = {r.doc_id: r for r in jpeg.read_media(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert got[1].payload_sha256 == brute.sha(b"a" * 192) and got[7].payload_bytes == 384
+    assert all(got[k].payload_sha256 is None and got[k].rgb is None for k in (2, 3, 4, 5, 6)) and got[2].media_bytes is None and got[4].media_bytes == 200
 
 
 def test_general_scans_agree():
-    """The bit-by-bit readers give what the readers for codes of one width give."""
+    """The bit-by-bit reader of DC gives what the reader for codes of one width gives."""
     data = jpeg.encode(random.Random(2).randbytes(192 * 40))
-    quick = jpeg.decode_coefficients(data)
-    kept = jpeg._two_bits, jpeg.Image.__init__
+    quick, kept = jpeg.decode_coefficients(data), jpeg._two_bits
     try:
         jpeg._two_bits = lambda *a: False
         slow = jpeg.decode_coefficients(data)
     finally:
-        jpeg._two_bits = kept[0]
-    assert (quick.whole == slow.whole).all()
+        jpeg._two_bits = kept
+    assert all((a.coefficients == b.coefficients).all() for a, b in zip(quick.components.values(), slow.components.values(), strict=True))
+
+
+class _Writer:
+    """Scans of AC coefficients by the general rules; every symbol has nine bits, its own number."""
+
+    table = jpeg._table(1, 0, {9: list(range(255))})
+
+    def __init__(self):
+        self.bits, self.run, self.late = [], 0, []
+
+    def put(self, value, n):
+        self.bits += [value >> k & 1 for k in range(n - 1, -1, -1)]
+
+    def flush(self):
+        if self.run:
+            n = self.run.bit_length() - 1
+            self.put(n << 4, 9)
+            self.put(self.run - (1 << n), n)
+            self.bits += self.late
+            self.run, self.late = 0, []
+
+    def first(self, blocks, low):
+        for block in blocks:
+            zeros = 0
+            for c in block:
+                size = (abs(c) >> low).bit_length()
+                if not size:
+                    zeros += 1
+                    continue
+                self.flush()
+                while zeros > 15:
+                    self.put(0xF0, 9)
+                    zeros -= 16
+                self.put(zeros << 4 | size, 9)
+                self.put(abs(c) >> low if c > 0 else (abs(c) >> low) ^ (1 << size) - 1, size)
+                zeros = 0
+            self.run += zeros > 0
+        self.flush()
+        return jpeg._entropy(np.array(self.bits, np.uint8))
+
+    def refine(self, blocks, low):
+        for block in blocks:
+            now = [abs(c) >> low for c in block]
+            newest = max((k for k, v in enumerate(now) if v == 1), default=-1)
+            zeros, late = 0, []
+            for k, v in enumerate(now):
+                if not v:
+                    zeros += 1
+                    continue
+                while zeros > 15 and k <= newest:
+                    self.flush()
+                    self.put(0xF0, 9)
+                    self.bits += late
+                    zeros, late = zeros - 16, []
+                if v > 1:
+                    late.append(v & 1)
+                    continue
+                self.flush()
+                self.put(zeros << 4 | 1, 9)
+                self.put(int(block[k] > 0), 1)
+                self.bits += late
+                zeros, late = 0, []
+            if zeros or late:
+                self.run += 1
+                self.late += late
+        self.flush()
+        return jpeg._entropy(np.array(self.bits, np.uint8))
+
+
+@pytest.mark.parametrize("share", [0.02, 0.3, 0.9])
+def test_general_scans(share):
+    """Sparse and dense coefficients in spectral bands and successive bits, with runs over many blocks, read back as they were."""
+    r = np.random.default_rng(3)
+    blocks = (r.integers(-70, 70, (90, 64)) * (r.random((90, 64)) < share)).astype(int)
+    blocks[20:60] = 0
+    blocks[:, 0] = 0
+    frame = bytes((8,)) + (8 * 90).to_bytes(2) + (8).to_bytes(2) + bytes((1, 1, 0x11, 0))
+    out = [jpeg._HEAD, jpeg._segment(0xC2, frame), _Writer.table]
+    for first, last in ((1, 5), (6, 63)):
+        band = blocks[:, first : last + 1].tolist()
+        out.append(jpeg._scan([0], first, last, 0, 2, _Writer().first(band, 2)))
+        out += [jpeg._scan([0], first, last, low + 1, low, _Writer().refine(band, low)) for low in (1, 0)]
+    image = jpeg.decode_coefficients(b"".join(out) + b"\xff\xd9")
+    assert (image.components[1].coefficients == blocks).all()
+
+
+def test_rgb_by_the_plain_transform():
+    """Every pixel by its own sum of 64 terms, chroma repeated, against the tensor; and the feature from its words."""
+    payload = random.Random(4).randbytes(384 * 2)
+    image = jpeg.decode_coefficients(jpeg.encode(payload))
+    rgb = jpeg.to_rgb(image)
+    scale = [np.sqrt(0.5), *[1.0] * 7]
+
+    def sample(component, y, x):
+        c = image.components[component]
+        block = c.coefficients[(y // 8) * c.wide + x // 8]
+        total = 0.0
+        for k, at in enumerate(jpeg.ZIGZAG.tolist()):
+            v, u = divmod(at, 8)
+            total += scale[u] * scale[v] / 4 * block[k] * np.cos((2 * (y % 8) + 1) * v * np.pi / 16) * np.cos((2 * (x % 8) + 1) * u * np.pi / 16)
+        return min(255.0, max(0.0, total + 128))
+
+    assert rgb.shape == (32, 16, 3)
+    for y in range(0, 32, 3):
+        for x in range(16):
+            light, blue, red = sample(1, y, x), sample(2, y // 2, x // 2) - 128, sample(3, y // 2, x // 2) - 128
+            plain = [light + 1.402 * red, light - 0.344136 * blue - 0.714136 * red, light + 1.772 * blue]
+            assert all(abs(min(255, max(0, p)) - got) <= 0.51 for p, got in zip(plain, rgb[y, x].tolist(), strict=True))
+    means, lighter = jpeg.feature(rgb).split(":")
+    assert all(abs(float(m) - rgb[:, :, k].mean()) < 0.011 for k, m in enumerate(means.split(",")))
+    lines = rgb.reshape(32, -1).astype(int).sum(1)
+    assert lighter == np.packbits(np.repeat(lines, 2) > lines.mean()).tobytes().hex()
 
 
 def test_subsampled_chroma():
