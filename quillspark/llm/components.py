@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.cluster import cut
+from quillspark.llm.columns import joined_apart
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """``links`` (a, b) to rows (node, label): the smallest node that each linked node reaches.
 
     Each round takes the smallest label among the neighbours and then the label of that
-    label, so that long chains halve. Rounds are written to the shared checkpoint folder.
+    label, so that long chains halve. Rounds are written to the shared checkpoint folder. A
+    node with very many links and a label with very many nodes can be split among tasks.
     Loops and repeated links are fine; no links give no rows.
     """
     edges = cut(
@@ -23,14 +25,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     )
     labels = cut(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     while True:
-        nearest = (
-            edges.join(labels, edges.b == labels.node)
-            .groupBy("a")
-            .agg(F.min("label").alias("near"))
-        )
+        nearest = joined_apart(edges, labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(nearest, labels.node == nearest.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        up = step.select(F.col("node").alias("via"), F.col("label").alias("via_label"))
-        following = cut(step.join(up, step.label == up.via, "left").select("node", "old", F.coalesce("via_label", "label").alias("label")))
+        up = step.select(F.col("node").alias("label"), F.col("label").alias("via_label"))
+        following = cut(joined_apart(step, up, "label", "left").select("node", "old", F.coalesce("via_label", "label").alias("label")))
         labels = following.select("node", "label")
         if following.filter("old <> label").isEmpty():
             return labels

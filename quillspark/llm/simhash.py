@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.cluster import batched, cut, rows_of
-from quillspark.llm.columns import text_key
+from quillspark.llm.columns import joined_apart, text_key
 from quillspark.llm.components import connected_components
 
 SEED = 42
@@ -110,7 +110,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, bucket: int = BUCKET) -
     """
     prints = cut(fingerprints(docs, width))
     named = least_of_groups(prints, F.col("doc_id"), lambda nodes: near_links(nodes, bucket)).select("fp", F.col("least").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return joined_apart(prints, named, "fp").select("doc_id", "fp", "component_id")
 
 
 def least_of_groups(prints: DataFrame, order: Column, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -119,7 +119,7 @@ def least_of_groups(prints: DataFrame, order: Column, links: Callable[[DataFrame
     groups = connected_components(links(nodes.select("fp")))
     rooted = nodes.join(groups, nodes.fp == groups.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("least").alias("least"))
-    return rooted.join(roots, "root").select("fp", roots.least)
+    return joined_apart(rooted.select("fp", "root"), roots, "root").select("fp", "least")
 
 
 def matching(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
@@ -142,7 +142,7 @@ def one_of_each_group(docs: DataFrame, width: int = WIDTH, bucket: int = BUCKET)
 def keep_least(docs: DataFrame, prints: DataFrame, least: Callable[[Column], DataFrame]) -> DataFrame:
     """The rows of ``docs`` that are the least of their groups; ``least(order)`` gives (fp, least)."""
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "t0", "t1")
-    later = prints.join(least(order), "fp").filter(order != F.col("least")).select("doc_id", "t0", "t1").distinct()
+    later = joined_apart(prints, least(order), "fp").filter(order != F.col("least")).select("doc_id", "t0", "t1").distinct()
     repeated = cut(prints.groupBy("doc_id", "t0", "t1").count().filter("count > 1").select("doc_id", "t0", "t1"))
 
     whole = docs.select(F.struct(*docs.columns).alias("row"), *row_key())
