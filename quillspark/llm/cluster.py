@@ -11,24 +11,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+_cleared: set[str] = set()
+
+
+def _path(spark: SparkSession, path: str) -> tuple:
+    """A path as Spark's file systems have it, with its file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """This application's part of the checkpoint folder. It's removed when the application ends, as nothing else can read what is there."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", "")
-    if not shared:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    sc.setCheckpointDir(shared)
+    if sc.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", "")
+        if not shared:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        sc.setCheckpointDir(shared)
+    folder = sc.getCheckpointDir()
+    if folder not in _cleared:
+        fs, at = _path(spark, folder)
+        fs.deleteOnExit(at)
+        _cleared.add(folder)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there: a lost executor costs nothing."""
-    _ensure_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as Parquet in the shared folder, and where, so that it can be removed after its last reader."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _path(spark, path)
+    fs.delete(at, True)
+
+
 def free(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files that no DataFrame refers to any more; it does so when the driver collects its garbage."""
     gc.collect()

@@ -26,6 +26,7 @@ class LevelledRuns:
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
         self.noted: list[str] = []
+        self.staged: str | None = None
 
     def _save(self, df: DataFrame, kind: str) -> str:
         name = fresh_name(f"line_{kind}")
@@ -38,7 +39,7 @@ class LevelledRuns:
 
     def add(self, batch: DataFrame) -> None:
         """``batch`` (h0, h1, n, owner): each key once."""
-        staged = self._save(batch.select(*KEY, "n", "owner"), "staged")
+        staged = self.staged = self._save(batch.select(*KEY, "n", "owner"), "staged")
         runs = [self.spark.table(name).select(*KEY) for level in self.levels for name in level]
         fresh = self.spark.table(staged)
         for run in runs:
@@ -75,7 +76,8 @@ class LevelledRuns:
         return every.groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("owner").alias("owner"))
 
     def close(self) -> None:
-        self._drop([*self.noted, *(name for level in self.levels for name in level)])
+        """Drop all tables, those of a batch that failed too."""
+        self._drop([*([self.staged] if self.staged else []), *self.noted, *(name for level in self.levels for name in level)])
 
 
 def line_key(line: Column) -> Column:
@@ -107,9 +109,11 @@ def repeated_keys(docs: DataFrame, min_chars: int, min_docs: int, batches: int,
     # but reads them unbucketed, so that shortcut is off while runs are joined.
     before = spark.conf.get(UNION_SHORTCUT, None)
     spark.conf.set(UNION_SHORTCUT, "false")
+    runs = LevelledRuns(spark, fanout)
     try:
-        return _collect_runs(docs, ranges, LevelledRuns(spark, fanout), min_chars, min_docs)
+        return _collect_runs(docs, ranges, runs, min_chars, min_docs)
     finally:
+        runs.close()
         spark.conf.unset(UNION_SHORTCUT) if before is None else spark.conf.set(UNION_SHORTCUT, before)
 
 
@@ -118,9 +122,7 @@ def _collect_runs(docs: DataFrame, ranges: list[Column], runs: LevelledRuns, min
         long_lines = F.filter(_lines(F.col("text")), lambda x: F.length(strip_white(x)) >= min_chars)
         keys = docs.filter(among).select("doc_id", F.explode(F.array_distinct(F.transform(long_lines, _hashed))).alias("k"))
         runs.add(keys.groupBy(F.col("k.h0").alias("h0"), F.col("k.h1").alias("h1")).agg(F.count("*").alias("n"), F.max("doc_id").alias("owner")))
-    found = cut(runs.totals().filter(F.col("n") >= min_docs).select(*KEY, "owner"))
-    runs.close()
-    return found
+    return cut(runs.totals().filter(F.col("n") >= min_docs).select(*KEY, "owner"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 3, fanout: int = 2) -> DataFrame:
@@ -130,7 +132,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     ``min_docs`` documents go, except those of the largest doc_id that holds the key. Each
     row counts as one document, so rows that repeat a doc_id count one each and, at the
     largest doc_id, all keep their lines. A null or empty text is one empty line. A row
-    without doc_id counts but never loses lines. Lines kept are joined by a newline.
+    without doc_id counts but never loses lines. Lines kept are joined by a newline. Texts of
+    any length are split whole; no rows give no rows.
     """
     own = docs.select("doc_id", "text")
     found = repeated_keys(own, min_chars, min_docs, batches, fanout)
