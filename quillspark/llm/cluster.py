@@ -47,7 +47,7 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` as Parquet in the shared folder, and where, so that it can be removed after its last reader."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path), path
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -16,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.cluster import batched, rows_of
+from quillspark.llm.cluster import batched, rows_of, written
 
 #: Tokens that are packed together, at most; a group's last window alone may be padded much.
 GROUP_TOKENS = 8_000_000
@@ -25,17 +24,23 @@ SLOTS = 128
 
 class Encoder:
     """Ids of whole texts. No token of the vocabulary crosses white space, so a text's ids are
-    those of its parts between blanks, and the ids of parts are kept for the next time."""
-
-    #: A full stop or comma between a letter and a blank is a part of its own in any case. Only ASCII
-    #: letters: others may become a letter and a combining mark, and the mark joins the point.
-    POINT = re.compile(r"(?<=[A-Za-z])([.,])(?=[ \n])")
+    those of its parts between blanks, and the ids of parts are kept for the next time. The
+    vocabulary composes, lower-cases, splits off points and pairs bytes; a word of lower-case
+    Latin letters is changed by none but the last of these, so its bytes go to the pairing at once."""
+
+    #: After one of these letters a full stop or comma at a part's end is a token of its own. Others may
+    #: become a letter and a combining mark, and the mark joins the point.
+    LETTERS = frozenset(chr(c) for c in range(0x100) if chr(c).isalpha() and chr(c) not in "\xaa\xb5\xba")
+    #: Parts kept: half of them as the newest generation, the others as the one before.
     KEPT = 1_000_000
 
     def __init__(self, path: str, end_id: int):
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.end = np.uint32(end_id).tobytes()
+        self.model = self.tokenizer.model
+        self.end = np.array(end_id, "<u4").tobytes()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.points = dict(zip(",.", self._encode([",", "."]), strict=True))
 
     @classmethod
     def of_process(cls, path: str, end_id: int) -> Encoder:
@@ -45,20 +50,66 @@ class Encoder:
             _encoders[path, end_id] = cls(path, end_id)
         return _encoders[path, end_id]
 
-    def __call__(self, text: str) -> np.ndarray:
-        text = self.POINT.sub(r" \1", text.replace("\n", " ").replace("\t", " ").replace("\r", " "))
-        if text.isascii() and "<|" not in text:
+    def _word(self, word: str) -> bytes:
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return np.array([token.id for token in self.model.tokenize(letters)], "<u4").tobytes()
+
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        return [np.array(found.ids, "<u4").tobytes() for found in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+
+    def _stem(self, part: str) -> str:
+        """The part without a point that is a token of its own."""
+        return part[:-1] if part[-1:] in self.points and part[-2:-1] in self.LETTERS else part
+
+    def _learn(self, parts: set[str]) -> None:
+        known, older = self.known, self.older
+        fresh = []
+        for part in parts:
+            if part in older:
+                known[part] = older[part]
+            else:
+                fresh.append(part)
+        others = []
+        for stem in {self._stem(part) for part in fresh}.difference(known):
+            if stem.islower() and self.LETTERS.issuperset(stem):
+                known[stem] = self._word(stem)
+            else:
+                others.append(stem)
+        known.update(zip(others, self._encode(others), strict=True))
+        for part in fresh:
+            if part not in known:
+                known[part] = known[self._stem(part)] + self.points[part[-1]]
+
+    def __call__(self, text: str) -> bytes:
+        """The ids and the end id, four little-endian bytes each."""
+        text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        if "<|" not in text and _latin(text):
             text = text.lower()  # as the vocabulary does; more parts are then known
         parts = text.split(" ")
-        known = self.known
-        new = [p for p in set(parts) if p not in known]
+        if len(self.known) > self.KEPT // 2:
+            self.known, self.older = {}, self.known
+        new = set(parts).difference(self.known)
         if new:
-            if len(known) > self.KEPT:
-                known.clear()
-                new = list(set(parts))
-            for part, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[part] = np.array(found.ids, np.uint32).tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, parts)) + self.end, np.uint32)
+            self._learn(new)
+        return b"".join(map(self.known.__getitem__, parts)) + self.end
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in the vocabulary: itself if it's printable and no blank, else the next from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {byte: 0x100 + at for at, byte in enumerate(b for b in range(0x100) if b not in plain)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+def _latin(text: str) -> bool:
+    """Whether all code points are below U+0100."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -115,13 +166,21 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
     return x
 
 
-def pack(lengths: list[int], window: int, ways: np.ndarray | None = None) -> Iterator[list[tuple[int, int, int]]]:
+def solve(counts: np.ndarray) -> list[tuple[list[tuple[int, int]], float]]:
+    """The combinations to pack by, for a histogram of remainders: ((class, how many), ..) of each with its
+    repeats for one remainder, the most frequent first."""
+    a = combinations(len(counts))
+    repeats = nnls(a, counts) / max(1.0, counts.sum())
+    return [([(int(m), int(a[m, k])) for m in np.flatnonzero(a[:, k])], float(repeats[k])) for k in np.argsort(-repeats, kind="stable") if repeats[k] > 0]
+
+
+def pack(lengths: list[int], window: int, ways: list[tuple[list[tuple[int, int]], float]] | None = None) -> Iterator[list[tuple[int, int, int]]]:
     """Sequences of pieces (document, start, length), at most ``window`` together.
 
     Full windows are cut off first. The remainders are counted in classes of window / 128
-    tokens; the repeat counts of the combinations that fill a window come from least
-    squares against that histogram, rounded down to what there is. What no combination
-    took fills the small gaps and then further windows, cut where a window ends.
+    tokens; the repeat counts of the combinations that fill a window are these documents' share of
+    ``ways`` (by default :func:`solve` for their own histogram), rounded, down to what there is.
+    What no combination took fills the small gaps and then further windows, cut where a window ends.
     """
     slots = min(SLOTS, window)
     unit = window / slots
@@ -133,17 +192,12 @@ def pack(lengths: list[int], window: int, ways: np.ndarray | None = None) -> Ite
             start += window
         if n > start:
             classes[int(np.ceil((n - start) / unit)) - 1].append((document, start, n - start))
-    a = combinations(slots) if ways is None else ways
-    repeats = nnls(a, np.array([len(c) for c in classes], float))
+    counts = np.array([len(c) for c in classes], float)
     filled: list[list[tuple[int, int, int]]] = []
-    for k in np.argsort(-repeats, kind="stable"):
-        if repeats[k] < 0.5:
-            break
-        need = [(m, int(a[m, k])) for m in np.flatnonzero(a[:, k])]
-        for _ in range(min(int(np.rint(repeats[k])), *(len(classes[m]) // n for m, n in need))):
+    for need, repeats in solve(counts) if ways is None else ways:
+        for _ in range(min(int(np.rint(repeats * counts.sum())), *(len(classes[m]) // n for m, n in need))):
             filled.append([classes[m].popleft() for m, n in need for _ in range(n)])
     rest = deque(piece for c in reversed(classes) for piece in c)
-    open_sequence: list[tuple[int, int, int]] = []
     for sequence in chain(filled, iter(lambda: [], None)):
         room = window - sum(n for _, _, n in sequence)
         while room and rest:
@@ -159,6 +213,8 @@ def pack(lengths: list[int], window: int, ways: np.ndarray | None = None) -> Ite
             break
 
 
+_TOKENS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+_TOKENS_DDL = "doc_id bigint, n bigint, ids binary"
 _PIECES = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.list_(pa.int32())),
@@ -166,46 +222,68 @@ _PIECES = pa.schema([
 _PIECES_DDL = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids array<int>"
 
 
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """Every row of ``docs`` as (doc_id, n, ids): the ids and the end id, four little-endian bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = Encoder.of_process(tokenizer, end_id)
+        rows = ((doc, encode(text or "")) for doc, text in rows_of(batches))
+        return batched(((doc, len(ids) // 4, ids) for doc, ids in rows), _TOKENS, lambda row: 32 + len(row[-1]))
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, _TOKENS_DDL)
+
+
+def histogram(tokens: DataFrame, window: int) -> np.ndarray:
+    """How many rows of ``tokens`` have a remainder of each class; at most 128 counts."""
+    slots = min(SLOTS, window)
+    left = F.pmod("n", F.lit(window))
+    found = tokens.filter(left > 0).groupBy((F.ceil(left * slots / window) - 1).cast("int").alias("at")).count().collect()
+    counts = np.zeros(slots)
+    for at, n in found:
+        counts[at] = n
+    return counts
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, group_tokens: int = GROUP_TOKENS, with_ids: bool = True) -> DataFrame:
     """The pieces of every row of ``docs`` (doc_id, text), one row each: (doc_id, start, length,
     ids_crc32, doc_tokens, sequence_id, offset), and ids (null without ``with_ids``).
 
-    Each id is in exactly one piece; a null or empty text is the id ``end_id`` alone. Each
-    partition packs what it reads, in groups of at most ``group_tokens`` (or one document),
-    so nothing is shuffled; sequence_ids hold the partition. Rows that repeat a doc_id are
-    packed each. Other columns are ignored; no rows give no pieces.
+    Each id is in exactly one piece; a null or empty text is the id ``end_id`` alone, and a text
+    may have 2^29 ids. The ids are written once to the shared folder; the repeat counts are solved once, from the
+    histogram of all rows, and each partition packs what it reads, in groups of at most
+    ``group_tokens`` (or one document) that take their share of them. So nothing but counts is shuffled;
+    sequence_ids hold the partition. Rows that repeat a doc_id are packed each. Other columns are
+    ignored; no rows give no pieces.
     """
+    tokens, _ = written(tokenized(docs, tokenizer, end_id))
+    ways = solve(histogram(tokens, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder.of_process(tokenizer, end_id)
-        ways = combinations(min(SLOTS, window))
         partition = TaskContext.get().partitionId()
 
-        def groups() -> Iterator[list[tuple[int, np.ndarray]]]:
+        def groups() -> Iterator[list[tuple[int, int, bytes]]]:
             held, size = [], 0
-            for doc, text in rows_of(batches):
-                ids = encode(text or "")
-                if held and size + len(ids) > group_tokens:
+            for row in rows_of(batches):
+                if held and size + row[1] > group_tokens:
                     yield held
                     held, size = [], 0
-                held.append((doc, ids))
-                size += len(ids)
+                held.append(row)
+                size += row[1]
             if held:
                 yield held
 
         def rows() -> Iterator[tuple]:
             sequence_id = partition << 40
             for group in groups():
-                for sequence in pack([len(ids) for _, ids in group], window, ways):
+                for sequence in pack([n for _, n, _ in group], window, ways):
                     offset = 0
                     for document, start, n in sequence:
-                        doc, ids = group[document]
-                        piece = ids[start : start + n]
-                        crc = zlib.crc32(piece.astype("<u4").tobytes())
-                        yield doc, start, n, crc, len(ids), sequence_id, offset, piece.tolist() if with_ids else None
+                        doc, whole, ids = group[document]
+                        piece = memoryview(ids)[4 * start : 4 * (start + n)]
+                        yield doc, start, n, zlib.crc32(piece), whole, sequence_id, offset, np.frombuffer(piece, "<u4").tolist() if with_ids else None
                         offset += n
                     sequence_id += 1
 
         return batched(rows(), _PIECES, lambda row: 80 + 8 * len(row[-1] or ()))
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, _PIECES_DDL)
+    return tokens.mapInArrow(run, _PIECES_DDL)
