@@ -28,7 +28,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_cascade.judge_urls(_table(spark, sf_dir, "pages"), RULES, F.col("key").rlike(LISTED))
+    pages = _table(spark, sf_dir, "pages")
+    return url_cascade.judge_urls(pages, RULES, url_cascade.hosts_of(pages).filter(F.col("key").rlike(LISTED)))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,7 +74,7 @@ URLS = [None, "", "no scheme", "http://", "HTTP://A.Org/x", "https://b.example.o
 
 def test_urls(spark, none):
     pages = spark.createDataFrame([(k, u, "h", 1) for k, u in enumerate(URLS * 2)], "page_id long, url string, key string, listed int")
-    got = {r.page_id: r for r in url_cascade.judge_urls(pages, queries.RULES, F.col("key").rlike(queries.LISTED)).collect()}
+    got = {r.page_id: r for r in url_cascade.judge_urls(pages, queries.RULES, _listed(pages)).collect()}
     assert len(got) == 2 * len(URLS)
     for k, url in enumerate(URLS):
         rest = url.split("://", 1)[1] if url and "://" in url else ""
@@ -86,11 +86,28 @@ def test_urls(spark, none):
         listed = any(label in queries.LISTED_LABELS for label in host.split("."))
         expected = (host, path, rule and rule.text, rule.verdict if rule else "block" if listed else "allow")
         assert (got[k].host, got[k].path, got[k].rule, got[k].verdict) == expected
-    assert url_cascade.judge_urls(pages.limit(0), queries.RULES, F.lit(True)).count() == 0
+    assert url_cascade.judge_urls(pages.limit(0), queries.RULES, _listed(pages)).count() == 0
+    assert url_cascade.judge_urls(pages, [], _listed(pages).limit(0)).filter("verdict = 'block'").count() == 0
+
+
+def _listed(pages):
+    return url_cascade.hosts_of(pages).filter(F.col("key").rlike(queries.LISTED))
+
+
+def test_listed_domains(spark):
+    """A listed host stands for its subdomains, by whole labels; hosts of very many labels have a result too."""
+    hosts = ["bad.org", "x.bad.org", "y.x.bad.org", "notbad.org", "org", "", "bad.org.com", "a." * 5000 + "bad.org", "é.bad.org", ".bad.org", "bad.org."]
+    pages = spark.createDataFrame([(k, f"http://{h}/p") for k, h in enumerate([*hosts, *hosts])] + [(99, None)], "page_id long, url string")
+    listed = spark.createDataFrame([("bad.org",), ("bad.org",), (None,), ("",), ("elsewhere.net",)], "key string")
+    got = {r.page_id: (r.host, r.verdict) for r in url_cascade.judge_urls(pages, [], listed).collect()}
+    assert len(got) == 2 * len(hosts) + 1 and got[99] == ("", "allow")
+    for k, host in enumerate([*hosts, *hosts]):
+        assert got[k] == (host, "block" if host == "bad.org" or host.endswith(".bad.org") else "allow")
 
 
 @pytest.mark.parametrize("share", [0.0, 0.1, 0.9, 1.0])
-def test_cascade_is_exact(spark, share):
+def test_cascade_is_exact(spark, share, monkeypatch):
+    monkeypatch.setattr(url_cascade, "CHUNK", 8)
     keys = spark.range(4000).select(F.concat(F.lit("h"), "id").alias("key"), (F.rand(3) < share).alias("listed")).cache()
     levels = url_cascade.build_cascade(keys)
     assert keys.filter(url_cascade.in_cascade(levels, F.col("key")) != F.col("listed")).count() == 0
@@ -100,7 +117,7 @@ def test_cascade_is_exact(spark, share):
 
 def test_urls_beyond_the_bound(spark):
     pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
-    ways = [_rows(url_cascade.judge_urls(pages, queries.RULES, F.col("key").rlike(queries.LISTED), max_bits=b)) for b in (1, 1 << 20)]
+    ways = [_rows(url_cascade.judge_urls(pages, queries.RULES, _listed(pages), max_bits=b)) for b in (1, 1 << 20)]
     assert ways[0] == ways[1]
 
 
