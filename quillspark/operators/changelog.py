@@ -3,6 +3,8 @@ do it, so one key with very many events is pre-aggregated in every task."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,10 +64,31 @@ def as_events(folded: DataFrame) -> DataFrame:
     return folded.select("note_id", F.col("updated_at").alias("ts"), F.lit(-(2**63)).cast("bigint").alias("seq"), F.lit("create").alias("op"), mask.alias("set_mask"), *NOTE_FIELDS, "created_at")
 
 
+#: Events of a key are walked in pieces of this length.
+PIECE = "1 hour"
+
+
+def _running(events: DataFrame, key: str, value: Column, summary: Column, fold: Callable[[Column], Column], name: str, upto: int = 0) -> DataFrame:
+    """``events`` (key, ts, seq, ..) with ``name``: ``fold`` of the values of the key's events up to this one
+    (``upto`` 0) or the one before (-1), by ts, seq and value.
+
+    A key's events are cut into pieces of time, which different tasks walk; each begins with the fold
+    over the ``summary`` of all pieces before it. So a key with very many events isn't one task.
+    """
+    start = F.lit("0001-01-01 00:00:00").cast(events.schema["ts"].dataType)  # where events without a time are put: first
+    pieces = events.withColumn("_piece", F.window(F.coalesce("ts", start), PIECE)["start"]).withColumn("_value", value)
+    earlier = Window.partitionBy(key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    heads = pieces.groupBy(key, "_piece").agg(summary.alias("_all")).select(key, "_piece", fold(F.col("_all")).over(earlier).alias("_value"), F.lit(True).alias("_head"))
+    every = pieces.withColumn("_head", F.lit(False)).unionByName(heads, allowMissingColumns=True)
+    order = Window.partitionBy(key, "_piece").orderBy(F.desc("_head"), "ts", "seq", "_value").rowsBetween(Window.unboundedPreceding, upto)
+    return every.withColumn(name, fold(F.col("_value")).over(order)).filter(~F.col("_head")).drop("_piece", "_value", "_head")
+
+
 def changed_edits(edits: DataFrame) -> DataFrame:
     """The edits (note_id, ts, seq, value) whose value differs from the one before in the same note."""
-    before = F.lag("value").over(Window.partitionBy("note_id").orderBy("ts", "seq"))
-    return edits.withColumn("before", before).filter(~F.col("value").eqNullSafe(F.col("before"))).drop("before")
+    summary = F.max(F.struct("ts", "seq", "_value"))["_value"]
+    told = _running(edits, "note_id", F.col("value"), summary, F.last, "_before", upto=-1)
+    return told.filter(~F.col("value").eqNullSafe(F.col("_before"))).drop("_before")
 
 
 def save_sessions(edits: DataFrame, gap: str) -> DataFrame:
@@ -81,8 +104,7 @@ ID_WRAP = 2**53 - 1
 
 def numbered_adds(events: DataFrame) -> DataFrame:
     """``events`` (list_id, ts, seq, type, ..) with ``adds``: how many messages the list had been given by then. An add's own number is its id."""
-    so_far = Window.partitionBy("list_id").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return events.withColumn("adds", F.sum((F.col("type") == "ADD").cast("bigint")).over(so_far))
+    return _running(events, "list_id", (F.col("type") == "ADD").cast("bigint"), F.sum("_value"), F.sum, "adds")
 
 
 def toast_id(number: Column) -> Column:
@@ -124,9 +146,9 @@ def toast_expiries(events: DataFrame, delay: str = "1000 seconds") -> DataFrame:
 
     A dismiss without id is one of the message that the list holds then, if it holds any.
     """
-    order = Window.partitionBy("list_id").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = F.last(F.when(F.col("type") == "ADD", F.col("toast_id")), ignorenulls=True).over(order)
-    now = events.withColumn("held", held)
+    added = F.when(F.col("type") == "ADD", F.col("toast_id"))
+    summary = F.max(F.when(F.col("_value").isNotNull(), F.struct("ts", "seq", "_value")))["_value"]
+    now = _running(events, "list_id", added, summary, lambda c: F.last(c, ignorenulls=True), "held")
     since_add = Window.partitionBy("list_id", "held").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     takes = (F.col("type") == "REMOVE") & (F.col("toast_id").isNull() | (F.col("toast_id") == F.col("held")))
     there = now.withColumn("gone", F.max(takes).over(since_add)).filter("type = 'DISMISS'")

@@ -1,5 +1,5 @@
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -243,3 +243,36 @@ def test_lookups(spark):
     items = spark.createDataFrame([(1, "k", {"k": "p"}, {}), (2, "k", {}, {"k": "none"}), (3, "z", None, None)], "item_id int, key string, payload map<string,string>, inner map<string,string>")
     labels = spark.createDataFrame([("p", "P"), ("k", "K")], "key string, label string")
     assert {r.item_id: r.label for r in lookup.item_config(items, labels).collect()} == {1: "P", 2: "K", 3: None}
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Australia/Adelaide"])
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_running_values_over_pieces(spark, zone, kind):
+    """Values that depend on the events before, over a key with very many hours, gaps, ties, null keys, times and values."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        r = random.Random(7)
+        start = datetime(2024, 4, 6, 12)
+        rows = []
+        for seq in range(600):
+            key = r.choice(["hot"] * 8 + ["b", None])
+            at = None if r.random() < 0.02 else start + timedelta(minutes=r.randrange(0, 6000, 7))
+            rows.append((key, at, seq, r.choice(["x", "x", "y", None]), r.choice(["ADD", "UPDATE"]), 5))
+        events = spark.createDataFrame([(k, str(t) if t else None, *rest) for k, t, *rest in rows], "note_id string, ts string, seq long, value string, type string, piece int")
+        events = events.withColumn("ts", F.col("ts").cast(kind))
+        ordered = sorted(rows, key=lambda e: (e[1] is not None, e[1] or start, e[2]))
+        last, adds, changed, numbered = {}, {}, [], []
+        for key, _, seq, value, type_, _ in ordered:
+            if last.get(key) != value:
+                changed.append(seq)
+            last[key] = value
+            adds[key] = adds.get(key, 0) + (type_ == "ADD")
+            numbered.append((seq, adds[key]))
+        got = changelog.changed_edits(events)
+        assert got.columns == events.columns
+        assert sorted(x.seq for x in got.collect()) == sorted(changed)
+        lists = changelog.numbered_adds(events.withColumnRenamed("note_id", "list_id"))
+        assert sorted((x.seq, x.adds) for x in lists.collect()) == sorted(numbered)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
