@@ -17,6 +17,16 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.cluster import cut
 
+#: Given names that are no common words (fixed values).
+GIVEN_NAMES = (
+    "Abigail Adele Agnes Ahmed Aisha Albert Alejandro Alexander Alice Amelia Amina Andrea Andrew Angela Anna Anne Antonio Barbara "
+    "Ben Benjamin Bernd Camille Carlos Carmen Caroline Catherine Charlotte Chloe Christine Christopher Claire Claudia Daniel David Deborah Diego "
+    "Dieter Dmitri Dorothy Edward Elena Elizabeth Emily Emma Eric Fatima Felix Fernando Francisco Friedrich Gabriel George Giovanni Giulia "
+    "Hannah Hans Heinrich Helen Henri Hiroshi Ibrahim Ines Ingrid Isabel Ivan Jacob Jacques James Javier Jennifer Jessica Johann John Jonathan "
+    "Jorge Joseph Juan Julia Karen Katharina Kevin Klaus Laura Lena Linda Lucia Luis Manuel Margaret Maria Marie Martin Mary Matthew Michael "
+    "Miguel Mohammed Nathalie Nicolas Olga Oliver Pablo Patricia Paul Pedro Peter Philippe Rachel Rebecca Ricardo Richard Robert Samuel Sandra "
+    "Sarah Sebastian Sophie Stefan Stephen Susan Thomas Valentina Vincent Walter Wilhelm William Yuki Yusuf"
+).split()
 #: Patterns of the base kinds, in their order (fixed values). They match what the plain
 #: forms match, but with possessive groups and starts at the edge of a run, so that long
 #: runs take linear time and no deep recursion.
@@ -30,7 +40,7 @@ BASE = {
 ADDED = {
     "secret": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "person": r"(?<!\p{L})(?:Mr|Mrs|Ms|Dr|Prof)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "person": r"(?<!\p{L})(?=\p{Lu})(?:(?:Mr|Mrs|Ms|Dr|Prof)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?|(?:" + "|".join(GIVEN_NAMES) + r") \p{Lu}\p{Ll}+)",
 }
 KINDS = [*BASE, *ADDED]
 #: Words that announce a kind when they come shortly before (fixed values).
@@ -42,13 +52,13 @@ CUES = {
 GAZETTEER = {
     "email": r"[@.](?:example|gmail|yahoo|outlook|hotmail|mail[0-9]*)\.", "ip": r"^(?:10|127|169|172|192)\.", "card": r"^(?:3[47]|4|5[1-5]|6)",
     "phone": r"^\+(?:1|33|34|44|49)[^0-9]", "secret": r"^(?:sk|pk|ghp|AKIA|xox)|^[0-9A-Fa-f]+$", "ssn": r"^(?!000|666|9)",
-    "person": r" (?:Anna|Ben|Carlos|David|Elena|Emma|James|John|Maria|Marie|Mary|Paul|Peter|Robert|Sarah|Thomas)\b",
+    "person": r"(?:^| )(?:" + "|".join(GIVEN_NAMES) + r")\b",
 }
 #: Strict patterns (fixed values).
 STRICT = {
     "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$", "ip": r"^(?:[1-9][0-9]{0,2})(?:\.[0-9]{1,3}){3}$", "card": r"^(?:[0-9]{15,16}|[0-9]{4}(?:[ -][0-9]{4}){3})$",
     "phone": r"^\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]", "secret": r"^(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64})$", "ssn": r"^[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$",
-    "person": r"^(?:Mr|Mrs|Ms|Dr|Prof)\.? \p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+$",
+    "person": r"^(?:(?:Mr|Mrs|Ms|Dr|Prof)\.? )?\p{Lu}\p{Ll}{2,} \p{Lu}\p{Ll}+$",
 }
 LABELERS = ["strict", "gazetteer", "context", "value"]
 CONTEXT = 24

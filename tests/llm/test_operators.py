@@ -720,6 +720,35 @@ def test_personal_data(spark, odd, none):
     assert personal_data.find_personal_data(none).count() == 0 and personal_data.find_personal_data(odd).count() == 6
 
 
+def test_planted_personal_data(spark):
+    """Of what is planted in prose nine tenths and more come back, and prose alone gives no span."""
+    r = random.Random(8)
+    planted, rows = {}, []
+    for k in range(400):
+        value = [
+            lambda: "".join(r.choice("0123456789abcdef") for _ in range(40)),
+            lambda: f"{r.randrange(100, 600)}-{r.randrange(10, 99)}-{r.randrange(1000, 9999)}",
+            lambda: f"{r.choice(personal_data.GIVEN_NAMES)} {r.choice(['Okafor', 'Lindqvist', 'Moreau', 'Tanaka'])}",
+            lambda: f"Dr. {r.choice(personal_data.GIVEN_NAMES)} {r.choice(['Okafor', 'Lindqvist', 'Moreau', 'Tanaka'])}",
+            lambda: f"{r.choice('aeiou')}{r.randrange(99)}@mail.example.com",
+        ]
+        cue = ["token", "ssn", "from", "contact", "mail"]
+        kind = k % 8
+        text = _words(r, 60)
+        if kind < 5:
+            value = value[kind]()
+            planted[k] = (["secret", "ssn", "person", "person", "email"][kind], len(text) + 2 + len(cue[kind]), value)
+            text = f"{text} {cue[kind]} {value} {_words(r, 20)}"
+        elif kind == 5:
+            text += " The Apache License and New York. Orre Orre, Mark Twain's Will, 2024-10-11 and 1.2.3, version 12-34."
+        rows.append((k, text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {x.doc_id: {(personal_data.KINDS[s.rank], s.start, s.stop) for s in x.spans} for x in personal_data.find_personal_data(docs).collect()}
+    caught = sum((kind, at, at + len(value)) in found[k] for k, (kind, at, value) in planted.items())
+    assert caught >= 0.9 * len(planted)
+    assert not any(found[k] for k, _ in rows if k not in planted)
+
+
 def test_reliabilities():
     """Labelers of known reliability, told apart without any truth."""
     r = random.Random(6)
