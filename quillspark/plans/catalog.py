@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 
 from quillspark import schema
 from quillspark.functions import reltime, text
 from quillspark.operators import changelog, lookup, search, slots, store, views
 from quillspark.plans import notes as bind
 from quillspark.sources import codec
+from quillspark.sources.note_files import NoteFiles
+from quillspark.sources.scratch import scratch_folder
+from quillspark.sources.search_index import SearchIndex
+from quillspark.streaming import note_state, status
 
 CURRENT = "17"
 STALE = "no-such-note"
@@ -209,13 +214,19 @@ def create_note(spark, sf_dir):
 _MARKED = "(SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id FROM labels WHERE quality = 1)"
 
 
-@_query(f"WITH {_NOTES}, p AS {_MARKED} SELECT n.id, CASE WHEN p.id IS NULL THEN title ELSE 'Checked ' || n.id END AS title, sha256(markdown_content) AS body_sha256, CASE WHEN p.id IS NULL THEN folder_id END AS folder_id, array_to_string(tags, ',') AS tags, ms AS created_ms, CASE WHEN p.id IS NULL THEN ms ELSE {_NOW_MS} END AS updated_ms, owner_id, position FROM n LEFT JOIN p ON n.id = p.id")
+_PATCHED = f"WITH {_NOTES}, p AS {_MARKED} SELECT n.id, CASE WHEN p.id IS NULL THEN title ELSE 'Checked ' || n.id END AS title, sha256(markdown_content) AS body_sha256, CASE WHEN p.id IS NULL THEN folder_id END AS folder_id, array_to_string(tags, ',') AS tags, ms AS created_ms, CASE WHEN p.id IS NULL THEN ms ELSE {_NOW_MS} END AS updated_ms, owner_id, position FROM n LEFT JOIN p ON n.id = p.id"
+
+
+@_query(_PATCHED)
 def update_note(spark, sf_dir):
     """New titles for the documents labelled as good, and no folder."""
-    patches = bind.marked_ids(spark, sf_dir).select(
+    return _report(store.update_notes(bind.notes(spark, sf_dir), _checked(spark, sf_dir), bind.now()))
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bind.marked_ids(spark, sf_dir).select(
         "id", F.array(F.lit("title"), F.lit("folder_id")).alias("set_mask"), F.concat(F.lit("Checked "), "id").alias("title"), F.lit(None).cast("string").alias("folder_id")
     )
-    return _report(store.update_notes(bind.notes(spark, sf_dir), patches, bind.now()))
 
 
 @_query(f"WITH {_NOTES} SELECT {_REPORT} FROM n WHERE id NOT IN (SELECT id FROM {_MARKED})")
@@ -245,6 +256,39 @@ def create_tag(spark, sf_dir):
     return store.create_tag(bind.tags(spark, sf_dir), "t", "Later").select("id", "name", "color", "position")
 
 
+# ---- notes in files ------------------------------------------------------------------------
+
+
+def _files(spark: SparkSession, sf_dir: str) -> NoteFiles:
+    files = NoteFiles(spark, scratch_folder(spark), 64)
+    files.write(bind.notes(spark, sf_dir))
+    return files
+
+
+@_query(_PATCHED)
+def update_note_files(spark, sf_dir):
+    """The same in files, of which those that hold a patched note are copied."""
+    files = _files(spark, sf_dir)
+    files.patch(_checked(spark, sf_dir), bind.now())
+    return _report(files.read())
+
+
+@_query(f"WITH {_NOTES} SELECT {_REPORT} FROM n WHERE id NOT IN (SELECT id FROM {_MARKED})")
+def delete_note_files(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    files.delete(bind.marked_ids(spark, sf_dir))
+    return _report(files.read())
+
+
+@_query(f"WITH {_NOTES} SELECT {_REPORT} FROM n WHERE contains(lower(title), 'doc 12') OR contains(lower(markdown_content), 'doc 12') OR len(list_filter(tags, lambda x: contains(lower(x), 'doc 12'))) > 0")
+def search_notes_indexed(spark, sf_dir):
+    """Search over the files that hold candidates by their trigrams."""
+    files = _files(spark, sf_dir)
+    index = SearchIndex(files, scratch_folder(spark))
+    index.build()
+    return _report(index.search("Doc 12", search.by_all))
+
+
 # ---- logs of events ------------------------------------------------------------------------
 
 _EDITS = "SELECT CAST(user_id AS VARCHAR) AS note_id, ts, event_id AS seq, event_type AS value FROM events"
@@ -255,7 +299,7 @@ def changed_edits(spark, sf_dir):
     return changelog.changed_edits(bind.edits(spark, sf_dir)).select("note_id", "seq", "value")
 
 
-@_query("""
+_FOLDED = """
     WITH e AS (SELECT CAST(user_id AS VARCHAR) AS note_id, ts, event_id AS seq, event_type AS kind, 'v' || event_id AS value FROM events WHERE event_type <> 'view'),
     s AS (SELECT *, count(*) FILTER (WHERE kind IN ('signup', 'error')) OVER (PARTITION BY note_id ORDER BY ts, seq) AS segment FROM e),
     g AS (SELECT note_id, segment, arg_min(kind, (ts, seq)) AS head, min(ts) AS created, max(ts) AS updated,
@@ -263,12 +307,29 @@ def changed_edits(spark, sf_dir):
         arg_max(seq, (ts, seq)) FILTER (WHERE kind = 'click' AND seq % 4 = 0) AS moved FROM s GROUP BY ALL),
     l AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY segment DESC) = 1)
     SELECT note_id, coalesce(title, 'Untitled Note') AS title, coalesce(body, '# New note' || chr(10) || chr(10) || 'Write here.') AS markdown_content,
-        CASE WHEN moved % 8 <> 0 THEN 'f' || moved END AS folder_id, 'local-user' AS owner_id, epoch_us(created) AS created_us, epoch_us(updated) AS updated_us FROM l WHERE head = 'signup'""")
+        CASE WHEN moved % 8 <> 0 THEN 'f' || moved END AS folder_id, 'local-user' AS owner_id, epoch_us(created) AS created_us, epoch_us(updated) AS updated_us FROM l WHERE head = 'signup'"""
+
+
+@_query(_FOLDED)
 def changelog_fold(spark, sf_dir):
-    folded = changelog.fold_notes(bind.note_events(spark, sf_dir))
+    return _folded_report(changelog.fold_notes(bind.note_events(bind.table(spark, sf_dir, "events"))))
+
+
+def _folded_report(folded: DataFrame) -> DataFrame:
     return folded.select("note_id", "title", "markdown_content", "folder_id", "owner_id", F.unix_micros("created_at").alias("created_us"), F.unix_micros("updated_at").alias("updated_us"))
 
 
+@_query(_FOLDED)
+def note_stream(spark, sf_dir):
+    """The same by a stream that keeps each note's state under its own key."""
+
+    def start(session, path):
+        changes = note_state.note_changes(bind.note_events(bind.event_stream(session, sf_dir)))
+        return changes.writeStream.outputMode("update").foreachBatch(note_state.change_log(f"{path}/changes"))
+
+    return _folded_report(note_state.notes_of_changes(spark, f"{_run_stream(spark, start)}/changes"))
+
+
 @_query(f"""
     WITH b AS (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY note_id ORDER BY ts, seq) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS starts FROM ({_EDITS})),
     s AS (SELECT *, sum(starts) OVER (PARTITION BY note_id ORDER BY ts, seq) AS session FROM b)
@@ -278,33 +339,86 @@ def save_sessions(spark, sf_dir):
     return found.select("note_id", F.unix_micros("started").alias("started_us"), F.unix_micros("saved").alias("saved_us"), "edits")
 
 
+#: Each user's editor: its note changes every second day, views open that note or the next.
+_EDITOR = """
+    e AS (SELECT CAST(user_id AS VARCHAR) AS session, ts, event_id AS seq, event_type <> 'view' AS edit, 'n' || (epoch_ms(ts) // 172800000 + CASE WHEN event_type = 'view' THEN event_id % 2 ELSE 0 END) AS note_id FROM events),
+    o AS (SELECT *, lag(note_id) OVER (PARTITION BY session ORDER BY ts, seq) AS open FROM e),
+    b AS (SELECT *, lag(ts) OVER w AS before, lag(edit) OVER w AND lag(note_id) OVER w = note_id AS same, lead(ts) OVER w AS next FROM o WHERE edit OR note_id IS DISTINCT FROM open WINDOW w AS (PARTITION BY session ORDER BY ts, seq)),
+    s AS (SELECT session, note_id, 'saving' AS status, ts AS moment, seq FROM b WHERE edit AND NOT coalesce(same AND before + INTERVAL 12 HOUR >= ts, false)
+        UNION ALL SELECT session, note_id, 'saved', ts + INTERVAL 12 HOUR, seq FROM b WHERE edit AND coalesce(next > ts + INTERVAL 12 HOUR, true))"""
+_STATUS = "SELECT session, note_id, status, epoch_us(moment) AS at_us, seq FROM s"
+_LATENESS = "1 hour"
+
+
+def _status_report(found: DataFrame) -> DataFrame:
+    return found.select("session", "note_id", "status", F.unix_micros("at").alias("at_us"), "seq")
+
+
+@_query(f"WITH {_EDITOR} {_STATUS}")
+def save_statuses(spark, sf_dir):
+    """What each user's editor shows of its saving, twelve hours after the last edit at the latest."""
+    return _status_report(changelog.save_statuses(bind.editor_events(bind.table(spark, sf_dir, "events")), "12 hours"))
+
+
+def _run_stream(spark: SparkSession, start: Callable[[SparkSession, str], DataStreamWriter]) -> str:
+    """Run a stream over all that is there, in a session of its own as it needs its own state store; what it wrote, in the shared folder."""
+    session, path = spark.newSession(), scratch_folder(spark)
+    for name in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        session.conf.set(name, spark.conf.get(name))
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    start(session, path).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return path
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@_query(f"WITH {_EDITOR} {_STATUS} WHERE epoch_us(moment) <= 1000 * (SELECT epoch_ms(max(ts) - INTERVAL {_LATENESS}) FROM events)")
+def save_status_stream(spark, sf_dir):
+    """The same by a stream: what the watermark has reached by the end of the log."""
+
+    def start(session, path):
+        shown = status.statuses(bind.editor_events(bind.event_stream(session, sf_dir)), 43_200_000, _LATENESS)
+        return shown.writeStream.format("parquet").outputMode("append").option("path", f"{path}/rows")
+
+    path = _run_stream(spark, start)
+    return _status_report(spark.read.parquet(f"{path}/rows"))
+
+
 #: Adds are numbered as they come; the others name the message added last or the one before, or any (null).
 _TOASTS = """
     n AS (SELECT CAST(user_id AS VARCHAR) AS list_id, ts, event_id AS seq, event_type AS kind, 'v' || event_id AS value,
         count(*) FILTER (WHERE event_type = 'signup') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS adds FROM events WHERE event_type IN ('signup', 'click', 'error', 'purchase')),
     t AS (SELECT list_id, ts, seq, kind, value, adds, CASE WHEN kind = 'signup' THEN adds WHEN kind <> 'click' AND seq % 5 = 0 THEN NULL ELSE greatest(adds - seq % 2, 1) END AS id FROM n)"""
-#: An action reaches the one message that the list holds, the last added, if it names that or none.
-_REACHES = "(id IS NULL OR id = adds)"
+#: What adds, dismisses and removes make of each message, a step for each: a removal that is due comes before the event.
+_STEPS = """
+    c AS (SELECT list_id, coalesce(id, adds) AS meant, epoch_us(ts) AS us, seq, kind, id IS NOT NULL AS named, row_number() OVER (PARTITION BY list_id, coalesce(id, adds) ORDER BY ts, seq) AS k
+        FROM t WHERE kind <> 'click' AND (id IS NOT NULL OR adds > 0)),
+    r AS (SELECT DISTINCT list_id, meant, CAST(0 AS BIGINT) AS k, false AS present, CAST(NULL AS BIGINT) AS timer, false AS shut, CAST(NULL AS BIGINT) AS started FROM c
+        UNION ALL SELECT list_id, meant, k, CASE kind WHEN 'signup' THEN true WHEN 'purchase' THEN false ELSE there END, CASE WHEN begins THEN us + 1000000000 ELSE running END,
+            CASE kind WHEN 'signup' THEN false WHEN 'error' THEN shut OR there ELSE shut END, CASE WHEN begins THEN seq END
+        FROM (SELECT *, kind = 'error' AND running IS NULL AND (named OR there) AS begins FROM (SELECT c.*, shut, present AND NOT coalesce(timer <= us, false) AS there, CASE WHEN timer > us THEN timer END AS running
+            FROM r JOIN c ON r.list_id = c.list_id AND r.meant = c.meant AND c.k = r.k + 1)))"""
+#: The moment at which lists are looked at.
+_UNTIL = "2024-01-20 12:00:00"
 
 
 @_query(f"""
-    WITH {_TOASTS},
+    WITH RECURSIVE {_TOASTS.replace("event_type IN", f"ts <= TIMESTAMP '{_UNTIL}' AND event_type IN")}, {_STEPS},
     l AS (SELECT *, max(adds) OVER (PARTITION BY list_id) AS last FROM t),
     g AS (SELECT list_id, last, arg_max(value, (ts, seq)) FILTER (WHERE kind = 'signup' OR (kind = 'click' AND id = adds AND seq % 3 <> 0)) AS title,
-        arg_max(value, (ts, seq)) FILTER (WHERE kind = 'signup' OR (kind = 'click' AND id = adds AND seq % 2 <> 0)) AS description,
-        coalesce(bool_or(kind = 'error' AND {_REACHES}), false) AS dismissed, coalesce(bool_or(kind = 'purchase' AND {_REACHES}), false) AS removed
-        FROM l WHERE adds = last AND last > 0 GROUP BY ALL)
-    SELECT list_id, CAST(last AS VARCHAR) AS toast_id, title, 'd' || description AS description, NOT dismissed AS open FROM g WHERE NOT removed""")
+        arg_max(value, (ts, seq)) FILTER (WHERE kind = 'signup' OR (kind = 'click' AND id = adds AND seq % 2 <> 0)) AS description FROM l WHERE adds = last AND last > 0 GROUP BY ALL),
+    e AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY list_id, meant ORDER BY k DESC) = 1)
+    SELECT g.list_id, CAST(last AS VARCHAR) AS toast_id, title, 'd' || description AS description, NOT shut AS open
+    FROM g JOIN e ON g.list_id = e.list_id AND e.meant = last WHERE present AND NOT coalesce(timer <= epoch_us(TIMESTAMP '{_UNTIL}'), false)""")
 def toast_fold(spark, sf_dir):
-    return changelog.fold_toasts(bind.toast_events(spark, sf_dir))
+    """What each list shows at a moment within the log: dismissed messages have gone if their delay is over by then."""
+    return changelog.fold_toasts(bind.toast_events(spark, sf_dir), F.to_timestamp(F.lit(_UNTIL)))
 
 
-@_query(f"""
-    WITH {_TOASTS},
-    s AS (SELECT *, bool_or(kind = 'purchase' AND {_REACHES}) OVER (PARTITION BY list_id, adds ORDER BY ts, seq) AS gone FROM t),
-    d AS (SELECT list_id, ts, seq, CASE WHEN id IS NOT NULL THEN id WHEN adds > 0 AND NOT gone THEN adds END AS meant FROM s WHERE kind = 'error')
-    SELECT list_id, CAST(meant AS VARCHAR) AS toast_id, arg_min(seq, (ts, seq)) AS seq, epoch_us(min(ts)) + 1000000000 AS expires_us FROM d WHERE meant IS NOT NULL GROUP BY list_id, meant""")
+@_query(f"WITH RECURSIVE {_TOASTS}, {_STEPS} SELECT list_id, CAST(meant AS VARCHAR) AS toast_id, started AS seq, timer AS expires_us FROM r WHERE started IS NOT NULL")
 def toast_expiry(spark, sf_dir):
+    """Every delay that a dismiss starts; an id may have several, one after the other."""
     found = changelog.toast_expiries(bind.toast_events(spark, sf_dir))
     return found.select("list_id", "toast_id", "seq", F.unix_micros("expires").alias("expires_us"))
 

@@ -53,8 +53,8 @@ def _mapped(names: dict[str, str]):
     return F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), F.col("event_type"))
 
 
-def note_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event log as changes to one note for each user. Every third create brings a title;
+def note_events(events: DataFrame) -> DataFrame:
+    """The event log (a table or a stream) as changes to one note for each user. Every third create brings a title;
     clicks set the title and every fourth the folder too, to null each second time; purchases set the body."""
     number, kind = F.col("event_id"), F.col("event_type")
     value = F.concat(F.lit("v"), number.cast("string"))
@@ -64,7 +64,7 @@ def note_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "click", F.array(F.lit("title")))
         .when(kind == "purchase", F.array(F.lit("markdown_content")))
     )
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").cast("string").alias("note_id"), F.col("ts").cast("timestamp").alias("ts"), number.alias("seq"),
         _mapped(EVENT_OPS).alias("op"), mask.alias("set_mask"), value.alias("title"), value.alias("markdown_content"),
         F.when(number % 8 != 0, F.concat(F.lit("f"), number.cast("string"))).alias("folder_id"),
@@ -79,6 +79,20 @@ def slot_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(F.col("user_id").alias("session"), number.alias("seq"), F.when(kind == "view", wanted).when(number % 2 == 0, "").alias("id"))
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log as a stream of its files."""
+    # as a pattern, since a stream takes a plain path for a folder, and the table may be one file
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+
+
+def editor_events(events: DataFrame) -> DataFrame:
+    """Each user as a session whose note changes every second day. Views open that note or, every second time, the next; all else edits it."""
+    at, edit = F.col("ts").cast("timestamp"), F.col("event_type") != "view"
+    day = F.floor(F.unix_seconds(at) / 172_800)
+    note = day + F.when(edit, 0).otherwise(F.col("event_id") % 2)
+    return events.select(F.col("user_id").cast("string").alias("session"), at.alias("ts"), F.col("event_id").alias("seq"), F.concat(F.lit("n"), note.cast("string")).alias("note_id"), edit.alias("edit"))
+
+
 def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events as edits, whose value is the event's type, so that neighbours may be equal."""
     return table(spark, sf_dir, "events").select(

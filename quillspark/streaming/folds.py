@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quillspark.operators import changelog
 
+_log = logging.getLogger(__name__)
+
 
 def save_sessions(edits: DataFrame, gap: str = "800 milliseconds", lateness: str = "10 seconds") -> DataFrame:
     """As the batch operator; in append mode a session comes out once the watermark passes its end."""
@@ -32,33 +34,42 @@ def notes_of_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 class NoteTable:
-    """A sink for ``foreachBatch`` that keeps the folded notes themselves.
+    """A sink for ``foreachBatch`` that keeps the notes as clocks (``changelog.note_clocks``).
 
-    Batch n is folded into the state of the batch before and written as state n, so a batch
-    that is repeated gives the same again, and states don't grow with the log. Events without
-    note or operation go to ``quarantine`` instead. Two states are kept. Listeners get the
-    current state at once when they subscribe, and then after each batch.
+    A batch writes the clocks of its own notes only, under its number, so a batch that is
+    repeated gives the same again. Every ``compact_every`` batches they are merged into a base, so states don't grow with
+    the log; the clocks that went into a base are removed with the next one. As clocks merge in any order, late events count as they would
+    have in time. Events without note or operation go to ``quarantine`` instead. Listeners get the
+    current notes at once when they subscribe, and then after each batch; one that fails is reported and doesn't fail the batch.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, compact_every: int = 10):
+        self.spark, self.path, self.compact_every = spark, path, compact_every
         self.listeners: list[Callable[[DataFrame], None]] = []
 
-    def _numbers(self) -> list[int]:
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/states")
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _at(self, where: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _numbers(self, kind: str) -> list[int]:
+        """Of the complete folders of a kind."""
+        fs, root = self._at(f"{self.path}/{kind}")
         names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-        done = jvm.org.apache.hadoop.fs.Path
-        return sorted(int(n.removeprefix("state-")) for n in names if n.startswith("state-") and fs.exists(done(f"{self.path}/states/{n}/_SUCCESS")))
+        return sorted(int(n.split("-")[-1]) for n in names if fs.exists(self._at(f"{self.path}/{kind}/{n}/_SUCCESS")[1]))
 
-    def _at(self, number: int) -> str:
-        return f"{self.path}/states/state-{number}"
+    def clocks(self) -> DataFrame | None:
+        """One row for each note that any batch had, tombstones included."""
+        bases, batches = self._numbers("base"), self._numbers("clocks")
+        base = bases[-1] if bases else -1
+        paths = [f"{self.path}/base/upto-{base}"] if bases else []
+        # a batch that is repeated after its base was made is merged into it again, which changes nothing
+        paths += [f"{self.path}/clocks/batch-{n}" for n in batches if n > base]
+        return changelog.merged_clocks(self.spark.read.parquet(*paths)) if paths else None
 
     def current(self) -> DataFrame | None:
         """The notes after the last batch."""
-        numbers = self._numbers()
-        return self.spark.read.parquet(self._at(numbers[-1])) if numbers else None
+        clocks = self.clocks()
+        return None if clocks is None else changelog.notes_of_clocks(clocks)
 
     def subscribe(self, listener: Callable[[DataFrame], None]) -> Callable[[], None]:
         """Call ``listener`` with the current notes, now and after each batch; returns what ends that."""
@@ -71,22 +82,32 @@ class NoteTable:
         usable = F.col("note_id").isNotNull() & F.col("op").isin("create", "patch", "delete", "select")
         whole = F.coalesce(usable, F.lit(False))
         batch.filter(~whole).write.mode("overwrite").parquet(f"{self.path}/quarantine/batch={number}")
-        before = [n for n in self._numbers() if n < number]
-        events = batch.filter(whole)
-        if before:
-            held = changelog.as_events(self.spark.read.parquet(self._at(before[-1])))
-            events = held.unionByName(events, allowMissingColumns=True)
-        changelog.fold_notes(events).write.mode("overwrite").parquet(self._at(number))
-        for old in before[:-1]:
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(self._at(old))
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        changelog.note_clocks(batch.filter(whole)).write.mode("overwrite").parquet(f"{self.path}/clocks/batch-{number}")
+        if (number + 1) % self.compact_every == 0:
+            self._compact(number)
         for listener in list(self.listeners):
-            listener(self.spark.read.parquet(self._at(number)))
+            try:
+                listener(self.current())
+            except Exception:
+                _log.exception("a listener failed at batch %s", number)
+
+    def _compact(self, number: int) -> None:
+        before = self._numbers("base")
+        if before and before[-1] >= number:
+            return
+        self.clocks().write.mode("overwrite").parquet(f"{self.path}/base/upto-{number}")
+        # readers of the base before may still be at work: what only older ones need goes
+        for kind, name, last in (("clocks", "batch", before[-1] if before else -1), ("base", "upto", (before[-1] if before else 0) - 1)):
+            for n in self._numbers(kind):
+                if n <= last:
+                    fs, at = self._at(f"{self.path}/{kind}/{name}-{n}")
+                    fs.delete(at, True)
 
 
 class ToastProcessor(StatefulProcessor):
-    """One message for each list: adds, updates, dismissals and removals, by id or of any, as they
-    arrive. The first dismissal of an id starts the delay after which that message is removed."""
+    """One message for each list: adds, updates, dismissals and removals, by id or of any, in the order of their moments
+    within a batch. A dismissal of an id starts the delay after which that message is removed, unless one
+    is running for it; once it has ended, the next dismissal starts another. A removal comes before events of its own moment."""
 
     def __init__(self, delay_ms: int):
         self.delay_ms = delay_ms
@@ -97,9 +118,9 @@ class ToastProcessor(StatefulProcessor):
         self.adds = handle.getValueState("adds", "n bigint")
         self.timers = handle.getMapState("timers", "toast_id string", "at bigint")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        events = pd.concat(rows).sort_values(["ts_ms", "seq"])  # one batch's events of one list
-        for event in events.astype(object).where(events.notna(), None).itertuples():
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        for event in sorted(rows, key=lambda e: (e.ts_ms, e.seq)):  # one batch's events of one list
+            self._remove_due(event.ts_ms)
             self._apply(event)
         yield self._row(key)
 
@@ -112,7 +133,7 @@ class ToastProcessor(StatefulProcessor):
         held = tuple(self.message.get()) if self.message.exists() else None
         meant = held is not None and event.toast_id in (None, held[0])
         if event.type == "DISMISS" and (event.toast_id or held):
-            self._start_timer(event.toast_id or held[0], int(event.ts_ms))
+            self._start_timer(event.toast_id or held[0], event.ts_ms)
         if not meant:
             return
         if event.type == "UPDATE" and event.toast_id is not None:
@@ -128,18 +149,22 @@ class ToastProcessor(StatefulProcessor):
             self.timers.updateValue((toast_id,), (ts_ms + self.delay_ms,))
             self.handle.registerTimer(ts_ms + self.delay_ms)
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        for (toast_id,), (at,) in list(self.timers.iterator()):
-            if at <= now:
-                self.timers.removeKey((toast_id,))
-                if self.message.exists() and self.message.get()[0] == toast_id:
-                    self.message.clear()
-        yield self._row(key)
+    def _remove_due(self, now: int) -> bool:
+        """End the delays that are over, and remove their messages."""
+        due = [toast_id for (toast_id,), (at,) in self.timers.iterator() if at <= now]
+        for toast_id in due:
+            self.timers.removeKey((toast_id,))
+            if self.message.exists() and self.message.get()[0] == toast_id:
+                self.message.clear()
+        return bool(due)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
+        if self._remove_due(expiredTimerInfo.getExpiryTimeInMs()):
+            yield self._row(key)
 
-    def _row(self, key: Any) -> pd.DataFrame:
+    def _row(self, key: Any) -> Row:
         held = tuple(self.message.get()) if self.message.exists() else (None,) * 4
-        return pd.DataFrame({"list_id": [key[0]]} | {c: pd.Series([v], dtype=object) for c, v in zip(("toast_id", "title", "description", "open"), held, strict=True)})
+        return Row(list_id=key[0], toast_id=held[0], title=held[1], description=held[2], open=held[3])
 
     def close(self) -> None:
         pass
@@ -151,5 +176,5 @@ def toasts(events: DataFrame, lateness: str = "10 seconds", delay_ms: int = 1_00
         events.withColumn("ts_ms", F.unix_millis("ts"))
         .withWatermark("ts", lateness)
         .groupBy("list_id")
-        .transformWithStateInPandas(ToastProcessor(delay_ms), "list_id string, toast_id string, title string, description string, open boolean", "Update", "EventTime")
+        .transformWithState(ToastProcessor(delay_ms), "list_id string, toast_id string, title string, description string, open boolean", "Update", "EventTime")
     )

@@ -1,3 +1,4 @@
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -8,7 +9,9 @@ from quillspark import schema
 from quillspark.functions import reltime, text
 from quillspark.operators import changelog, lookup, search, slots, store, views
 from quillspark.sources import codec, files
-from quillspark.streaming import folds
+from quillspark.sources.note_files import NoteFiles
+from quillspark.sources.search_index import SearchIndex, grams
+from quillspark.streaming import folds, note_state, status
 
 
 def moment():
@@ -162,35 +165,331 @@ def test_toasts(spark):
     assert [r.adds for r in changelog.numbered_adds(events).orderBy("seq").collect()] == [1] + [2] * 7
 
 
-def test_toasts_by_a_plain_reducer(spark):
-    """Random logs, held against a reducer over one list at a time."""
-    r = random.Random(4)
-    rows, expected, timers = [], {}, {}
-    for name in "abcdefgh":
-        held, n = None, 0
-        for k in range(40):
-            kind = r.choice(["ADD", "UPDATE", "UPDATE", "DISMISS", "REMOVE"])
+class PlainToasts:
+    """The message list of the user interface, with a clock of its own: timers fire before events of their moment."""
+
+    def __init__(self, delay):
+        self.delay, self.held, self.timers, self.starts = delay, None, {}, []
+
+    def pass_time(self, now):
+        for which in [i for i, at in self.timers.items() if at <= now]:
+            del self.timers[which]
+            if self.held and self.held[0] == which:
+                self.held = None
+
+    def dispatch(self, now, seq, kind, which, title, text):
+        self.pass_time(now)
+        hit = self.held is not None and which in (None, self.held[0])
+        if kind == "ADD":
+            self.held = [which, title, text, True]
+        elif kind == "UPDATE" and hit:
+            self.held[1:3] = title or self.held[1], text or self.held[2]
+        elif kind == "DISMISS":
+            meant = which or (self.held[0] if self.held else None)
+            if meant and meant not in self.timers:
+                self.timers[meant] = now + self.delay
+                self.starts.append((meant, seq, now + self.delay))
+            if hit:
+                self.held[3] = False
+        elif kind == "REMOVE" and hit:
+            self.held = None
+
+
+def _toast_log(r, lists, steps, delay):
+    """Random logs that span several delays, some of whose events fall on the moment of a removal."""
+    rows = []
+    for name in lists:
+        now, n = 0, 0
+        for k in range(steps):
+            now += r.choice([0, 1, delay // 3, delay // 2, delay, 2 * delay])
+            kind = r.choice(["ADD", "UPDATE", "UPDATE", "DISMISS", "DISMISS", "DISMISS", "REMOVE"]) if k % 5 else "DISMISS"
             n += kind == "ADD"
             which = str(n) if kind == "ADD" else r.choice([str(max(1, n)), str(max(1, n - 1)), None if kind != "UPDATE" else str(n)])
-            title, text = r.choice(["t", None]) and f"t{k}", r.choice(["d", None]) and f"d{k}"
-            rows.append((name, _at(k), k, kind, which, title, text))
-            if kind == "ADD":
-                held = [which, title, text, True]
-            elif kind == "DISMISS":
-                for meant in [which] if which else [held[0]] if held else []:
-                    timers.setdefault((name, meant), k)
-            if held and kind != "ADD" and which in (None, held[0]):
-                if kind == "UPDATE":
-                    held[1:3] = title or held[1], text or held[2]
-                elif kind == "DISMISS":
-                    held[3] = False
-                else:
-                    held = None
-        if held:
-            expected[name] = tuple(held)
+            rows.append((name, _at(now), k, kind, which, r.choice(["t", None]) and f"t{k}", r.choice(["d", None]) and f"d{k}"))
+    return rows
+
+
+def _plain(rows, delay, until):
+    lists, starts, held = {}, {}, {}
+    for name, at, *event in sorted(rows, key=lambda e: (e[0], e[1], e[2])):
+        state = lists.setdefault(name, PlainToasts(delay))
+        starts[name] = state.starts
+        if (now := round(at.timestamp() * 1000)) <= until:
+            state.dispatch(now, *event)
+            held[name] = state
+    for state in held.values():
+        state.pass_time(until)
+    return {n: tuple(x.held) for n, x in held.items() if x.held}, sorted((n, *x) for n, state in lists.items() for x in state.starts)
+
+
+@pytest.mark.parametrize("delay", [1000, 1_000_000])
+def test_toasts_by_a_plain_reducer_with_a_clock(spark, delay):
+    rows = _toast_log(random.Random(4), "abcdefghijkl", 60, delay)
     events = spark.createDataFrame(rows, TOAST_DDL)
-    assert {x[0]: tuple(x[1:]) for x in changelog.fold_toasts(events).collect()} == expected
-    assert {(x.list_id, x.toast_id): x.seq for x in changelog.toast_expiries(events).collect()} == timers
+    last = max(round(e[1].timestamp() * 1000) for e in rows)
+    _, starts = _plain(rows, delay, 2 * last)
+    assert sorted((x.list_id, x.toast_id, x.seq, round(x.expires.timestamp() * 1000)) for x in changelog.toast_expiries(events, delay).collect()) == starts
+    assert len({x[:2] for x in starts}) < len(starts)
+    for until in (last // 3, last // 2, last, last + delay):
+        held, _ = _plain(rows, delay, until)
+        got = changelog.fold_toasts(events, F.timestamp_millis(F.lit(until)), delay)
+        assert {x[0]: tuple(x[1:]) for x in got.collect()} == held
+    # without a moment each list's clock stops at its last event
+    ends = {}
+    for name in "abcdefghijkl":
+        own = [e for e in rows if e[0] == name]
+        ends |= _plain(own, delay, max(round(e[1].timestamp() * 1000) for e in own))[0]
+    assert {x[0]: tuple(x[1:]) for x in changelog.fold_toasts(events, delay_ms=delay).collect()} == ends
+
+
+def test_a_dismiss_after_the_removal_starts_another_delay(spark):
+    log = [("l", _at(ms), k, kind, "1", title, None) for k, (ms, kind, title) in enumerate([(0, "ADD", "a"), (1000, "DISMISS", None), (3_000_000, "UPDATE", "late"), (3_001_000, "DISMISS", None)])]
+    events = spark.createDataFrame(log, TOAST_DDL)
+    assert changelog.fold_toasts(events).count() == 0
+    assert sorted(x.seq for x in changelog.toast_expiries(events).collect()) == [1, 3]
+
+
+def _stream(spark, path, batches, ddl):
+    """A stream with one file, and so one batch, for each list of rows."""
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(str(path / f"in/{k}"))
+        part = next((path / f"in/{k}").glob("*.parquet"))
+        os.utime(part, (1_700_000_000 + k, 1_700_000_000 + k))
+    return spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(path / "in/*"))
+
+
+def _finish(writer, path):
+    writer.option("checkpointLocation", str(path / "checkpoint")).trigger(availableNow=True).start().awaitTermination(240)
+
+
+def test_toast_stream_is_the_plain_reducer(spark, tmp_path):
+    delay = 1_000_000
+    rows = sorted(_toast_log(random.Random(9), "abcd", 25, delay), key=lambda e: (e[1], e[2]))
+    end = max(round(e[1].timestamp() * 1000) for e in rows)
+    rows.append(("z", _at(end + 60_000), 999, "ADD", "1", "end", None))
+    cuts = [rows[:30], rows[30:70], rows[70:]]
+    seen = []
+    out = folds.toasts(_stream(spark, tmp_path, cuts, TOAST_DDL), delay_ms=delay)
+    _finish(out.writeStream.outputMode("update").foreachBatch(lambda df, n: seen.extend((n, tuple(r)) for r in df.collect())), tmp_path)
+    # the watermark ends ten seconds before the last event, after every removal that is due by then
+    held, _ = _plain(rows, delay, end + 50_000)
+    last = {r[0]: r[1:] for _, r in seen}
+    assert {n: r for n, r in last.items() if r[0] is not None and n != "z"} == {n: r for n, r in held.items() if n != "z"}
+
+
+# ---- logs of notes in any order --------------------------------------------------------------
+
+LOG_DDL = "note_id string, ts timestamp, seq long, op string, set_mask array<string>, title string, markdown_content string, folder_id string, tags array<string>"
+
+
+def _note_logs(r, notes, steps):
+    """Random logs of many notes; events of one moment differ by seq."""
+    rows = []
+    for k in range(notes):
+        for seq in range(r.randrange(1, steps)):
+            op = r.choice(["create", "patch", "patch", "patch", "delete", "select"])
+            mask = r.sample(["title", "markdown_content", "folder_id", "tags"], r.randrange(0, 4)) if op in ("create", "patch") else None
+            value = r.choice([None, f"v{seq}", 'a "quoted" \\ line\n'])
+            rows.append((f"n{k}", _at(r.randrange(6)), seq, op, mask, value, f"b{seq}", value, r.choice([None, [], ["x", f"t{seq}"]])))
+    return rows
+
+
+def _plain_notes(rows):
+    """The notes after the events in the order of their moments."""
+    notes = {}
+    for note_id, at, _, op, mask, title, body, folder, tags in sorted(rows, key=lambda e: (e[0], e[1], e[2])):
+        given = {k: v for k, v in (("title", title), ("markdown_content", body), ("folder_id", folder), ("tags", tags)) if k in (mask or [])}
+        if op == "create":
+            fields = {"title": schema.DEFAULT_TITLE, "markdown_content": schema.DEFAULT_BODY, "folder_id": None, "tags": [], "owner_id": schema.DEFAULT_OWNER}
+            notes[note_id] = fields | {k: v for k, v in given.items() if v is not None} | {"created_at": at, "updated_at": at}
+        elif op == "patch" and note_id in notes:
+            notes[note_id] |= given | {"updated_at": at}
+        elif op == "delete":
+            notes.pop(note_id, None)
+    return {k: tuple(v.values()) for k, v in notes.items()}
+
+
+def _as_dict(df):
+    return {r.note_id: tuple(r[1:]) for r in df.collect()}
+
+
+def test_log_table_and_stream_agree_in_any_order(spark, tmp_path):
+    """A thousand notes' logs, dealt to batches in any order, some of them twice."""
+    r = random.Random(11)
+    rows = _note_logs(r, 1000, 9)
+    expected = _plain_notes(rows)
+    assert _as_dict(changelog.fold_notes(spark.createDataFrame(rows, LOG_DDL))) == expected
+    r.shuffle(rows)
+    batches = [rows[k::5] for k in range(5)]
+    batches.append(r.sample(rows, 300))
+    table = folds.NoteTable(spark, str(tmp_path / "table"), compact_every=2)
+    for k, batch in enumerate(batches):
+        table(spark.createDataFrame(batch, LOG_DDL), k)
+        if k == 3:
+            table(spark.createDataFrame(batches[2], LOG_DDL), 2)  # repeated after it went into a base
+    assert _as_dict(table.current()) == expected
+    assert table._numbers("base") == [3, 5] and table._numbers("clocks") == [4, 5]
+    changes = note_state.note_changes(_stream(spark, tmp_path, batches, LOG_DDL))
+    _finish(changes.writeStream.outputMode("update").foreachBatch(note_state.change_log(str(tmp_path / "changes"))), tmp_path)
+    assert _as_dict(note_state.notes_of_changes(spark, str(tmp_path / "changes"))) == expected
+
+
+def test_late_events(spark, tmp_path):
+    """What was found wrong: an earlier event in a later batch is ignored, and a late one revives a deleted note."""
+    table = folds.NoteTable(spark, str(tmp_path))
+    ddl = "note_id string, ts timestamp, seq long, op string, set_mask array<string>, title string"
+    table(spark.createDataFrame([("n", _at(1), 1, "create", None, None), ("n", _at(5), 5, "patch", ["folder_id"], None), ("d", _at(1), 2, "create", None, None), ("d", _at(9), 9, "delete", None, None)], ddl), 0)
+    seen = []
+    table.subscribe(lambda notes: seen.append(notes.count()))
+    table.listeners.append(lambda notes: 1 / 0)
+    table(spark.createDataFrame([("n", _at(3), 3, "patch", ["title"], "late"), ("d", _at(4), 4, "create", ["title"], "back")], ddl), 1)
+    assert [(x.note_id, x.title) for x in table.current().collect()] == [("n", "late")] and seen == [1, 1]
+
+
+# ---- what an editor shows --------------------------------------------------------------------
+
+
+def _plain_statuses(events, gap):
+    """One session's editor as it takes the events in order, with a clock."""
+    opened, pending, out = None, None, []
+    for ms, seq, note, edit in sorted(events):
+        if pending and pending[0] < ms:
+            out.append((opened, "saved", *pending))
+            pending = None
+        if note != opened:
+            opened, pending = note, None
+        if edit:
+            if not pending:
+                out.append((note, "saving", ms, seq))
+            pending = (ms + gap, seq)
+    return out + ([(opened, "saved", *pending)] if pending else [])
+
+
+STATUS_DDL = "session string, ts timestamp, seq long, note_id string, edit boolean"
+
+
+def test_statuses(spark, tmp_path):
+    r = random.Random(3)
+    rows, now = [], dict.fromkeys("abcdef", 0)
+    for seq in range(400):
+        name = r.choice("aaabcdef")
+        now[name] += r.choice([0, 100, 799, 800, 801, 3000])
+        rows.append((name, _at(now[name]), seq, r.choice(["n1", "n1", "n1", "n2"]), r.random() < 0.7))
+    expected = sorted((name, *x) for name in now for x in _plain_statuses([(round(t.timestamp() * 1000), s, n, e) for who, t, s, n, e in rows if who == name], 800))
+    plain = [*rows, ("a", _at(5), 9999, None, True)]
+    got = changelog.save_statuses(spark.createDataFrame(plain, STATUS_DDL))
+    assert sorted((x.session, x.note_id, x.status, round(x["at"].timestamp() * 1000), x.seq) for x in got.collect()) == expected
+    # as a stream in three batches, each in any order and with events that come before those of the batch before
+    order = sorted(rows, key=lambda e: (e[1], e[2]))
+    order = [e for k in range(0, len(order), 8) for e in r.sample(order[k : k + 8], len(order[k : k + 8]))]
+    end = _at(max(now.values()) + 3_600_000)
+    out = status.statuses(_stream(spark, tmp_path, [order[:150], order[150:290], order[290:], [("z", end, 0, "n", False)]], STATUS_DDL), lateness="200 seconds")
+    _finish(out.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "rows")), tmp_path)
+    shown = spark.read.parquet(str(tmp_path / "rows")).collect()
+    assert sorted((x.session, x.note_id, x.status, round(x["at"].timestamp() * 1000), x.seq) for x in shown) == expected
+
+
+def test_opening_another_note_drops_the_save(spark):
+    rows = [("s", _at(ms), ms, note, edit) for ms, note, edit in ((0, "a", True), (500, "a", False), (600, "b", False), (2000, "b", True), (2100, "b", False))]
+    got = changelog.save_statuses(spark.createDataFrame(rows, STATUS_DDL)).orderBy("at").collect()
+    assert [(x.note_id, x.status, round(x["at"].timestamp() * 1000)) for x in got] == [("a", "saving", 0), ("b", "saving", 2000), ("b", "saved", 2800)]
+
+
+# ---- notes in files --------------------------------------------------------------------------
+
+
+def _many(spark, n):
+    at = datetime(2024, 1, 1)
+    return spark.createDataFrame([(f"id{k}", f"Title {k}", f"body of note {k} {'quince' if k % 97 == 5 else 'pear'}", None, [f"tag{k % 9}"], at, at, "o", k) for k in range(n)], schema.NOTE)
+
+
+def test_a_change_copies_only_the_files_it_touches(spark, tmp_path):
+    notes = _many(spark, 600).cache()
+    files = NoteFiles(spark, str(tmp_path), buckets=32)
+    first = files.write(notes)
+    assert len(first.written) == 32 and files.read().count() == 600
+    patches = spark.createDataFrame([(f"id{k}", ["title"], "new", None) for k in (3, 50, 411)] + [("unknown", ["title"], "x", None), (None, ["title"], "x", None)], "id string, set_mask array<string>, title string, new_id string")
+    holders = {b.bucket for b in notes.filter("id IN ('id3', 'id50', 'id411')").select(files.bucket(F.col("id")).alias("bucket")).collect()}
+    change = files.patch(patches, moment())
+    assert len(change.dropped) == len(holders) == len(change.written)
+    # the other files are the very same
+    assert {r.file for r in files.live().collect()} - set(change.written) == set(first.written) - set(change.dropped)
+    expected = sorted(map(tuple, store.update_notes(notes, patches, moment()).collect()), key=repr)
+    assert sorted(map(tuple, files.read().collect()), key=repr) == expected
+    assert sorted(map(tuple, files.read(0).collect()), key=repr) == sorted(map(tuple, notes.collect()), key=repr)
+    # unknown ids touch nothing, a new id moves a note to its own bucket
+    assert files.delete(spark.createDataFrame([("nobody",)], "id string")).dropped == []
+    files.patch(spark.createDataFrame([("id7", ["id"], "seven")], "id string, set_mask array<string>, new_id string"), moment())
+    seven = spark.createDataFrame([("seven",)], "id string")
+    assert files.find(seven).filter("id = 'seven'").count() == 1 and files.read().filter("id = 'id7'").count() == 0
+    files.append(_many(spark, 2).withColumn("id", F.concat(F.lit("new"), "id")))
+    assert files.read().count() == 602
+    gone = files.delete(seven)
+    assert len(gone.dropped) == 1 and files.read().count() == 601
+    before = files.live().count()
+    assert len(files.compact(1).dropped) > 0 and files.live().count() < before and files.read().count() == 601
+    known = files.versions()
+    assert files.vacuum(2) > 0 and files.versions() == known[-2:] and files.read().count() == 601
+
+
+def test_versions_are_published_once(spark, tmp_path):
+    files = NoteFiles(spark, str(tmp_path), buckets=2)
+    with pytest.raises(FileNotFoundError):
+        files.read()
+    files.write(_many(spark, 0))
+    assert files.read().count() == 0 and files.read().columns == schema.NOTE.names
+    files.append(_many(spark, 3))
+    behind = NoteFiles(spark, str(tmp_path), buckets=2)
+    behind.versions = lambda: [0]  # another writer that has not seen the last version
+    with pytest.raises(OSError, match="another writer"):
+        behind._publish(files.live())
+    assert files.read().count() == 3
+
+
+@pytest.mark.parametrize("query", ["quince", "QUINCE", "note 41", "Title 7", "tag3", "no such text", "ea", "", " pear", "%", "body of note 599 pear", "İ"])
+def test_indexed_search(spark, indexed, query):
+    files, index = indexed
+    for look in (search.by_all, search.by_title_or_body, search.by_tag):
+        assert sorted(r.id for r in index.search(query, look).collect()) == sorted(r.id for r in look(files.read(), query).collect())
+
+
+@pytest.fixture(scope="module")
+def indexed(spark, tmp_path_factory):
+    files = NoteFiles(spark, str(tmp_path_factory.mktemp("files")), buckets=40)
+    files.write(_many(spark, 600))
+    index = SearchIndex(files, str(tmp_path_factory.mktemp("index")))
+    index.build()
+    return files, index
+
+
+def test_the_index_reads_few_files(spark, indexed):
+    files, index = indexed
+    live = files.live().count()
+    for query, most in (("quince", 7), ("note 599", 1), ("no such text", 0)):
+        read = {r.f for r in index.search(query, search.by_all).select(F.input_file_name().alias("f")).distinct().collect()}
+        assert len(files.holding(index.candidates(query))) <= most < live
+        assert len(read) <= most
+    # only common trigrams, or too few characters
+    assert index.candidates("pear") is None and index.candidates("no") is None
+
+
+def test_the_index_follows_changes(spark, tmp_path):
+    files = NoteFiles(spark, str(tmp_path / "files"), buckets=8)
+    files.write(_many(spark, 100))
+    index = SearchIndex(files, str(tmp_path / "index"))
+    index.build()
+    assert index.search("zebra", search.by_all).count() == 0
+    ids = spark.createDataFrame([("id5",)], "id string")
+    files.patch(ids.select("id", F.array(F.lit("markdown_content")).alias("set_mask"), F.lit("a Zebra").alias("markdown_content")), moment())
+    index.add(files.find(ids).join(ids, "id", "left_semi"))
+    assert [r.id for r in index.search("zebra", search.by_all).collect()] == ["id5"]
+    assert index.search("quince", search.by_all).filter("id = 'id5'").count() == 0  # its old text is still in the postings
+
+
+def test_grams(spark):
+    texts = ["", "ab", "abc", "abcabc", "😀é中x", None]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", grams(F.col("t")).alias("g")).collect()
+    assert {r.k: r.g and sorted(r.g) for r in got} == {0: [], 1: [], 2: ["abc"], 3: ["abc", "bca", "cab"], 4: sorted(["😀é中", "é中x"]), 5: None}
 
 
 def test_streams(spark, tmp_path):
