@@ -90,8 +90,75 @@ def repeats_at_anchor(members: list[tuple], length: int) -> Iterator[tuple[int,
             yield before, after, len(occurrences), occurrences
 
 
+#: Groups of more rows than this are searched by cuts of their trees instead of node by node.
+SMALL = 48
+
+
+def _reaches(rows: list[tuple[int, bytes]], counts: np.ndarray, lengths: list[int]) -> Iterator[list[tuple[int, int, int]]]:
+    """(before, after, places) of each of ``rows`` (offset of the anchor, text) for each of ``lengths``: how far its repeats of so many bytes
+    reach to the left and to the right of the anchor, together one run, and how often the commonest starts; (0, 0, 0) without any.
+
+    Right contexts and reversed left contexts are each a sorted suffix array with common prefixes. A cut
+    of the right tree at depth ``length - a`` and of the left tree at depth ``a`` puts rows into the same interval of both
+    exactly if they share the string of ``length`` bytes that begins ``a`` before the anchor. So the work is that of one sort for
+    each distance to the anchor, whatever the number of repeats nested in each other.
+    """
+    n = len(rows)
+    trees = []
+    for contexts in ([text[:off][::-1] for off, text in rows], [text[off:] for off, text in rows]):
+        order = sorted(range(n), key=contexts.__getitem__)
+        common = np.array([0, *(common_prefix(contexts[x], contexts[y]) for x, y in zip(order, order[1:], strict=False))])
+        trees.append((np.array(order), common))
+    (left, left_common), (right, right_common) = trees
+    # the longest prefix that each right context shares with another
+    shared = np.zeros(n, np.int64)
+    shared[right] = np.maximum(right_common, np.append(right_common[1:], 0))
+
+    def cut(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
+        """The number of each row's interval at a depth."""
+        out = np.empty(n, np.int64)
+        out[order] = np.cumsum(common < depth)
+        return out
+
+    for length in lengths:
+        first, last, places = np.full(n, -1), np.full(n, -1), np.zeros(n, np.int64)
+        for distance in range(min(int(left_common.max()), length) + 1):
+            both = cut(left, left_common, distance) * (n + 1) + cut(right, right_common, length - distance)
+            order = np.argsort(both, kind="stable")
+            starts = np.flatnonzero(np.concatenate(([True], np.diff(both[order]) > 0)))
+            sizes = np.diff(np.append(starts, n))
+            if sizes.max() == 1:
+                continue
+            several = order[np.repeat(sizes > 1, sizes)]
+            first[several] = np.where(first[several] < 0, distance, first[several])
+            last[several] = distance
+            total = np.repeat(np.add.reduceat(counts[order], starts), sizes)[np.repeat(sizes > 1, sizes)]
+            places[several] = np.maximum(places[several], total)
+        # a string that could begin later would have been found there, but for one that begins at the anchor
+        after = np.where(first == 0, shared, length - first)
+        yield [(b, a, p) if b >= 0 else (0, 0, 0) for b, a, p in zip(last.tolist(), after.tolist(), places.tolist(), strict=True)]
+
+
 def _search(length: int, long: int):
+    def in_large(members: list[tuple]) -> Iterator[tuple]:
+        alike: dict[tuple[int, bytes], list[tuple]] = {}
+        for t0, t1, _, place, first, text in members:
+            alike.setdefault((place - first, text), []).append((t0, t1, place))
+        rows = sorted(alike)
+        counts = np.array([len(alike[r]) for r in rows])
+        for is_long, found in enumerate(_reaches(rows, counts, [length] if long == length else [length, long])):
+            kinds = (0, 1) if long == length else (is_long,)
+            for row, (before, after, places) in zip(rows, found, strict=True):
+                held = alike[row]
+                if len(held) > 1 and len(row[1]) >= (long if is_long else length):  # copies share all there is
+                    before, after, places = row[0], len(row[1]) - row[0], max(places, len(held))
+                if places:
+                    yield from ((t0, t1, place - before, place + after, kind, places) for t0, t1, place in held for kind in kinds)
+
     def search(members: list[tuple]) -> Iterator[tuple]:
+        if len(members) > SMALL:
+            yield from in_large(members)
+            return
         # all repeats of a member hold the anchor, so together they are one run
         runs: dict[tuple[tuple, int], list[int]] = {}
         for before, after, places, occurrences in repeats_at_anchor(members, length):

@@ -782,3 +782,37 @@ def test_lines(docs, texts, odd, none, batches):
         assert (got[d].n_lines, got[d].n_dropped, got[d].kept) == (len(lines), len(lines) - len(kept), "\n".join(kept))
     assert line_runs.dedup_lines(none).count() == 0
     assert _rows(line_runs.dedup_lines(odd, 5, 3).select("doc_id", "n_dropped")) == sorted([(1, 0)] * 3 + [(2, 0)] + [(None, 0)] * 2, key=repr)
+
+
+def _around(r, n, length, letters):
+    """Members of one key: an anchor with contexts that agree for random lengths on both sides; some have copies."""
+    core = bytes(r.choice(letters) for _ in range(4 * length))
+    out = []
+    for k in range(n):
+        off, agree = r.randrange(length // 2), r.randrange(length)
+        left = bytes(r.choice(letters) for _ in range(length)) + core[2 * length - agree : 2 * length]
+        right = core[2 * length : 2 * length + r.randrange(1, 2 * length)] + bytes(r.choice(letters) for _ in range(r.randrange(length)))
+        text = left[len(left) - off :] + right
+        out += [(k + copy, 0, k, off + 7, 7, text) for copy in ([0, 10_000] if r.random() < 0.2 else [0])]
+    return out
+
+
+def test_large_groups_of_suffixes(monkeypatch):
+    """Cuts of the trees give what the trees give node by node."""
+    r = random.Random(3)
+    for trial in range(150):
+        length = r.choice([6, 8, 12])
+        search = suffix_array._search(length, length + r.choice([0, 4, 6]))
+        members = _around(r, r.randrange(2, 60), length, b"ab" if trial % 2 else b"abcd")
+        monkeypatch.setattr(suffix_array, "SMALL", 10**9)
+        by_node = sorted(search(members))
+        monkeypatch.setattr(suffix_array, "SMALL", 1)
+        assert sorted(search(members)) == by_node
+
+
+def test_a_full_group_of_suffixes():
+    r = random.Random(5)
+    members = _around(r, 17_000, 256, b"abcdefghijkl ")
+    began = time.perf_counter()
+    assert sum(1 for _ in suffix_array._search(256, 400)(members)) > 17_000
+    assert time.perf_counter() - began < 60
