@@ -10,6 +10,7 @@ classifier's probability is at least one half.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -64,20 +65,58 @@ LABELERS = ["strict", "gazetteer", "context", "value"]
 CONTEXT = 24
 
 
+#: Matches are walked in blocks, as an array that grows costs the square of its size.
+BLOCK = 256
+#: Texts are looked up in pieces of so many code points, as finding a place costs its distance from the start.
+PIECE = 1024
+_FOUND = "array<struct<start:int,stop:int,value:string>>"
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _spans(text: Column, pattern: str) -> Column:
-    """The leftmost matches that don't overlap, as structs (start, stop, value), in code points."""
-    gaps = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("value"))
-    none = F.array().cast("array<struct<start:int,stop:int,value:string>>")
+    """The leftmost matches that don't overlap, as structs (start, stop, value), in code points; in time that grows with their number."""
+    none = F.array().cast(_FOUND)
+
+    def size(pair: Column) -> Column:
+        return F.length(pair["gap"]) + F.coalesce(F.length(pair["value"]), F.lit(0))
 
     def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["gap"])
-        stop = start + F.coalesce(F.length(pair["value"]), F.lit(0))
+        start, stop = state["at"] + F.length(pair["gap"]), state["at"] + size(pair)
         found = F.struct(start.alias("start"), stop.alias("stop"), pair["value"].alias("value"))
         return F.struct(stop.alias("at"), F.when(pair["value"].isNull(), state["found"]).otherwise(F.array_append(state["found"], found)).alias("found"))
 
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda s: s["found"])
-    return F.when(F.size(gaps) > 1, walked).otherwise(none)
+    def walked(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda n, pair: n + size(pair)))
+        starts = F.aggregate(sizes, F.array(F.lit(0)), lambda known, n: F.array_append(known, F.element_at(known, -1) + n))
+        each = F.zip_with(blocks, F.slice(starts, F.lit(1), F.size(blocks)), lambda block, at: F.aggregate(block, F.struct(at.alias("at"), none.alias("found")), step, lambda state: state["found"]))
+        return F.flatten(each)
+
+    def in_blocks(pairs: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int"))
+        return _once(F.transform(numbers, lambda k: F.slice(pairs, k * BLOCK + 1, F.lit(BLOCK))), walked)
+
+    def between(gaps: Column) -> Column:
+        pairs = F.zip_with(gaps, F.regexp_extract_all(text, F.lit(pattern), 0), lambda gap, value: F.struct(gap.alias("gap"), value.alias("value")))
+        return F.when(F.size(gaps) > 1, _once(pairs, in_blocks)).otherwise(none)
+
+    return _once(F.split(text, pattern, -1), between)
+
+
+def _pieces(text: Column) -> Column:
+    """A text in pieces of ``PIECE`` code points, a short one whole."""
+    return F.when(F.length(text) <= 4 * PIECE, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), 0))
+
+
+def _before(pieces: Column, start: Column) -> Column:
+    """The ``CONTEXT`` code points before a place, or as many as there are."""
+    first = F.greatest(start - CONTEXT, F.lit(0))
+    piece = F.when(F.size(pieces) > 1, F.floor(first / PIECE).cast("int")).otherwise(F.lit(0))
+    near = F.concat(F.get(pieces, piece), F.coalesce(F.get(pieces, piece + 1), F.lit("")))
+    return F.substring(near, first - piece * PIECE + 1, F.least(start, F.lit(CONTEXT)))
 
 
 def _digits(value: Column) -> Column:
@@ -125,10 +164,10 @@ def _value_check(kind: str, value: Column) -> Column:
     return _valid(kind, value)
 
 
-def _label(text: Column, rank: int, s: Column) -> Column:
+def _label(pieces: Column, rank: int, s: Column) -> Column:
     """A span with the labelers' votes."""
     kind = KINDS[rank]
-    before = F.lower(F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT))))
+    before = F.lower(_before(pieces, s["start"]))
     votes = [
         s["value"].rlike(STRICT[kind]), s["value"].rlike(GAZETTEER[kind]),
         before.rlike(r"(?:^|[^\p{L}])(?:" + CUES[kind] + r")[^\p{L}]*$"), _value_check(kind, s["value"]),
@@ -140,16 +179,16 @@ def _label(text: Column, rank: int, s: Column) -> Column:
     )
 
 
-def _proposed(text: Column, rank: int) -> Column:
+def _proposed(text: Column, pieces: Column, rank: int) -> Column:
     """The spans of one kind that pass its check, labelled."""
     kind = KINDS[rank]
     spans = _spans(text, BASE.get(kind) or ADDED[kind])
-    return F.transform(F.filter(spans, lambda s: _valid(kind, s["value"])), lambda s: _label(text, rank, s))
+    return F.transform(F.filter(spans, lambda s: _valid(kind, s["value"])), lambda s: _label(pieces, rank, s))
 
 
 def _candidates(text: Column) -> Column:
     """All proposed spans of a text as structs (start, rank, stop, votes, size), in this order."""
-    return F.array_sort(F.concat(*(_proposed(text, rank) for rank in range(len(KINDS)))))
+    return F.array_sort(_once(_pieces(text), lambda pieces: F.concat(*(_proposed(text, pieces, rank) for rank in range(len(KINDS))))))
 
 
 def of_kind(spans: Column, rank: int) -> Column:
@@ -233,7 +272,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
     Places are code points, ends exclusive. Matches of one kind don't overlap; those of
     different kinds may. A null or empty text has no spans. Rows are judged one by one,
-    repeated or not; other columns are ignored. Training reads counts of at most
+    repeated or not; other columns are ignored; no rows give no rows. A text of any length is searched whole, in time that
+    grows with its length and its number of matches. Training reads counts of at most
     7 x 16 x 8 patterns, gathered over all rows.
     """
     found = cut(docs.select("doc_id", _candidates(F.coalesce("text", F.lit(""))).alias("spans")))

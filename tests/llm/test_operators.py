@@ -1,6 +1,7 @@
 """The numbered operators against plain versions, with nulls, ties, repeated rows, long texts and empty tables."""
 
 import random
+import re
 import time
 import zlib
 from pathlib import Path
@@ -816,3 +817,28 @@ def test_a_full_group_of_suffixes():
     began = time.perf_counter()
     assert sum(1 for _ in suffix_array._search(256, 400)(members)) > 17_000
     assert time.perf_counter() - began < 60
+
+
+def test_very_many_spans_in_one_text(spark):
+    """Places and contexts of matches far into a long text, with characters of every width."""
+    parts, expected, at = [], [], 0
+    r = random.Random(8)
+    for k in range(3000):
+        gap = r.choice(["é mail ", "😀 to: ", "\n", " ip ", "x" * 300 + " "])
+        value = r.choice(["ab@example.org", "10.1.2.3"])
+        expected.append((at + len(gap), int(value[0] == "1"), at + len(gap) + len(value)))
+        at += len(gap) + len(value) + 1
+        parts.append(f"{gap}{value} ")
+    text = "".join(parts)
+    docs = spark.createDataFrame([(1, text), (2, "short ab@example.org")], "doc_id long, text string")
+    spans = {x.doc_id: x.spans for x in docs.select("doc_id", personal_data._candidates(F.col("text")).alias("spans")).collect()}
+    assert [(s.start, s.rank, s.stop) for s in spans[1] if s.rank < 2] == expected
+    for s in spans[1]:
+        before = text[max(0, s.start - personal_data.CONTEXT) : s.start].lower()
+        if s.rank == 0:
+            assert s.context == bool(re.search(r"(?:^|[^^\W\d_])(?:mail|e-mail|contact|write)[^^\W\d_]*$".replace("[^^\\W\\d_]", r"[\W\d_]"), before))
+    assert [(s.start, s.stop) for s in spans[2]] == [(6, 20)]
+    began = time.perf_counter()
+    hostile = spark.createDataFrame([(1, "a.b@example.org, " * 200_000)], "doc_id long, text string")
+    assert hostile.select(F.size(personal_data._candidates(F.col("text"))).alias("n")).first().n == 200_000
+    assert time.perf_counter() - began < 90
