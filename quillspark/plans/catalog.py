@@ -17,7 +17,7 @@ from quillspark.sources import codec
 from quillspark.sources.note_files import NoteFiles
 from quillspark.sources.scratch import scratch_folder
 from quillspark.sources.search_index import SearchIndex
-from quillspark.streaming import note_state, status
+from quillspark.streaming import changed, note_state, status
 
 CURRENT = "17"
 STALE = "no-such-note"
@@ -294,11 +294,25 @@ def search_notes_indexed(spark, sf_dir):
 _EDITS = "SELECT CAST(user_id AS VARCHAR) AS note_id, ts, event_id AS seq, event_type AS value FROM events"
 
 
-@_query(f"SELECT note_id, seq, value FROM (SELECT *, lag(value) OVER (PARTITION BY note_id ORDER BY ts, seq) AS before FROM ({_EDITS})) WHERE value IS DISTINCT FROM before")
+_CHANGED = f"SELECT note_id, seq, value FROM (SELECT *, lag(value) OVER (PARTITION BY note_id ORDER BY ts, seq) AS before FROM ({_EDITS})) WHERE value IS DISTINCT FROM before"
+
+
+@_query(_CHANGED)
 def changed_edits(spark, sf_dir):
     return changelog.changed_edits(bind.edits(spark, sf_dir)).select("note_id", "seq", "value")
 
 
+@_query(f"WITH c AS ({_CHANGED.replace('SELECT note_id, seq, value', 'SELECT note_id, ts, seq, value')}) SELECT note_id, seq, value FROM c WHERE epoch_us(ts) <= 1000 * (SELECT epoch_ms(max(ts) - INTERVAL 1 HOUR) FROM events)")
+def changed_edits_stream(spark, sf_dir):
+    """The same by a stream: what the watermark has passed by the end of the log."""
+
+    def start(session, path):
+        found = changed.changed_edits(bind.edits_of(bind.event_stream(session, sf_dir)), "1 hour")
+        return found.writeStream.format("parquet").outputMode("append").option("path", f"{path}/rows")
+
+    return spark.read.parquet(f"{_run_stream(spark, start)}/rows").select("note_id", "seq", "value")
+
+
 _FOLDED = """
     WITH e AS (SELECT CAST(user_id AS VARCHAR) AS note_id, ts, event_id AS seq, event_type AS kind, 'v' || event_id AS value FROM events WHERE event_type <> 'view'),
     s AS (SELECT *, count(*) FILTER (WHERE kind IN ('signup', 'error')) OVER (PARTITION BY note_id ORDER BY ts, seq) AS segment FROM e),

@@ -93,11 +93,13 @@ def editor_events(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").cast("string").alias("session"), at.alias("ts"), F.col("event_id").alias("seq"), F.concat(F.lit("n"), note.cast("string")).alias("note_id"), edit.alias("edit"))
 
 
-def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edits_of(events: DataFrame) -> DataFrame:
     """All events as edits, whose value is the event's type, so that neighbours may be equal."""
-    return table(spark, sf_dir, "events").select(
-        F.col("user_id").cast("string").alias("note_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("event_type").alias("value")
-    )
+    return events.select(F.col("user_id").cast("string").alias("note_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("event_type").alias("value"))
+
+
+def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits_of(table(spark, sf_dir, "events"))
 
 
 def toast_events(spark: SparkSession, sf_dir: str) -> DataFrame:

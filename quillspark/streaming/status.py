@@ -7,7 +7,9 @@ from typing import Any
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
+
+from quillspark.streaming.in_order import InOrder
 
 _OUT = "session string, note_id string, status string, at_us bigint, seq bigint"
 
@@ -16,86 +18,48 @@ def _shown(key: Any, note_id: str, status: str, at: int, seq: int) -> Row:
     return Row(session=key[0], note_id=note_id, status=status, at_us=at, seq=seq)
 
 
-class StatusProcessor(StatefulProcessor):
-    """One session's editor. Events wait until the watermark has passed them and are then taken in the order of their moments.
+class StatusProcessor(InOrder):
+    """One session's editor. An edit sets the pending save to ``gap_us`` after it, in place of one that was pending; opening
+    another note drops it."""
 
-    An edit sets the pending save to ``gap_us`` after it, in place of one that was pending; opening another note drops it.
-    The session has one timer, for the first moment at which something may happen: it is deleted and set again
-    when later events or edits change that moment.
-    """
+    EVENT = "ts_us bigint, seq bigint, note_id string, edit boolean"
 
     def __init__(self, gap_us: int):
         self.gap_us = gap_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "ts bigint, seq bigint, note_id string, edit boolean")
-        self.opened = handle.getValueState("opened", "note_id string")
-        self.pending = handle.getValueState("pending", "at bigint, seq bigint")
-        self.timer = handle.getValueState("timer", "at bigint")
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
-        self.waiting.appendList([(e.ts_us, e.seq, e.note_id, e.edit) for e in rows])
-        return self._settle(key, timerValues.getCurrentWatermarkInMs() * 1000)
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
-        return self._settle(key, timerValues.getCurrentWatermarkInMs() * 1000)
-
-    def _settle(self, key: Any, upto: int) -> Iterator[Row]:
-        waiting = sorted(map(tuple, self.waiting.get()), key=lambda e: e[:2]) if self.waiting.exists() else []
-        opened = self.opened.get()[0] if self.opened.exists() else None
-        pending = tuple(self.pending.get()) if self.pending.exists() else None
-        done = 0
-        for at, seq, note_id, edit in waiting:
-            if at > upto:
-                break
-            done += 1
-            if pending and pending[0] < at:
-                yield _shown(key, opened, "saved", *pending)
-                pending = None
-            if note_id != opened:
-                opened, pending = note_id, None
-            if edit:
-                if pending is None:
-                    yield _shown(key, note_id, "saving", at, seq)
-                pending = (at + self.gap_us, seq)
-        if pending and pending[0] <= upto:
-            yield _shown(key, opened, "saved", *pending)
-            pending = None
-        left = waiting[done:]
-        if done:
-            if left:
-                self.waiting.put(left)
-            else:
-                self.waiting.clear()
-        if opened is not None:
-            self.opened.update((opened,))
-        if pending:
-            self.pending.update(pending)
-        else:
-            self.pending.clear()
-        self._wake([e[0] for e in left[:1]] + [pending[0] for _ in (1,) if pending])
-
-    def _wake(self, moments: list[int]) -> None:
-        """One timer, for the first of the moments, in place of the one that was set."""
-        at = -(-min(moments) // 1000) if moments else None
-        set_at = self.timer.get()[0] if self.timer.exists() else None
-        if at == set_at:
-            return
-        if set_at is not None:
-            self.handle.deleteTimer(set_at)
-            self.timer.clear()
-        if at is not None:
-            self.timer.update((at,))
-            self.handle.registerTimer(at)
-
-    def close(self) -> None:
-        pass
+        super().init(handle)
+        self.kept = handle.getValueState("editor", "opened string, at bigint, seq bigint")
+
+    def begin(self) -> None:
+        self.opened, *pending = tuple(self.kept.get()) if self.kept.exists() else (None, None, None)
+        self.pending = tuple(pending) if pending[0] is not None else None
+
+    def take(self, key: Any, event: tuple) -> Iterator[Row]:
+        at, seq, note_id, edit = event
+        yield from self.pass_time(key, at - 1)  # an event at the moment of a save comes before it
+        if note_id != self.opened:
+            self.opened, self.pending = note_id, None
+        if edit:
+            if self.pending is None:
+                yield _shown(key, note_id, "saving", at, seq)
+            self.pending = (at + self.gap_us, seq)
+
+    def pass_time(self, key: Any, upto: int) -> Iterator[Row]:
+        if self.pending and self.pending[0] <= upto:
+            yield _shown(key, self.opened, "saved", *self.pending)
+            self.pending = None
+
+    def end(self) -> int | None:
+        if self.opened is not None:
+            self.kept.update((self.opened, *(self.pending or (None, None))))
+        return self.pending[0] if self.pending else None
 
 
 def statuses(events: DataFrame, gap_ms: int = 800, lateness: str = "10 seconds") -> DataFrame:
     """A stream of ``events`` (session, ts, seq, note_id, edit) to (session, note_id, status, at, seq), as ``changelog.save_statuses`` has them,
     each once the watermark has reached its moment."""
-    plain = events.withWatermark("ts", lateness).filter("note_id IS NOT NULL").select(F.col("session").cast("string").alias("session"), "ts", F.unix_micros("ts").alias("ts_us"), "seq", "note_id", "edit")
+    known = events.withWatermark("ts", lateness).filter("note_id IS NOT NULL")
+    plain = known.select(F.col("session").cast("string").alias("session"), "ts", F.unix_micros("ts").alias("ts_us"), "seq", "note_id", "edit")
     out = plain.groupBy("session").transformWithState(StatusProcessor(gap_ms * 1000), _OUT, "Append", "EventTime")
     return out.select("session", "note_id", "status", F.timestamp_micros("at_us").alias("at"), "seq")

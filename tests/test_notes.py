@@ -11,7 +11,8 @@ from quillspark.operators import changelog, lookup, search, slots, store, views
 from quillspark.sources import codec, files
 from quillspark.sources.note_files import NoteFiles
 from quillspark.sources.search_index import SearchIndex, grams
-from quillspark.streaming import folds, note_state, status
+from quillspark.streaming import changed, folds, note_state, status
+from quillspark.streaming.feed import Feed
 
 
 def moment():
@@ -395,6 +396,73 @@ def test_opening_another_note_drops_the_save(spark):
     assert [(x.note_id, x.status, round(x["at"].timestamp() * 1000)) for x in got] == [("a", "saving", 0), ("b", "saving", 2000), ("b", "saved", 2800)]
 
 
+def test_changed_edits_of_a_stream(spark, tmp_path):
+    """In any order within the watermark, over batches, with null values; and forgotten after a time."""
+    r = random.Random(5)
+    rows = [(r.choice("aaab"), _at(10_000 + 100 * k), k, r.choice(["x", "x", "y", None])) for k in range(240)]
+    ddl = "note_id string, ts timestamp, seq long, value string"
+    expected = sorted(x.seq for x in changelog.changed_edits(spark.createDataFrame(rows, ddl)).collect())
+    order = [e for k in range(0, len(rows), 10) for e in r.sample(rows[k : k + 10], 10)]
+    batches = [order[:75], order[75:160], order[160:], [("z", _at(3_600_000), 0, "end")]]
+    out = changed.changed_edits(_stream(spark, tmp_path / "all", batches, ddl), "5 seconds")
+    _finish(out.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "rows")), tmp_path / "all")
+    assert sorted(x.seq for x in spark.read.parquet(str(tmp_path / "rows")).collect() if x.note_id != "z") == expected
+    few = [[("n", _at(1000), 0, "x"), ("n", _at(1050), 1, "x"), ("n", _at(1151), 2, "x"), ("n", _at(1251), 3, "x")], [("z", _at(3_600_000), 0, "end")], [("n", _at(3_700_000), 4, "x"), ("z", _at(9_900_000), 1, "end")]]
+    out = changed.changed_edits(_stream(spark, tmp_path / "few", few, ddl), "5 seconds", keep_ms=100)
+    _finish(out.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "kept")), tmp_path / "few")
+    # after 101 ms the value is forgotten, after 100 ms at the moment of an edit it isn't yet
+    assert sorted(x.seq for x in spark.read.parquet(str(tmp_path / "kept")).collect() if x.note_id == "n") == [0, 2, 4]
+
+
+def test_a_feed_goes_on_after_a_restart(spark, tmp_path):
+    """Subscribers that stop, with and without a commit, while a stream goes on in three runs from its checkpoint."""
+    r = random.Random(21)
+    logs = _note_logs(r, 60, 9)
+    r.shuffle(logs)
+    runs, path = [logs[:100], logs[100:200], logs[200:]], tmp_path / "feed"
+    seen = {"early": {}, "late": {}, "lost": {}}
+
+    def read(name, commit=True):
+        feed = Feed(spark, str(path), "note_id")  # a new one each time, as after a restart
+        news = feed.pull(name)
+        if news is None:
+            return None
+        if news.state:
+            seen[name] = {}
+        for row in sorted(news.rows.collect(), key=lambda x: x.batch):
+            seen[name][row.note_id] = (row.live, row.title, row.folder_id)
+        if commit:
+            feed.commit(name, news)
+        return news
+
+    def run(k):
+        part = tmp_path / f"in/{k}"
+        spark.createDataFrame(runs[k], LOG_DDL).coalesce(1).write.parquet(str(part))
+        os.utime(next(part.glob("*.parquet")), (1_700_000_000 + k, 1_700_000_000 + k))
+        stream = spark.readStream.schema(LOG_DDL).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+        changes = note_state.note_changes(stream)
+        _finish(changes.writeStream.outputMode("update").foreachBatch(Feed(spark, str(path), "note_id")), tmp_path)
+
+    assert read("early") is None
+    run(0)
+    assert read("early").state and read("early") is None
+    read("lost", commit=False)
+    run(1)
+    assert not read("early").state
+    news = read("late")
+    assert news.state and read("lost", commit=False).state  # it never committed, so it begins anew
+    assert read("lost").state
+    assert Feed(spark, str(path), "note_id").compact() == 1
+    run(2)
+    assert not read("early").state and not read("late").state and not read("lost").state
+    expected = {k: (True, v[0], v[2]) for k, v in _plain_notes(logs).items()}
+    for name in seen:
+        assert {k: v for k, v in seen[name].items() if v[0]} == expected
+    assert Feed(spark, str(path), "note_id").position("early") == 2
+    new = Feed(spark, str(path), "note_id").pull("new")
+    assert {x.note_id: (x.live, x.title, x.folder_id) for x in new.rows.collect() if x.live} == expected
+
+
 # ---- notes in files --------------------------------------------------------------------------
 
 
