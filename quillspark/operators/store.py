@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark import schema
+from quillspark.functions import text
 from quillspark.operators.views import first_by_position
 
 #: What a patch may set: any field but updated_at. A new id comes as ``new_id``, as ``id`` says which note is meant.
@@ -30,16 +31,26 @@ def new_note(at: DataFrame, note_id: str, now: Column, given: Mapping[str, objec
     )
 
 
+def with_previews(notes: DataFrame) -> DataFrame:
+    """``notes`` with their previews as a column, which creates and patches keep from then on, so that lists read no bodies."""
+    return notes.withColumn("preview", text.preview(F.col("markdown_content")))
+
+
 def create_note(notes: DataFrame, note_id: str, now: Column, given: Mapping[str, object] | None = None) -> DataFrame:
     """The new note comes before all others."""
     front = notes.agg((F.coalesce(F.min("position"), F.lit(0)) - 1).cast("bigint").alias("position"))
-    return notes.unionByName(new_note(front, note_id, now, given))
+    return _joined(notes, new_note(front, note_id, now, given))
+
+
+def _joined(notes: DataFrame, new: DataFrame) -> DataFrame:
+    return notes.unionByName(with_previews(new) if "preview" in notes.columns else new)
 
 
 def update_notes(notes: DataFrame, patches: DataFrame, now: Column) -> DataFrame:
     """``patches``: id, set_mask (the names of the fields it sets, to null perhaps), those fields
     (a new id as ``new_id``), and seq where an id has several: then a field is that of the last
-    that sets it. Positions stay; updated_at is ``now``; patches of unknown ids do nothing."""
+    that sets it. Positions stay; updated_at is ``now``; patches of unknown ids do nothing. Previews
+    that are kept (``with_previews``) are made anew for patched bodies only."""
     given = {c: "new_id" if c == "id" else c for c in PATCHED}
     fields = [c for c, name in given.items() if name in patches.columns]
     seq = F.col("seq") if "seq" in patches.columns else F.lit(0)
@@ -47,6 +58,8 @@ def update_notes(notes: DataFrame, patches: DataFrame, now: Column) -> DataFrame
     p = patches.groupBy(F.col("id").alias("patch_id")).agg(F.count("*").alias("n_patches"), *last)
     joined = notes.join(p, notes.id == p.patch_id, "left")
     changed = {c: F.when(F.col(f"set_{c}").isNotNull(), F.col(f"set_{c}")["value"]).otherwise(F.col(c)) for c in fields}
+    if "preview" in notes.columns and "markdown_content" in fields:
+        changed["preview"] = F.when(F.col("set_markdown_content").isNotNull(), text.preview(F.col("set_markdown_content")["value"])).otherwise(F.col("preview"))
     changed["updated_at"] = F.when(F.col("patch_id").isNotNull(), now).otherwise(F.col("updated_at"))
     return joined.select(*(changed.get(c, F.col(c)).alias(c) for c in notes.columns))
 
@@ -66,7 +79,7 @@ def reselect(left: DataFrame, current: str, deleted: str, new_id: str, now: Colu
     if current != deleted:
         return first_by_position(left.filter(F.col("id") == current))
     none_left = left.agg(F.count("*").alias("n")).filter("n = 0").select(F.lit(0).cast("bigint").alias("position"))
-    return first_by_position(left).unionByName(new_note(none_left, new_id, now))
+    return _joined(first_by_position(left), new_note(none_left, new_id, now))
 
 
 def _at_end(rows: DataFrame) -> DataFrame:

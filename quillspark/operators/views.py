@@ -30,9 +30,11 @@ def index_of(notes: DataFrame, wanted: str) -> DataFrame:
 
 
 def list_view(notes: DataFrame, now: Column, current: str | None) -> DataFrame:
-    """One card for each note: id, title, preview, date label and whether it is the current one."""
+    """One card for each note: id, title, preview, date label and whether it is the current one. A preview that is kept is read
+    instead of the body."""
+    preview = F.col("preview") if "preview" in notes.columns else text.preview(F.col("markdown_content"))
     return notes.select(
-        "id", "title", text.preview(F.col("markdown_content")).alias("preview"), reltime.label(F.col("updated_at"), now).alias("label"),
+        "id", "title", preview.alias("preview"), reltime.label(F.col("updated_at"), now).alias("label"),
         F.col("id").eqNullSafe(F.lit(current)).alias("active"), "position",
     )
 

@@ -94,6 +94,19 @@ def json_round_trip(spark, sf_dir):
     return _report(codec.decode_notes(codec.encode_each(bind.notes(spark, sf_dir))))
 
 
+@_query("""
+    WITH d AS (SELECT doc_id, epoch_ms(TIMESTAMP '2024-01-01 00:00:00') + doc_id * 3600000 AS ms FROM documents)
+    SELECT doc_id, '$.meta.createdAt' AS path, ms AS at_ms FROM d UNION ALL SELECT doc_id, '$.meta.all[0].updatedAt', ms + 1000 FROM d WHERE doc_id % 2 = 0
+    UNION ALL SELECT doc_id, '$.meta.all[1].in[0].createdAt', NULL FROM d WHERE doc_id % 2 = 0""")
+def json_nested_dates(spark, sf_dir):
+    """Dates at three depths, one of them none; every second document has no inner ones."""
+    docs = bind.table(spark, sf_dir, "documents")
+    at = F.timestamp_seconds(F.unix_seconds(F.to_timestamp(F.lit("2024-01-01 00:00:00"))) + F.col("doc_id") * 3600)
+    inner = F.concat(F.lit('[{"updatedAt": "'), F.date_format(at + F.expr("INTERVAL 1 SECOND"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit('"}, {"in": [{"createdAt": "never"}]}]'))
+    value = F.concat(F.lit('{"meta": {"createdAt": "'), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit('", "all": '), F.when(F.col("doc_id") % 2 == 0, inner).otherwise("[1, null]"), F.lit("}}"))
+    return codec.nested_dates(docs.select(F.col("doc_id").alias("key"), value.alias("value"))).select(F.col("key").alias("doc_id"), "path", F.unix_millis("at").alias("at_ms"))
+
+
 # ---- filters, lookups, lists ---------------------------------------------------------------
 
 
@@ -280,6 +293,18 @@ def delete_note_files(spark, sf_dir):
     return _report(files.read())
 
 
+@_query(f"""WITH {_NOTES}, p AS {_MARKED}, m AS (SELECT n.id, title, CASE WHEN p.id IS NULL THEN markdown_content ELSE '# Checked **' || n.id || '**' END AS markdown_content,
+    CASE WHEN p.id IS NULL THEN ms ELSE {_NOW_MS} END AS ms, position FROM n LEFT JOIN p ON n.id = p.id)
+    SELECT id, title, {_PREVIEW} AS preview, {_LABEL} AS label, id = '{CURRENT}' AS active, position FROM m""")
+def list_view_kept(spark, sf_dir):
+    """The list of notes whose previews are kept in their files: a patch makes those of patched bodies anew, and the list reads no body."""
+    files = NoteFiles(spark, scratch_folder(spark), 64)
+    files.write(store.with_previews(bind.notes(spark, sf_dir)))
+    bodies = bind.marked_ids(spark, sf_dir).select("id", F.array(F.lit("markdown_content")).alias("set_mask"), F.concat(F.lit("# Checked **"), "id", F.lit("**")).alias("markdown_content"))
+    files.patch(bodies, bind.now())
+    return views.list_view(files.read(), bind.now(), CURRENT)
+
+
 @_query(f"WITH {_NOTES} SELECT {_REPORT} FROM n WHERE contains(lower(title), 'doc 12') OR contains(lower(markdown_content), 'doc 12') OR len(list_filter(tags, lambda x: contains(lower(x), 'doc 12'))) > 0")
 def search_notes_indexed(spark, sf_dir):
     """Search over the files that hold candidates by their trigrams."""

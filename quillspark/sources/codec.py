@@ -37,6 +37,29 @@ def decode_notes(stored: DataFrame) -> DataFrame:
     )
 
 
+#: Under these names JSON texts are dates, at whatever depth (fixed names).
+DATES = ["createdAt", "updatedAt"]
+
+
+def nested_dates(stored: DataFrame) -> DataFrame:
+    """(key, path, at) of every date in ``stored`` (key, value): what stands under one of ``DATES`` in the JSON text, at whatever depth and under
+    whatever names and places, null where it is no date. Texts that can't be parsed have none.
+
+    Texts are parsed once to variants, and these are exploded a level at a time while any has a level left.
+    """
+    level = stored.select("key", F.lit("$").alias("path"), F.try_parse_json("value").alias("v")).filter("v IS NOT NULL")
+    found = None
+    while found is None or not level.isEmpty():
+        inner = level.select("key", "path", "v").alias("l").lateralJoin(stored.sparkSession.tvf.variant_explode(F.col("l.v").outer()).toDF("pos", "name", "value"))
+        place = F.coalesce(F.concat(F.lit("."), "name"), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+        inner = inner.select("key", F.concat("path", place).alias("path"), "name", "value")
+        is_date = F.coalesce(F.col("name").isin(DATES), F.lit(False))
+        dates = inner.filter(is_date).select("key", "path", F.try_variant_get("value", "$", "string").try_cast("timestamp").alias("at"))
+        found = dates if found is None else found.unionByName(dates)
+        level = inner.filter(~is_date & F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)")).select("key", "path", F.col("value").alias("v"))
+    return found
+
+
 def stored_note() -> Column:
     """A row of notes as the struct that is stored."""
     return F.struct(

@@ -500,6 +500,36 @@ def test_a_change_copies_only_the_files_it_touches(spark, tmp_path):
     assert files.vacuum(2) > 0 and files.versions() == known[-2:] and files.read().count() == 601
 
 
+def test_kept_previews(spark, tmp_path):
+    notes = store.with_previews(_notes(spark, [("A", "a", "# one\nx", []), ("B", "b", "**two**", [])]))
+    patches = spark.createDataFrame([("B", ["title"], "t", "lost"), ("A", ["markdown_content"], None, "`three`")], "id string, set_mask array<string>, title string, markdown_content string")
+    changed = store.update_notes(notes, patches, moment())
+    assert {r.id: r.preview for r in changed.collect()} == {"A": "three", "B": "two"}
+    made = store.create_note(changed, "C", moment())
+    assert {r.id: r.preview for r in made.collect()}["C"] == "New note"
+    assert store.reselect(store.delete_notes(made, made), "A", "A", "new", moment()).first().preview == "New note"
+    files = NoteFiles(spark, str(tmp_path), buckets=2)
+    files.write(made)
+    listed = views.list_view(files.read(), moment(), "A")
+    assert [(r.id, r.preview, r.active) for r in listed.orderBy("position").collect()] == [("C", "New note", False), ("A", "three", True), ("B", "two", False)]
+    scan = listed._jdf.queryExecution().executedPlan().toString()
+    assert "preview" in scan and "markdown_content" not in scan
+
+
+def test_nested_dates(spark):
+    stored = [
+        ("a", '[{"id": 1, "createdAt": "2024-01-05T10:20:30.123Z", "x": {"y": [{"z": [[{"updatedAt": "2024-01-06T00:00:00Z"}]]}]}}]'),
+        ("b", '{"createdAt": {"updatedAt": "2024-01-06T00:00:00Z"}, "updatedAt": "no date", "createdat": "2024-01-06T00:00:00Z"}'),
+        ("c", "not json"), ("d", None), ("e", "[]"), ("f", '"2024-01-06T00:00:00Z"'), ("g", '{"k": {"createdAt": null}}'),
+    ]
+    got = codec.nested_dates(spark.createDataFrame(stored, "key string, value string")).collect()
+    assert sorted((r.key, r.path, r["at"] and str(r["at"])) for r in got) == [
+        ("a", "$[0].createdAt", "2024-01-05 10:20:30.123000"), ("a", "$[0].x.y[0].z[0][0].updatedAt", "2024-01-06 00:00:00"),
+        ("b", "$.createdAt", None), ("b", "$.updatedAt", None), ("g", "$.k.createdAt", None),
+    ]
+    assert codec.nested_dates(spark.createDataFrame([], "key string, value string")).count() == 0
+
+
 def test_versions_are_published_once(spark, tmp_path):
     files = NoteFiles(spark, str(tmp_path), buckets=2)
     with pytest.raises(FileNotFoundError):
