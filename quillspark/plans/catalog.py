@@ -13,7 +13,7 @@ from quillspark import schema
 from quillspark.functions import reltime, text
 from quillspark.operators import changelog, lookup, search, slots, store, views
 from quillspark.plans import notes as bind
-from quillspark.sources import codec
+from quillspark.sources import codec, json_array
 from quillspark.sources.note_files import NoteFiles
 from quillspark.sources.scratch import scratch_folder
 from quillspark.sources.search_index import SearchIndex
@@ -107,6 +107,14 @@ def json_nested_dates(spark, sf_dir):
     return codec.nested_dates(docs.select(F.col("doc_id").alias("key"), value.alias("value"))).select(F.col("key").alias("doc_id"), "path", F.unix_millis("at").alias("at_ms"))
 
 
+@_query(f"WITH {_NOTES} SELECT {_REPORT.replace('position', '0 AS position')} FROM n")
+def json_array_round_trip(spark, sf_dir):
+    """Every note written to JSON arrays and read again by ranges of their bytes."""
+    path = scratch_folder(spark)
+    json_array.write_items(bind.notes(spark, sf_dir).select(codec.stored_note().alias("n")), path)
+    return _report(codec.as_notes(json_array.read_array(spark, path, schema.STORED_NOTE).good.select(F.col("item").alias("n"), F.lit(0).alias("position"))))
+
+
 # ---- filters, lookups, lists ---------------------------------------------------------------
 
 

@@ -29,9 +29,14 @@ def encode(items: Column) -> Column:
 
 def decode_notes(stored: DataFrame) -> DataFrame:
     """(key, value) to one row for each note, with its place in the list as position."""
-    rows = stored.select("key", F.posexplode(decode(F.col("value"), STORED_NOTE)).alias("position", "n"))
+    return as_notes(stored.select("key", F.posexplode(decode(F.col("value"), STORED_NOTE)).alias("position", "n")))
+
+
+def as_notes(rows: DataFrame) -> DataFrame:
+    """Rows (n, position, ..) with a stored note each as rows of notes."""
+    others = [c for c in rows.columns if c not in ("n", "position")]
     return rows.select(
-        "key", F.col("n.id").alias("id"), F.col("n.title").alias("title"), F.col("n.markdownContent").alias("markdown_content"),
+        *others, F.col("n.id").alias("id"), F.col("n.title").alias("title"), F.col("n.markdownContent").alias("markdown_content"),
         F.col("n.folderId").alias("folder_id"), F.col("n.tags").alias("tags"), F.col("n.createdAt").alias("created_at"),
         F.col("n.updatedAt").alias("updated_at"), F.col("n.ownerId").alias("owner_id"), F.col("position").cast("bigint").alias("position"),
     )

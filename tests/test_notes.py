@@ -1,14 +1,16 @@
+import json
 import os
 import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark import schema
 from quillspark.functions import reltime, text
 from quillspark.operators import changelog, lookup, search, slots, store, views
-from quillspark.sources import codec, files
+from quillspark.sources import codec, files, json_array
 from quillspark.sources.note_files import NoteFiles
 from quillspark.sources.search_index import SearchIndex, grams
 from quillspark.streaming import changed, folds, note_state, status
@@ -516,6 +518,41 @@ def test_kept_previews(spark, tmp_path):
     assert "preview" in scan and "markdown_content" not in scan
 
 
+ITEM = "id string, n int, inner struct<a: string, b: array<struct<c: string>>>"
+
+
+@pytest.mark.parametrize("split", [64, 700, 1 << 20])
+def test_json_arrays_by_ranges_of_bytes(spark, tmp_path, split):
+    r = random.Random(split)
+    nasty = ['}', '{', '"', "\\", '\\"', "}},{", "[", "]", "é😀", "\n", "\\\\", "a" * 90, ",", ""]
+    items = [{"id": f"i{k}", "n": r.choice([k, None, "wrong"]), "inner": {"a": "".join(r.choice(nasty) for _ in range(r.randrange(6))), "b": [{"c": r.choice(nasty)} for _ in range(r.randrange(3))]}} for k in range(120)]
+    for name, text in (("a", json.dumps(items)), ("b", json.dumps(items[:40], indent=1, ensure_ascii=False)), ("c", "[]"), ("d", ""), ("e", json.dumps(items[3])), ("f", ",".join(map(json.dumps, items[:5])) + ",\n")):
+        (tmp_path / f"{name}.json").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        found = json_array.read_array(spark, str(tmp_path), T.StructType.fromDDL(ITEM))
+        if split == 64:
+            assert spark.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions() > 50
+        got = {}
+        for x in found.good.orderBy("position").collect():
+            got.setdefault(x.file[-6], []).append(x["item"].asDict(True))
+        assert found.broken.count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    stored = spark.createDataFrame([("a", json.dumps(items)), ("b", json.dumps(items[:40])), ("e", json.dumps(items[3])), ("f", json.dumps(items[:5]))], "key string, value string")
+    decoded = {x.key: [i.asDict(True) for i in x["items"]] for x in stored.select("key", codec.decode(F.col("value"), T.StructType.fromDDL(ITEM)).alias("items")).collect()}
+    assert got == decoded
+
+
+def test_broken_items_of_an_array(spark, tmp_path):
+    (tmp_path / "x.json").write_text('[{"id": "a"}, {"id": }, 5, {"id": "b"}, {"id": "cut')
+    (tmp_path / "y.json").write_text("not json")
+    found = json_array.read_array(spark, str(tmp_path), T.StructType.fromDDL(ITEM))
+    assert sorted(x["item"].id for x in found.good.collect()) == ["a"]
+    assert sorted(x.text for x in found.broken.collect()) == sorted(['{"id": }', '5, {"id": "b"}', '{"id": "cut', "not json"])
+
+
 def test_nested_dates(spark):
     stored = [
         ("a", '[{"id": 1, "createdAt": "2024-01-05T10:20:30.123Z", "x": {"y": [{"z": [[{"updatedAt": "2024-01-06T00:00:00Z"}]]}]}}]'),
