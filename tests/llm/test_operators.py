@@ -327,7 +327,24 @@ def test_sizes_and_calibration(spark):
 
 def test_pieces_of_long_texts():
     pieces = [bytes([k]) for k in range(100)]
-    assert compression.spread(pieces, 8)[::7] == [b"\0", b"c"] and len(compression.spread(pieces, 8)) == 8 and compression.spread(pieces[:5], 8) == pieces[:5]
+    firsts = [compression.drawn(d, pieces, 1)[0][0] for d in range(2000)]
+    assert set(firsts) == set(range(100)) and 40 < sum(firsts) / 2000 < 60
+    assert sorted(compression.drawn(7, pieces[:5], 8)) == pieces[:5] and compression.drawn(7, pieces, 3)[:1] == compression.drawn(7, pieces, 1)
+
+
+def test_training_reads_whole_texts(spark):
+    """What tells the classes apart stands anywhere in long texts, neither at their start nor at their end."""
+    r = random.Random(12)
+    rows = []
+    for k in range(240):
+        good = k % 2
+        same = _words(r, 900)
+        middle = " ".join(r.choice(["lucid prose here", "well formed clause"] if good else ["buy pills now", "click win cash"]) for _ in range(900))
+        rows.append((k, f"{same} {middle} {same[::-1]}", good))
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, q) for k, _, q in rows], "doc_id long, quality int")
+    held = [x for x in compression.score(docs, compression.train_on(docs, labels)).collect() if x.held_out]
+    assert sum(x.predicted == x.doc_id % 2 for x in held) > 0.95 * len(held)
 
 
 # 5 ------------------------------------------------------------------------------------------
