@@ -249,7 +249,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
     ids_crc32, doc_tokens, sequence_id, offset), and ids (null without ``with_ids``).
 
     Each id is in exactly one piece; a null or empty text is the id ``end_id`` alone, and a text
-    may have 2^29 ids. The ids are written once to the shared folder; the repeat counts are solved once, from the
+    may have 2^29 ids, as many as a value of 2^31 bytes holds; one with more fails the job. The ids are written once to the shared folder; the repeat counts are solved once, from the
     histogram of all rows, and each partition packs what it reads, in groups of at most
     ``group_tokens`` (or one document) that take their share of them. So nothing but counts is shuffled;
     sequence_ids hold the partition. Rows that repeat a doc_id are packed each. Other columns are

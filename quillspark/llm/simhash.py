@@ -106,7 +106,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, bucket: int = BUCKET) -
     null texts have fingerprint zero and link like any other. Equal fingerprints are one
     node, so a group of copies of any size costs one row in the search. Rows that repeat a
     doc_id each come back; a null doc_id never becomes a component_id unless all its group
-    are null. Other columns are ignored; no rows give no rows.
+    are null. Texts of any length count whole, a task holding the hashes of one at a time. Other columns are ignored; no rows give no rows.
     """
     prints = cut(fingerprints(docs, width))
     named = least_of_groups(prints, F.col("doc_id"), lambda nodes: near_links(nodes, bucket)).select("fp", F.col("least").alias("component_id"))

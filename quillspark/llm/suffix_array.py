@@ -186,7 +186,7 @@ def repeat_groups(docs: DataFrame, length: int = 256, group: int = 20_000) -> Da
 
     Repeats are maximal within the surroundings of an anchor, up to twice ``length``; a longer
     one shows as several that overlap. Those of a passage in more than ``group`` places are its
-    ``length`` bytes. Null and empty texts have none; no rows give no rows; other columns are ignored.
+    ``length`` bytes. Null and empty texts have none; rows with the same text are one; no rows give no rows; other columns are ignored.
     """
 
     def search(members: list[tuple]) -> Iterator[tuple]:
