@@ -27,7 +27,6 @@ def loaded(slots: DataFrame, sessions: DataFrame, notes: DataFrame) -> DataFrame
     that note's id; one that names no note any more stays as it is.
     """
     known = notes.select(F.col("id").alias("known")).distinct()
-    first = first_by_position(notes).select(F.col("id").alias("first"))
+    first = first_by_position(notes).select("id").scalar()
     named = sessions.join(slots, "session", "left").join(known, F.col("id") == F.col("known"), "left")
-    one = named.withColumn("one", F.lit(1)).join(first.withColumn("one", F.lit(1)), "one", "left")
-    return one.select("session", F.coalesce("known", "first").alias("current"), F.coalesce("id", "first").alias("id"))
+    return named.select("session", F.coalesce("known", first).alias("current"), F.coalesce("id", first).alias("id"))

@@ -17,7 +17,8 @@ from quillspark.sources import codec, json_array
 from quillspark.sources.note_files import NoteFiles
 from quillspark.sources.scratch import scratch_folder
 from quillspark.sources.search_index import SearchIndex
-from quillspark.streaming import changed, note_state, status
+from quillspark.streaming import changed, folds, note_state, status
+from quillspark.streaming.feed import Feed
 
 CURRENT = "17"
 STALE = "no-such-note"
@@ -470,6 +471,25 @@ def toast_expiry(spark, sf_dir):
     return found.select("list_id", "toast_id", "seq", F.unix_micros("expires").alias("expires_us"))
 
 
+@_query(f"""
+    WITH RECURSIVE {_TOASTS.replace("CASE WHEN kind = 'signup' THEN adds WHEN kind <> 'click' AND seq % 5 = 0 THEN NULL ELSE greatest(adds - seq % 2, 1) END AS id", "CASE kind WHEN 'signup' THEN adds WHEN 'click' THEN seq % 10 + 1 END AS id")}, {_STEPS},
+    l AS (SELECT *, max(adds) OVER (PARTITION BY list_id) AS last, max(ts) OVER (PARTITION BY list_id) AS seen FROM t),
+    g AS (SELECT list_id, last, seen, arg_max(value, (ts, seq)) FILTER (WHERE kind = 'signup' OR (kind = 'click' AND id = adds AND seq % 3 <> 0)) AS title,
+        arg_max(value, (ts, seq)) FILTER (WHERE kind = 'signup' OR (kind = 'click' AND id = adds AND seq % 2 <> 0)) AS description FROM l WHERE adds = last AND last > 0 GROUP BY ALL),
+    e AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY list_id, meant ORDER BY k DESC) = 1)
+    SELECT g.list_id, CAST(last AS VARCHAR) AS toast_id, title, 'd' || description AS description, NOT shut AS open
+    FROM g JOIN e ON g.list_id = e.list_id AND e.meant = last WHERE present AND NOT coalesce(timer <= greatest(epoch_us(seen), 1000 * (SELECT epoch_ms(max(ts) - INTERVAL 10 SECOND) FROM t)), false)""")
+def toast_feed(spark, sf_dir):
+    """The messages that lists show by the end of the log, as a subscriber gets them from the feed of a stream."""
+
+    def start(session, path):
+        shown = folds.toasts(bind.toast_stream(bind.event_stream(session, sf_dir)))
+        return shown.writeStream.outputMode("update").foreachBatch(Feed(session, f"{path}/feed", "list_id"))
+
+    news = Feed(spark, f"{_run_stream(spark, start)}/feed", "list_id").pull("reader")
+    return news.rows.filter("toast_id IS NOT NULL").select("list_id", "toast_id", "title", "description", "open")
+
+
 @_query(f"WITH {_TOASTS} SELECT list_id, CAST(max(adds) AS VARCHAR) AS toast_id, arg_max(value, (ts, seq)) AS title FROM t WHERE kind = 'signup' GROUP BY list_id")
 def toast_latest(spark, sf_dir):
     return changelog.latest_toast(bind.toast_events(spark, sf_dir))

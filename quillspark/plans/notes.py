@@ -102,22 +102,31 @@ def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits_of(table(spark, sf_dir, "events"))
 
 
+def _toast_log(events: DataFrame) -> DataFrame:
+    kind, value = _mapped(TOAST_TYPES), F.concat(F.lit("v"), F.col("event_id").cast("string"))
+    known = events.filter(F.col("event_type").isin(*TOAST_TYPES))
+    return known.select(F.col("user_id").cast("string").alias("list_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), kind.alias("type"), value.alias("value"))
+
+
+def _toast_rows(events: DataFrame, toast_id) -> DataFrame:
+    update, seq = F.col("type") == "UPDATE", F.col("seq")
+    return events.select(
+        "list_id", "ts", "seq", "type", toast_id.alias("toast_id"),
+        F.when(~(update & (seq % 3 == 0)), F.col("value")).alias("title"), F.when(~(update & (seq % 2 == 0)), F.concat(F.lit("d"), "value")).alias("description"),
+    )
+
+
 def toast_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adds get their ids by count. The others mean the message added last or the one before, or,
     but for updates, every fifth time any. Every third update gives no title and every second no description."""
-    kind, number = _mapped(TOAST_TYPES), F.col("event_id")
-    value = F.concat(F.lit("v"), number.cast("string"))
-    events = (
-        table(spark, sf_dir, "events")
-        .filter(F.col("event_type").isin(*TOAST_TYPES))
-        .select(F.col("user_id").cast("string").alias("list_id"), F.col("ts").cast("timestamp").alias("ts"), number.alias("seq"), kind.alias("type"), value.alias("value"))
-    )
     update, seq, adds = F.col("type") == "UPDATE", F.col("seq"), F.col("adds")
     meant = F.when(F.col("type") == "ADD", adds).when(~update & (seq % 5 == 0), F.lit(None)).otherwise(F.greatest(adds - seq % 2, F.lit(1)))
-    return changelog.numbered_adds(events).select(
-        "list_id", "ts", "seq", "type", changelog.toast_id(meant).alias("toast_id"),
-        F.when(~(update & (seq % 3 == 0)), F.col("value")).alias("title"), F.when(~(update & (seq % 2 == 0)), F.concat(F.lit("d"), "value")).alias("description"),
-    )
+    return _toast_rows(changelog.numbered_adds(_toast_log(table(spark, sf_dir, "events"))), changelog.toast_id(meant))
+
+
+def toast_stream(events: DataFrame) -> DataFrame:
+    """The same from a stream, but adds get their ids from the list, and all others but updates mean any message; updates mean one of the first ten."""
+    return _toast_rows(_toast_log(events), F.when(F.col("type") == "UPDATE", (F.col("seq") % 10 + 1).cast("string")))
 
 
 def marked_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

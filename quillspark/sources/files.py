@@ -14,10 +14,14 @@ from quillspark.sources import codec
 def write_collection(df: DataFrame, path: str) -> None:
     """Overwrite ``path``: written beside it first and then swapped, through Spark's own file
     systems. A failed write or swap leaves the old rows in place and is raised."""
-    spark = df.sparkSession
-    staged, old = f"{path}.staged-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    staged = f"{path}.staged-{uuid.uuid4().hex}"
     df.write.parquet(staged)
-    jvm = spark._jvm
+    put_in_place(df.sparkSession, staged, path)
+
+
+def put_in_place(spark: SparkSession, staged: str, path: str) -> None:
+    """What was written to ``staged`` takes the place of ``path``, which is missing between two renames; ``NoteFiles`` publishes by one."""
+    old, jvm = f"{path}.old-{uuid.uuid4().hex}", spark._jvm
     at = jvm.org.apache.hadoop.fs.Path
     fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(at(path)) and not fs.rename(at(path), at(old)):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.sources.codec import TO_JSON
+from quillspark.sources.files import put_in_place
 
 
 @dataclass(frozen=True)
@@ -71,3 +74,13 @@ def write_items(items: DataFrame, path: str) -> None:
     """``items`` (one struct column) as files of JSON objects with commas between them, which ``read_array`` reads again."""
     (column,) = items.columns
     items.select(F.to_json(column, TO_JSON).alias("value")).write.option("lineSep", ",\n").text(path)
+
+
+def rewrite(spark: SparkSession, path: str, item: T.StructType, change: Callable[[DataFrame], DataFrame], aside: str) -> None:
+    """Replace the collection at ``path`` by ``change(items)``, from and to one struct column ``item``. Broken items are added to ``aside``
+    (file, position, text) first, as the write would lose them. A failed write leaves the collection as it was."""
+    items = read_array(spark, path, item)
+    items.broken.write.mode("append").parquet(aside)
+    staged = f"{path}.staged-{uuid.uuid4().hex}"
+    write_items(change(items.good.select("item")), staged)
+    put_in_place(spark, staged, path)

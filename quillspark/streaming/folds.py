@@ -109,8 +109,8 @@ class ToastProcessor(StatefulProcessor):
     within a batch. A dismissal of an id starts the delay after which that message is removed, unless one
     is running for it; once it has ended, the next dismissal starts another. A removal comes before events of its own moment."""
 
-    def __init__(self, delay_ms: int):
-        self.delay_ms = delay_ms
+    def __init__(self, delay_us: int):
+        self.delay_us = delay_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -119,8 +119,8 @@ class ToastProcessor(StatefulProcessor):
         self.timers = handle.getMapState("timers", "toast_id string", "at bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
-        for event in sorted(rows, key=lambda e: (e.ts_ms, e.seq)):  # one batch's events of one list
-            self._remove_due(event.ts_ms)
+        for event in sorted(rows, key=lambda e: (e.ts_us, e.seq)):  # one batch's events of one list
+            self._remove_due(event.ts_us)
             self._apply(event)
         yield self._row(key)
 
@@ -133,7 +133,7 @@ class ToastProcessor(StatefulProcessor):
         held = tuple(self.message.get()) if self.message.exists() else None
         meant = held is not None and event.toast_id in (None, held[0])
         if event.type == "DISMISS" and (event.toast_id or held):
-            self._start_timer(event.toast_id or held[0], event.ts_ms)
+            self._start_timer(event.toast_id or held[0], event.ts_us)
         if not meant:
             return
         if event.type == "UPDATE" and event.toast_id is not None:
@@ -144,10 +144,10 @@ class ToastProcessor(StatefulProcessor):
         elif event.type == "REMOVE":
             self.message.clear()
 
-    def _start_timer(self, toast_id: str, ts_ms: int) -> None:
+    def _start_timer(self, toast_id: str, ts_us: int) -> None:
         if not self.timers.containsKey((toast_id,)):
-            self.timers.updateValue((toast_id,), (ts_ms + self.delay_ms,))
-            self.handle.registerTimer(ts_ms + self.delay_ms)
+            self.timers.updateValue((toast_id,), (ts_us + self.delay_us,))
+            self.handle.registerTimer(-(-(ts_us + self.delay_us) // 1000))
 
     def _remove_due(self, now: int) -> bool:
         """End the delays that are over, and remove their messages."""
@@ -159,7 +159,7 @@ class ToastProcessor(StatefulProcessor):
         return bool(due)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
-        if self._remove_due(expiredTimerInfo.getExpiryTimeInMs()):
+        if self._remove_due(expiredTimerInfo.getExpiryTimeInMs() * 1000):
             yield self._row(key)
 
     def _row(self, key: Any) -> Row:
@@ -173,8 +173,8 @@ class ToastProcessor(StatefulProcessor):
 def toasts(events: DataFrame, lateness: str = "10 seconds", delay_ms: int = 1_000_000) -> DataFrame:
     """(list_id, toast_id, title, description, open) after each batch that touches a list; nulls once the message is gone."""
     return (
-        events.withColumn("ts_ms", F.unix_millis("ts"))
+        events.withColumn("ts_us", F.unix_micros("ts"))
         .withWatermark("ts", lateness)
         .groupBy("list_id")
-        .transformWithState(ToastProcessor(delay_ms), "list_id string, toast_id string, title string, description string, open boolean", "Update", "EventTime")
+        .transformWithState(ToastProcessor(delay_ms * 1000), "list_id string, toast_id string, title string, description string, open boolean", "Update", "EventTime")
     )

@@ -553,6 +553,19 @@ def test_broken_items_of_an_array(spark, tmp_path):
     assert sorted(x.text for x in found.broken.collect()) == sorted(['{"id": }', '5, {"id": "b"}', '{"id": "cut', "not json"])
 
 
+def test_a_rewrite_sets_broken_items_aside(spark, tmp_path):
+    (tmp_path / "notes").mkdir()
+    (tmp_path / "notes/x.json").write_text('[{"id": "a", "n": 1}, {"id": }, {"id": "b"}]')
+    path, aside, item = str(tmp_path / "notes"), str(tmp_path / "aside"), T.StructType.fromDDL("id string, n int")
+    json_array.rewrite(spark, path, item, lambda items: items.filter("item.id <> 'b'").select(F.struct("item.id", (F.col("item.n") + 1).alias("n")).alias("item")), aside)
+    assert [tuple(x["item"]) for x in json_array.read_array(spark, path, item).good.collect()] == [("a", 2)]
+    assert [x.text for x in spark.read.parquet(aside).collect()] == ['{"id": }']
+    with pytest.raises(Exception, match="zero"):
+        json_array.rewrite(spark, path, item, lambda items: items.select(F.struct("item.id", F.expr("1 div (item.n - 2)").alias("n")).alias("item")), aside)
+    assert [tuple(x["item"]) for x in json_array.read_array(spark, path, item).good.collect()] == [("a", 2)]
+    assert sorted(p.name.split(".")[0] for p in tmp_path.iterdir() if "staged" not in p.name) == ["aside", "notes"]
+
+
 def test_nested_dates(spark):
     stored = [
         ("a", '[{"id": 1, "createdAt": "2024-01-05T10:20:30.123Z", "x": {"y": [{"z": [[{"updatedAt": "2024-01-06T00:00:00Z"}]]}]}}]'),
