@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quillspark.operators import changelog
+from quillspark.operators.changelog import ID_WRAP
 
 _log = logging.getLogger(__name__)
 
@@ -128,7 +129,7 @@ class ToastProcessor(StatefulProcessor):
         if event.type == "ADD":
             n = (self.adds.get()[0] if self.adds.exists() else 0) + 1
             self.adds.update((n,))
-            self.message.update((event.toast_id or str(n % changelog.ID_WRAP), event.title, event.description, True))
+            self.message.update((event.toast_id or str(n % ID_WRAP), event.title, event.description, True))
             return
         held = tuple(self.message.get()) if self.message.exists() else None
         meant = held is not None and event.toast_id in (None, held[0])
