@@ -24,6 +24,10 @@ LONG = 4096
 #: Words that a task remembers.
 REMEMBERED = 400_000
 CODES = 0x110000
+#: The pattern of words where pieces may reach over anything.
+WHOLE = "(?s:.+)"
+#: Characters that are split into words, and ids that are written out, at once.
+PART = 1 << 20
 #: Pairs are looked up in a table of so many bits of their hashes.
 SLOT_BITS = 19
 
@@ -91,7 +95,7 @@ def _words(inner: set[int]) -> str:
     """A pattern of words that no piece reaches over: spaces, marks and then other characters, each if there are any."""
     sides = [(chr(x >> 21), chr(x & 0x1FFFFF)) for x in inner]
     if any(b == SPACE != a for a, b in sides):
-        return "(?s:.+)"
+        return WHOLE
     marks = {chr(c) for c in range(128) if not chr(c).isalnum()}
     while mixed := {b for a, b in sides if a != SPACE and a not in marks and b in marks}:
         marks -= mixed
@@ -109,6 +113,8 @@ class Encoder:
         self.symbols = np.arange(vocabulary.size, vocabulary.size + CODES, dtype=np.int32)
         self.symbols[list(vocabulary.chars)] = list(vocabulary.chars.values())
         self.split = re.compile(vocabulary.words).findall
+        # where every piece ends before the space, texts may be cut there
+        self.edge = None if vocabulary.words == WHOLE else re.compile(f"(?<!{SPACE}){SPACE}")
         self.known: dict[str, int] = {}  # the number of each word
         self.ids, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)  # the ids of all words, and where each word's begin
         self.slots = np.full(1 << SLOT_BITS, -1, np.int32)  # a place of ``pairs`` for each hash
@@ -116,7 +122,41 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each has."""
-        split = [self.split(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        ids, counts = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64)
+        held, owners, size = [], [], 0
+
+        def flush() -> None:
+            found, n = self._encode_parts(held)
+            ids.append(found)
+            np.add.at(counts, owners, n)
+            held.clear()
+            owners.clear()
+
+        for k, text in enumerate(texts):
+            for part in self._parts(text):
+                held.append(part)
+                owners.append(k)
+                size += len(part)
+                if size >= PART:
+                    flush()
+                    size = 0
+        if held:
+            flush()
+        return np.concatenate(ids), counts
+
+    def _parts(self, text: str) -> Iterator[str]:
+        """A text as the model sees it, in parts of about ``PART`` characters that begin with the space before a word."""
+        if not text:
+            return
+        text = SPACE + text.replace(" ", SPACE)
+        at = 0
+        while self.edge is not None and len(text) - at > PART and (found := self.edge.search(text, at + PART)):
+            yield text[at : found.start()]
+            at = found.start()
+        yield text[at:] if at else text
+
+    def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        split = [self.split(part) for part in parts]
         if len(self.known) > REMEMBERED:
             self.known, self.ids, self.first = {}, self.ids[:0], self.first[:1]
         if new := list(set(chain.from_iterable(split)).difference(self.known)):
@@ -298,10 +338,8 @@ class Decoder:
         """The text of each run of ``ids`` up to the next of ``ends``, in UTF-8."""
         if len(ids) and (ids.min() < 0 or ids.max() >= self.v.size):
             raise ValueError("an id outside the vocabulary")
-        lengths = self.lengths[ids]
-        upto = np.concatenate(([0], np.cumsum(lengths)))
-        places = np.arange(upto[-1]) + np.repeat(self.starts[ids] - upto[:-1], lengths)
-        data = self.data[places].tobytes()
+        upto = np.concatenate(([0], np.cumsum(self.lengths[ids])))
+        data = b"".join(self._written(ids[k : k + PART]) for k in range(0, len(ids), PART))
         out = []
         for a, b in zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist(), strict=True):
             text = data[upto[a] : upto[b]]
@@ -317,6 +355,11 @@ class Decoder:
             out.append(text)
         return out
 
+    def _written(self, ids: np.ndarray) -> bytes:
+        lengths = self.lengths[ids]
+        upto = np.concatenate(([0], np.cumsum(lengths)))
+        return self.data[np.arange(upto[-1]) + np.repeat(self.starts[ids] - upto[:-1], lengths)].tobytes()
+
 
 def mended(data: bytes) -> bytes:
     """With U+FFFD for each byte that is no part of a character."""
@@ -345,8 +388,8 @@ def encode_texts(docs: DataFrame, model: str) -> DataFrame:
     without begin or end ids.
 
     A null or empty text has no ids. Rows are encoded one by one, repeated or not, with null doc_ids or not; other columns
-    are ignored; no rows give no rows. A text of any length is encoded whole: words are at most cut where no piece reaches over,
-    and words of over ``LONG`` symbols merge in n log n time. The arrays of the model, some megabytes
+    are ignored; no rows give no rows. A text of any length is encoded whole: it is at most cut where no piece reaches over, so that memory
+    doesn't grow with it, and words of over ``LONG`` symbols merge in n log n time. The arrays of the model, some megabytes
     whatever the corpus, are read on the driver and broadcast.
     """
     sent = sent_out(docs, model)
@@ -373,8 +416,10 @@ def decode_ids(rows: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(Vocabulary(*sent.value))
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            upto, at = np.cumsum(whole.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), 0
+            while at < whole.num_rows:  # rows of about PART ids together
+                stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PART, "right")))
+                batch, at = whole.slice(at, stop - at), stop
                 ids = batch.column(1)
                 counts = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
                 flat = ids.flatten()

@@ -82,6 +82,17 @@ def test_long_words_by_queue(library, coders):
     assert _encoded(coders[0], texts) == library.encode(texts)
 
 
+def test_texts_in_parts(library, vocabulary, monkeypatch):
+    monkeypatch.setattr(pieces, "PART", 5)
+    encoder, decoder = pieces.Encoder(vocabulary), pieces.Decoder(vocabulary)
+    r = random.Random(5)
+    texts = ["".join(r.choice("abc thé   ▁\n.") for _ in range(r.randrange(60))) for _ in range(200)] + ["x" * 40, "", " " * 30]
+    got = _encoded(encoder, texts)
+    assert got == library.encode(texts)
+    flat = np.array([i for ids in got for i in ids], np.int32)
+    assert [t.decode() for t in decoder.decode(flat, np.cumsum([len(ids) for ids in got]))] == library.decode(got)
+
+
 def test_words_are_forgotten(library, vocabulary, monkeypatch):
     monkeypatch.setattr(pieces, "REMEMBERED", 3)
     encoder = pieces.Encoder(vocabulary)
