@@ -156,6 +156,24 @@ def test_sessions(spark):
     assert sorted((r.saved.timestamp() * 1000, r.edits) for r in found.collect()) == [(2099, 3), (3800, 1)]
 
 
+def test_sessions_over_pieces(spark):
+    """Sessions that span many pieces of time, ties, an event exactly one gap later, null keys and times."""
+    r = random.Random(13)
+    rows, at = [], datetime(2024, 4, 6, 12)
+    for seq in range(500):
+        at += timedelta(minutes=r.choice([0, 1, 20, 29, 30, 31, 90]))
+        rows.append((r.choice(["hot", "hot", "hot", None]), None if r.random() < 0.02 else at, seq, "x"))
+    edits = spark.createDataFrame(rows, "note_id string, ts timestamp, seq long, value string")
+    expected = []
+    for key in ("hot", None):
+        times = sorted(t for k, t, *_ in rows if k == key and t)
+        runs = [[times[0]]]
+        for before, t in zip(times, times[1:], strict=False):
+            runs.append([t]) if t > before + timedelta(minutes=30) else runs[-1].append(t)
+        expected += [(key, x[0], x[-1] + timedelta(minutes=30), len(x)) for x in runs]
+    assert sorted(map(tuple, changelog.save_sessions(edits, "30 minutes").collect()), key=repr) == sorted(expected, key=repr)
+
+
 def test_toasts(spark):
     events = spark.createDataFrame(TOASTS, TOAST_DDL)
     assert [tuple(r) for r in changelog.fold_toasts(events).collect()] == [("l", "2", "new", "text", False)]
