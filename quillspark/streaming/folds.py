@@ -107,7 +107,7 @@ class NoteTable:
 
 class ToastProcessor(StatefulProcessor):
     """One message for each list: adds, updates, dismissals and removals, by id or of any, in the order of their moments
-    within a batch. A dismissal of an id starts the delay after which that message is removed, unless one
+    within a batch, for which state is read and written once. A dismissal of an id starts the delay after which that message is removed, unless one
     is running for it; once it has ended, the next dismissal starts another. A removal comes before events of its own moment."""
 
     def __init__(self, delay_us: int):
@@ -119,52 +119,70 @@ class ToastProcessor(StatefulProcessor):
         self.adds = handle.getValueState("adds", "n bigint")
         self.timers = handle.getMapState("timers", "toast_id string", "at bigint")
 
+    def _read(self) -> None:
+        """What is kept of the list, once for all that a batch does to it."""
+        self.held, self.count = self.message.get(), (self.adds.get() or (0,))[0]
+        self.running = {toast_id: at for (toast_id,), (at,) in self.timers.iterator()}
+        self.before = self.held, self.count, dict(self.running)
+
+    def _keep(self) -> None:
+        """What has changed since it was read; a delay that is over by now never gets a timer."""
+        held, count, running = self.before
+        if self.held != held:
+            self.message.clear() if self.held is None else self.message.update(self.held)
+        if self.count != count:
+            self.adds.update((self.count,))
+        for toast_id, at in self.running.items():
+            if running.get(toast_id) != at:
+                self.timers.updateValue((toast_id,), (at,))
+                self.handle.registerTimer(-(-at // 1000))
+        for toast_id in running.keys() - self.running.keys():
+            self.timers.removeKey((toast_id,))
+
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        self._read()
         for event in sorted(rows, key=lambda e: (e.ts_us, e.seq)):  # one batch's events of one list
             self._remove_due(event.ts_us)
             self._apply(event)
+        self._keep()
         yield self._row(key)
 
     def _apply(self, event: Any) -> None:
         if event.type == "ADD":
-            n = (self.adds.get()[0] if self.adds.exists() else 0) + 1
-            self.adds.update((n,))
-            self.message.update((event.toast_id or str(n % ID_WRAP), event.title, event.description, True))
+            self.count += 1
+            self.held = (event.toast_id or str(self.count % ID_WRAP), event.title, event.description, True)
             return
-        held = tuple(self.message.get()) if self.message.exists() else None
+        held = self.held
         meant = held is not None and event.toast_id in (None, held[0])
         if event.type == "DISMISS" and (event.toast_id or held):
-            self._start_timer(event.toast_id or held[0], event.ts_us)
+            self.running.setdefault(event.toast_id or held[0], event.ts_us + self.delay_us)
         if not meant:
             return
         if event.type == "UPDATE" and event.toast_id is not None:
             new = [old if given is None else given for old, given in zip(held[1:3], (event.title, event.description), strict=True)]
-            self.message.update((held[0], *new, held[3]))
+            self.held = (held[0], *new, held[3])
         elif event.type == "DISMISS":
-            self.message.update((*held[:3], False))
+            self.held = (*held[:3], False)
         elif event.type == "REMOVE":
-            self.message.clear()
-
-    def _start_timer(self, toast_id: str, ts_us: int) -> None:
-        if not self.timers.containsKey((toast_id,)):
-            self.timers.updateValue((toast_id,), (ts_us + self.delay_us,))
-            self.handle.registerTimer(-(-(ts_us + self.delay_us) // 1000))
+            self.held = None
 
     def _remove_due(self, now: int) -> bool:
         """End the delays that are over, and remove their messages."""
-        due = [toast_id for (toast_id,), (at,) in self.timers.iterator() if at <= now]
+        due = [toast_id for toast_id, at in self.running.items() if at <= now]
         for toast_id in due:
-            self.timers.removeKey((toast_id,))
-            if self.message.exists() and self.message.get()[0] == toast_id:
-                self.message.clear()
+            del self.running[toast_id]
+            if self.held is not None and self.held[0] == toast_id:
+                self.held = None
         return bool(due)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
+        self._read()
         if self._remove_due(expiredTimerInfo.getExpiryTimeInMs() * 1000):
+            self._keep()
             yield self._row(key)
 
     def _row(self, key: Any) -> Row:
-        held = tuple(self.message.get()) if self.message.exists() else (None,) * 4
+        held = self.held or (None,) * 4
         return Row(list_id=key[0], toast_id=held[0], title=held[1], description=held[2], open=held[3])
 
     def close(self) -> None:

@@ -1,9 +1,10 @@
 import json
 import os
 import random
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -741,3 +742,86 @@ def test_running_values_over_pieces(spark, zone, kind):
         assert sorted((x.seq, x.adds) for x in lists.collect()) == sorted(numbered)
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+class _Held:
+    """A state variable in memory that counts how often it is asked."""
+
+    def __init__(self, calls, many=False):
+        self.calls, self.value = calls, [] if many else None
+
+    def __getattr__(self, name):
+        def called(*args):
+            self.calls.append(name)
+            if name in ("update", "put"):
+                self.value = args[0]
+            elif name in ("appendList",):
+                self.value = [*self.value, *args[0]]
+            elif name == "clear":
+                self.value = None
+            elif name == "iterator":
+                return iter(())
+            return list(self.value) if isinstance(self.value, list) else self.value
+
+        return called
+
+
+class _Handle:
+    def __init__(self):
+        self.calls, self.states = [], {}
+
+    def getListState(self, name, schema):  # noqa: N802
+        return self.states.setdefault(name, _Held(self.calls, True))
+
+    def getValueState(self, name, *schemas):  # noqa: N802
+        return self.states.setdefault(name, _Held(self.calls))
+
+    getMapState = getValueState  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls.append("registerTimer")
+
+    deleteTimer = registerTimer  # noqa: N815
+
+
+class _Time:
+    def __init__(self, watermark):
+        self.watermark = watermark
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.watermark
+
+
+def test_a_batch_asks_the_state_of_a_list_once():
+    """Each call goes to the JVM and back, so their number mustn't grow with the events of a batch."""
+    asked = []
+    for n in (10, 1000):
+        processor, handle = folds.ToastProcessor(10**9), _Handle()
+        processor.init(handle)
+        events = [Row(list_id="l", ts_us=k, seq=k, type=("ADD", "UPDATE", "DISMISS")[k % 3], toast_id=None, title=f"t{k}", description=None) for k in range(n)]
+        assert len(list(processor.handleInputRows(("l",), iter(events), _Time(0)))) == 1
+        asked.append([c for c in handle.calls if c not in ("updateValue", "registerTimer")])
+        assert handle.calls.count("updateValue") == handle.calls.count("registerTimer") == n // 3
+    assert asked[0] == asked[1]
+
+
+@pytest.mark.parametrize("kind", ["edits", "editor"])
+def test_a_batch_waits_in_few_entries(kind):
+    """A thousand events are one entry of a key's list, and a batch that has nothing due doesn't read it; then all come out in order."""
+    processor, handle = changed.ChangedProcessor() if kind == "edits" else status.StatusProcessor(1), _Handle()
+    processor.init(handle)
+
+    def rows(moments):
+        fields = [{"ts_us": t * 1000, "seq": t, "value": f"v{t}"} if kind == "edits" else {"ts_us": t * 1000, "seq": t, "note_id": "n", "edit": True} for t in moments]
+        return iter([Row(key="k", ts=datetime.fromtimestamp(t / 1000, UTC), event=json.dumps(e)) for t, e in zip(moments, fields, strict=True)])
+
+    for part in (range(2000, 1000, -1), range(1000, 0, -1)):
+        assert not list(processor.handleInputRows(("k",), rows(part), _Time(0)))
+    assert len(handle.states["waiting"].value) == 2 and handle.calls.count("appendList") == 2
+    assert len(handle.calls) <= 10 and handle.states["timer"].value == (1,)
+    found = list(processor.handleExpiredTimer(("k",), _Time(1500), None))
+    assert [r.seq for r in found if kind == "edits" or r.status == "saving"] == list(range(1, 1501))
+    assert len(handle.states["waiting"].value) == 1 and handle.states["timer"].value == (1501,)
+    late = list(processor.handleInputRows(("k",), rows([2001]), _Time(2001)))
+    assert [r.seq for r in late if kind == "edits" or r.status == "saving"] == list(range(1501, 2002))
+    assert handle.states["waiting"].value is None
