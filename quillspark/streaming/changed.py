@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
-from quillspark.streaming.in_order import InOrder
+from quillspark.streaming.in_order import InOrder, packed
 
 
 class ChangedProcessor(InOrder):
     """One note: an edit comes out if its value differs from the one before. The last value is kept; with ``keep_us`` only that long after its
     edit, so that notes which nobody edits any more cost nothing, and the first edit after that time counts as a change."""
 
-    EVENT = "ts_us bigint, seq bigint, value string"
+    EVENT = ("ts_us", "seq", "value")
 
     def __init__(self, keep_us: int | None = None):
         self.keep_us = keep_us
@@ -26,7 +26,8 @@ class ChangedProcessor(InOrder):
         self.kept = handle.getValueState("last", "at bigint, value string")
 
     def begin(self) -> None:
-        self.last = tuple(self.kept.get()) if self.kept.exists() else None
+        held = self.kept.get()
+        self.last = None if held is None else tuple(held)
 
     def take(self, key: Any, event: tuple) -> Iterator[Row]:
         at, seq, value = event
@@ -51,7 +52,8 @@ class ChangedProcessor(InOrder):
 def changed_edits(edits: DataFrame, lateness: str = "10 seconds", keep_ms: int | None = None) -> DataFrame:
     """A stream of ``edits`` (note_id, ts, seq, value) to those whose value differs from the one before in the same note, as
     ``changelog.changed_edits`` has them, each once the watermark has passed it."""
-    plain = edits.withWatermark("ts", lateness).select(F.col("note_id").cast("string").alias("note_id"), "ts", F.unix_micros("ts").alias("ts_us"), "seq", "value")
+    known = edits.withWatermark("ts", lateness).withColumn("ts_us", F.unix_micros("ts"))
+    plain = known.select(F.col("note_id").cast("string").alias("note_id"), "ts", packed(*ChangedProcessor.EVENT))
     processor = ChangedProcessor(None if keep_ms is None else keep_ms * 1000)
     out = plain.groupBy("note_id").transformWithState(processor, "note_id string, ts_us bigint, seq bigint, value string", "Append", "EventTime")
     return out.select("note_id", F.timestamp_micros("ts_us").alias("ts"), "seq", "value")

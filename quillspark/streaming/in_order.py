@@ -2,28 +2,43 @@
 
 from __future__ import annotations
 
+import json
 from abc import abstractmethod
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from datetime import UTC, datetime, timedelta
 from typing import Any
 
-from pyspark.sql import Row
+from pyspark.sql import Column, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+#: Events that wait in one entry of a key's list.
+ENTRY = 1000
+
+_EPOCH, _MICROSECOND = datetime(1970, 1, 1, tzinfo=UTC), timedelta(microseconds=1)
+
+
+def packed(*fields: str) -> Column:
+    """The fields of an event as one column ``event``, since a row reaches Python value by value and moments take longest."""
+    return F.to_json(F.struct(*fields)).alias("event")
+
 
 class InOrder(StatefulProcessor):
-    """Events wait in state until the watermark has passed their moment, and are then taken by (ts_us, seq), of which each row
-    has both first.
+    """Events wait in state until the watermark has passed their moment, and are then taken by (ts_us, seq), their first two fields. A row
+    has its moment ``ts`` and its fields as ``packed`` makes them.
 
+    What a batch brings of a key waits as JSON, up to ``ENTRY`` events in one entry of the list, since each entry is turned from Python
+    to Java and back by itself, which takes far longer than the event. A batch that has nothing due for a key doesn't read what waits.
     A key has one timer, for the first moment at which something may happen: it is deleted and set again
     when that moment changes.
     """
 
-    #: Types of the fields of an event.
-    EVENT: str
+    #: Names of the fields of an event: numbers, texts and booleans.
+    EVENT: tuple[str, ...]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.EVENT)
+        self.waiting = handle.getListState("waiting", "events string")
         self.timer = handle.getValueState("timer", "at bigint")
 
     @abstractmethod
@@ -43,39 +58,61 @@ class InOrder(StatefulProcessor):
         """Keep what the next batch needs; the next moment at which time alone makes something happen."""
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
-        names = [part.split()[0] for part in self.EVENT.split(", ")]
-        self.waiting.appendList([tuple(e[name] for name in names) for e in rows])
-        return self._settle(key, timerValues.getCurrentWatermarkInMs() * 1000)
+        moments, new = zip(*((ts, event) for *_, ts, event in rows), strict=True)
+        watermark, set_at = timerValues.getCurrentWatermarkInMs(), self._set_at()
+        first = _first(moments, new)
+        if first > watermark * 1000 and (set_at is None or set_at > watermark):
+            self.waiting.appendList(_entries(new))
+            at = -(-first // 1000)
+            self._wake(set_at, at if set_at is None else min(at, set_at))
+            return
+        yield from self._settle(key, new, watermark * 1000, set_at)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
-        return self._settle(key, timerValues.getCurrentWatermarkInMs() * 1000)
+        yield from self._settle(key, (), timerValues.getCurrentWatermarkInMs() * 1000, self._set_at())
 
-    def _settle(self, key: Any, upto: int) -> Iterator[Row]:
-        waiting = sorted(map(tuple, self.waiting.get()), key=lambda e: e[:2]) if self.waiting.exists() else []
+    def _set_at(self) -> int | None:
+        held = self.timer.get()
+        return None if held is None else held[0]
+
+    def _settle(self, key: Any, new: Sequence[str], upto: int, set_at: int | None) -> Iterator[Row]:
+        held = [entry for (entry,) in self.waiting.get()]
+        whole = json.loads("[" + ",".join([*(entry[1:-1] for entry in held), *new]) + "]")
+        waiting = sorted((tuple([e.get(name) for name in self.EVENT]) for e in whole), key=lambda e: e[:2])
         done = sum(e[0] <= upto for e in waiting)
         self.begin()
         for event in waiting[:done]:
             yield from self.take(key, event)
         yield from self.pass_time(key, upto)
         left = waiting[done:]
-        if done and left:
-            self.waiting.put(left)
-        elif done:
+        if left and (done or new):
+            self.waiting.put(_entries([json.dumps(dict(zip(self.EVENT, e, strict=True))) for e in left]))
+        elif held and not left:
             self.waiting.clear()
         due = self.end()
-        self._wake([e[0] for e in left[:1]] + [due for _ in (1,) if due is not None])
+        moments = [e[0] for e in left[:1]] + [due for _ in (1,) if due is not None]
+        self._wake(set_at, -(-min(moments) // 1000) if moments else None)
 
-    def _wake(self, moments: list[int]) -> None:
-        at = -(-min(moments) // 1000) if moments else None
-        set_at = self.timer.get()[0] if self.timer.exists() else None
+    def _wake(self, set_at: int | None, at: int | None) -> None:
         if at == set_at:
             return
         if set_at is not None:
             self.handle.deleteTimer(set_at)
+        if at is None:
             self.timer.clear()
-        if at is not None:
+        else:
             self.timer.update((at,))
             self.handle.registerTimer(at)
 
     def close(self) -> None:
         pass
+
+
+def _first(moments: Sequence[datetime], events: Sequence[str]) -> int:
+    if moments[0].tzinfo is None:  # moments without zone say nothing; the events have them in microseconds
+        return min(json.loads(event)["ts_us"] for event in events)
+    return (min(moments) - _EPOCH) // _MICROSECOND
+
+
+def _entries(events: Sequence[str]) -> list[tuple[str]]:
+    return [("[" + ",".join(events[k : k + ENTRY]) + "]",) for k in range(0, len(events), ENTRY)]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
-from quillspark.streaming.in_order import InOrder
+from quillspark.streaming.in_order import InOrder, packed
 
 _OUT = "session string, note_id string, status string, at_us bigint, seq bigint"
 
@@ -22,7 +22,7 @@ class StatusProcessor(InOrder):
     """One session's editor. An edit sets the pending save to ``gap_us`` after it, in place of one that was pending; opening
     another note drops it."""
 
-    EVENT = "ts_us bigint, seq bigint, note_id string, edit boolean"
+    EVENT = ("ts_us", "seq", "note_id", "edit")
 
     def __init__(self, gap_us: int):
         self.gap_us = gap_us
@@ -32,7 +32,7 @@ class StatusProcessor(InOrder):
         self.kept = handle.getValueState("editor", "opened string, at bigint, seq bigint")
 
     def begin(self) -> None:
-        self.opened, *pending = tuple(self.kept.get()) if self.kept.exists() else (None, None, None)
+        self.opened, *pending = self.kept.get() or (None, None, None)
         self.pending = tuple(pending) if pending[0] is not None else None
 
     def take(self, key: Any, event: tuple) -> Iterator[Row]:
@@ -60,6 +60,6 @@ def statuses(events: DataFrame, gap_ms: int = 800, lateness: str = "10 seconds")
     """A stream of ``events`` (session, ts, seq, note_id, edit) to (session, note_id, status, at, seq), as ``changelog.save_statuses`` has them,
     each once the watermark has reached its moment."""
     known = events.withWatermark("ts", lateness).filter("note_id IS NOT NULL")
-    plain = known.select(F.col("session").cast("string").alias("session"), "ts", F.unix_micros("ts").alias("ts_us"), "seq", "note_id", "edit")
+    plain = known.withColumn("ts_us", F.unix_micros("ts")).select(F.col("session").cast("string").alias("session"), "ts", packed(*StatusProcessor.EVENT))
     out = plain.groupBy("session").transformWithState(StatusProcessor(gap_ms * 1000), _OUT, "Append", "EventTime")
     return out.select("session", "note_id", "status", F.timestamp_micros("at_us").alias("at"), "seq")
