@@ -35,7 +35,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word Jaccard 0.8 or more) the document with the smallest doc_id; see the module for ties and nulls."""
+    """Of each group of near copies (five-word Jaccard 0.8 or more) the document with the smallest doc_id: SimHash by multi-index hashing brings
+    up candidates, which whole sets confirm, and an exact search joins what lies too far apart for it. See the module for ties and nulls."""
     return near_sets.one_of_each_group(docs)
 
 

@@ -14,7 +14,7 @@ from quillspark.llm.anchors import gram_hashes
 from quillspark.llm.cluster import batched, cut, free, rows_of
 from quillspark.llm.columns import joined_apart
 from quillspark.llm.components import connected_components
-from quillspark.llm.simhash import SEED, keep_least, least_of_groups, matching, row_key
+from quillspark.llm.simhash import SEED, keep_least, least_of_groups, majority, matching, row_key
 from quillspark.llm.suffix_trees import word_hashes
 
 WIDTH = 5
@@ -25,6 +25,11 @@ LISTS = 64
 #: Sets and shingles in one block of a candidate group; blocks are compared two by two.
 BLOCK_SETS = 512
 BLOCK_GRAMS = 1 << 20
+#: SimHashes of 64 bits in segments of 16, looked up with one bit changed: all within 7 bits meet, most of those within ``APART`` too.
+SEGMENTS = 4
+APART = 13
+#: SimHashes in one segment bucket that are compared one by one; larger ones are compared with their smallest only.
+BUCKET = 1000
 
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -84,14 +89,15 @@ def _prefixes(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(fp, grams) of every row."""
-    schema = pa.schema([("fp", pa.int64()), ("grams", pa.list_(pa.int64()))])
+    """(fp, grams, sim) of every row; ``sim`` is the SimHash of the shingles."""
+    schema = pa.schema([("fp", pa.int64()), ("grams", pa.list_(pa.int64())), ("sim", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = (shingles(text or b"", width) for (text,) in rows_of(batches))
-        return batched(((_name(grams), grams.view(np.int64)) for grams in found), schema, lambda row: 8 * len(row[1]) + 16)
+        rows = ((_name(grams), grams.view(np.int64), int(np.uint64(majority(grams)).astype(np.int64))) for grams in found)
+        return batched(rows, schema, lambda row: 8 * len(row[1]) + 24)
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "fp bigint, grams array<bigint>")
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "fp bigint, grams array<bigint>, sim bigint")
 
 
 def _able(docs: DataFrame, width: int) -> DataFrame:
@@ -102,11 +108,11 @@ def _able(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, prints: DataFrame, able: DataFrame, width: int) -> DataFrame:
-    """(fp, grams): each of the sets ``able`` once, from one row that has it."""
+    """(fp, grams, sim): each of the sets ``able`` once, from one row that has it."""
     chosen = prints.join(able, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "t0", "t1")).alias("k")).select("k.*")
     whole = docs.select(F.col("text").alias("row"), *row_key())
     found = _sets(matching(whole, cut(chosen), "left_semi").select(F.col("row").alias("text")), width)
-    return found.groupBy("fp").agg(F.first("grams").alias("grams"))
+    return found.groupBy("fp").agg(F.first("grams").alias("grams"), F.first("sim").alias("sim"))
 
 
 def _entries(sets: DataFrame) -> DataFrame:
@@ -136,6 +142,42 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(OF * shared >= SHARE * (F.size("grams_a") + F.size("grams_b") - shared)).select("a", "b")
 
 
+def simhash_links(sets: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Links (a, b) of near sets that their SimHashes bring up by multi-index hashing, each confirmed on the whole sets.
+
+    A table has each SimHash under each of its segments. The members of a bucket are first compared with its smallest, so
+    that a large group costs a pair a member; then each looks up its segments and those one bit off for SimHashes
+    of other groups. Sets of 0.8 in common may lie further apart than any segment shows, so :func:`near_links` goes on from these groups.
+    """
+    prints = cut(sets.select("fp", "sim"))
+    segment = [F.shiftrightunsigned("sim", 16 * k).bitwiseAND(0xFFFF).cast("int") for k in range(SEGMENTS)]
+
+    def keyed(rows: DataFrame, radius: int) -> DataFrame:
+        keys = [F.struct(F.lit(k).alias("seg"), key.alias("key")) for k, own in enumerate(segment) for key in (own, *(own.bitwiseXOR(F.lit(1 << bit)) for bit in range(16 * radius)))]
+        return rows.withColumn("e", F.explode(F.array(*keys))).select(*rows.columns, "e.seg", "e.key")
+
+    def close(a: str, b: str) -> Column:
+        return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= APART
+
+    own = keyed(prints, 0).withColumn("at", F.col("seg") * 65536 + F.col("key"))
+    sizes = own.groupBy("at").agg(F.count("*").alias("m"), F.min(F.struct("fp", "sim")).alias("head")).filter("m > 1")
+    stars = joined_apart(own, sizes, "at").filter("head.fp < fp").filter(close("sim", "head.sim")).select(F.col("head.fp").alias("a"), F.col("fp").alias("b"))
+    links = cut(_near(stars.distinct(), sets))
+    labelled = cut(_labelled(prints, links))
+    table = keyed(labelled, 0).toDF("fp_t", "sim_t", "label_t", "seg", "key")
+    hot = cut(sizes.filter(F.col("m") > bucket).select(F.floor(F.col("at") / 65536).cast("int").alias("seg"), (F.col("at") % 65536).alias("key")))
+    if not hot.isEmpty():
+        table = table.join(F.broadcast(hot), ["seg", "key"], "left_anti")
+    met = keyed(labelled, 1).join(table, ["seg", "key"]).filter("fp < fp_t AND label <> label_t").filter(close("sim", "sim_t"))
+    return links.unionByName(_near(met.select(F.col("fp").alias("a"), F.col("fp_t").alias("b")).distinct(), sets))
+
+
+def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` (fp, ..) with ``label``, the smallest set that each reaches over ``links``."""
+    groups = connected_components(links).withColumnRenamed("node", "fp")
+    return joined_apart(rows, groups, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
 def near_pairs(grams: list[np.ndarray], sides: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs (i, j) that join all near sets of the list; with ``sides`` those of two different sides only.
 
@@ -170,7 +212,8 @@ def near_links(
 ) -> DataFrame:
     """Links (a, b) that join all near sets of ``prints``, the names of the texts of ``docs``.
 
-    Exact, in steps that only leave out what can't be near or is joined already: sets whose smallest shingles no
+    SimHash brings up candidates first (:func:`simhash_links`). What it joins is not looked at again; all other sets are, so
+    that no link is lost. Exact, in steps that only leave out what can't be near or is joined already: sets whose smallest shingles no
     other set shares; shingles of one set alone; with a set's shingles from the rarest on, all behind the first
     n - 0.8 n + 1; and pairs whose places of a shingle leave too little. Each shingle's sets are first compared with the
     smallest of them. Where the rest of a list still has two groups, lists of at most ``lists`` sets give their pairs of different
@@ -180,16 +223,18 @@ def near_links(
     free(docs.sparkSession)
     sets = cut(_sets_of(docs, prints, able, width))
     free(docs.sparkSession)
-    entries = cut(_entries(sets))
+    met = cut(simhash_links(sets))
+    free(docs.sparkSession)
+    entries = cut(_labelled(_entries(sets), met))
     free(docs.sparkSession)
-    heads = entries.groupBy("g").agg(F.min(F.struct("fp", "n", "at")).alias("head"), F.max("fp").alias("z")).filter("head.fp < z").select("g", "head")
+    heads = entries.groupBy("g").agg(F.min(F.struct("fp", "n", "at", "label")).alias("head"), F.max("fp").alias("z")).filter("head.fp < z").select("g", "head")
     listed = joined_apart(entries, heads, "g").filter("head.fp < fp")
     able_to = _may_be_near(F.col("n"), F.col("at"), F.col("head.n"), F.col("head.at"))
-    links = cut(_near(listed.filter(able_to).select(F.col("head.fp").alias("a"), F.col("fp").alias("b")).distinct(), sets))
+    stars = listed.filter(able_to & (F.col("label") != F.col("head.label"))).select(F.col("head.fp").alias("a"), F.col("fp").alias("b"))
+    links = cut(met.unionByName(_near(stars.distinct(), sets)))
     free(docs.sparkSession)
 
-    groups = connected_components(links).withColumnRenamed("node", "fp")
-    grouped = joined_apart(listed.select("fp", "n", "g", "at"), groups, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    grouped = _labelled(listed.select("fp", "n", "g", "at"), links)
     apart = grouped.groupBy("g").agg(F.count("*").alias("m"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("g", "m")
     rest = cut(joined_apart(grouped, apart, "g"))
     x, y = (rest.filter(F.col("m") <= lists).select("g", *(F.col(c).alias(f"{c}_{side}") for c in ("fp", "n", "at", "label"))) for side in "xy")

@@ -33,7 +33,12 @@ def fingerprint(text: bytes, width: int = WIDTH) -> int:
         shingles = map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))
         n = len(words) - width + 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), "<u8", n)
+    return majority(np.fromiter((digest(s, SEED) for s in shingles), "<u8", n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits of which each is 1 if it is set in over half of ``hashes``; without any 0."""
+    n, hashes = len(hashes), hashes.astype("<u8", copy=False)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)

@@ -69,6 +69,23 @@ def test_stage_by_brute_force(spark, rows, lists, sets, grams):
     assert len(found) == len(set(found)) and set(found) == _kept(rows)
 
 
+@pytest.mark.parametrize("bucket", [near_sets.BUCKET, 1])
+def test_simhash_brings_up_near_copies(spark, bucket):
+    """Every link is of near sets; nearly all copies with an edit or two are found, whatever the exact search would add."""
+    r = random.Random(5)
+    bases = [[f"w{r.randrange(5000)}" for _ in range(200)] for _ in range(40)]
+    texts = [_edited(r, base, e) for base in bases for e in (0, 1, 2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    names = {near_sets._name(near_sets.shingles(t.encode())): k for k, t in enumerate(texts)}
+    sets = near_sets._sets(docs.select("text"), near_sets.WIDTH)
+    links = [(names[x.a], names[x.b]) for x in near_sets.simhash_links(sets, bucket).collect()]
+    for a, b in links:
+        s, t = _shingles(texts[a]), _shingles(texts[b])
+        assert 5 * len(s & t) >= 4 * len(s | t)
+    joined = {k for link in links for k in link}
+    assert len(joined) >= (0.9 if bucket > 1 else 0.5) * len(texts)
+
+
 def test_chain_of_texts(spark):
     """Each text shares most of its phrases with the next, but not enough to be near; then enough."""
     for step, kept in ((10, 150), (4, 1)):
