@@ -13,7 +13,7 @@ from quillspark.functions import reltime, text
 from quillspark.operators import changelog, lookup, search, slots, store, views
 from quillspark.sources import codec, files, json_array
 from quillspark.sources.note_files import NoteFiles
-from quillspark.sources.search_index import SearchIndex, grams
+from quillspark.sources.search_index import SearchIndex, code, codes, grams
 from quillspark.streaming import changed, folds, note_state, status
 from quillspark.streaming.feed import Feed
 
@@ -659,6 +659,23 @@ def test_grams(spark):
     assert {r.k: r.g and sorted(r.g) for r in got} == {0: [], 1: [], 2: ["abc"], 3: ["abc", "bca", "cab"], 4: sorted(["😀é中", "é中x"]), 5: None}
 
 
+def test_trigrams_are_numbers(spark, indexed):
+    """The same trigrams as ``grams`` has, by numpy; counts and postings are as a plain count has them, and grams are found by number."""
+    files, index = indexed
+    for text in ("", "ab", "abc", "abcabc", "\U0001f600\u00e9\u4e2dx", "\U0010ffff" * 4):
+        assert codes(text).tolist() == sorted({code(text[k : k + 3]) for k in range(len(text) - 2)})
+    held = {}
+    for note in files.read().collect():
+        whole = "\n".join(x for x in (note.title, note.markdown_content, *(note.tags or [])) if x is not None).lower()
+        for k in range(len(whole) - 2):
+            held.setdefault(code(whole[k : k + 3]), set()).add(note.id)
+    n = files.read().count()
+    counts = {r.gram: (r.n, r.common) for r in spark.read.parquet(f"{index.path}/counts").collect()}
+    assert counts == {g: (len(ids), len(ids) > 0.05 * n) for g, ids in held.items()}
+    postings = sorted((r.gram, r.id) for r in spark.read.parquet(f"{index.path}/postings").collect())
+    assert postings == sorted((g, i) for g, ids in held.items() if len(ids) <= 0.05 * n for i in ids)
+
+
 def test_streams(spark, tmp_path):
     def stream(df, ddl, name):
         df.coalesce(1).write.parquet(str(tmp_path / name))
