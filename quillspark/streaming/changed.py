@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
-from quillspark.streaming.in_order import InOrder, packed
+from quillspark.streaming.in_order import InOrder, taken
 
 
 class ChangedProcessor(InOrder):
@@ -23,11 +23,12 @@ class ChangedProcessor(InOrder):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.kept = handle.getValueState("last", "at bigint, value string")
+        self.kept = handle.getValueState("last", "at bigint, value string, upto bigint")
 
-    def begin(self) -> None:
-        held = self.kept.get()
-        self.last = None if held is None else tuple(held)
+    def begin(self) -> int | None:
+        *last, upto = self.kept.get() or (None, None, None)
+        self.last = tuple(last) if last[0] is not None else None
+        return upto
 
     def take(self, key: Any, event: tuple) -> Iterator[Row]:
         at, seq, value = event
@@ -41,19 +42,17 @@ class ChangedProcessor(InOrder):
             self.last = None
         return iter(())
 
-    def end(self) -> int | None:
+    def end(self, upto: int) -> int | None:
         if self.last is None:
             self.kept.clear()
             return None
-        self.kept.update(self.last)
+        self.kept.update((*self.last, upto))
         return None if self.keep_us is None else self.last[0] + self.keep_us
 
 
 def changed_edits(edits: DataFrame, lateness: str = "10 seconds", keep_ms: int | None = None) -> DataFrame:
     """A stream of ``edits`` (note_id, ts, seq, value) to those whose value differs from the one before in the same note, as
     ``changelog.changed_edits`` has them, each once the watermark has passed it."""
-    known = edits.withWatermark("ts", lateness).withColumn("ts_us", F.unix_micros("ts"))
-    plain = known.select(F.col("note_id").cast("string").alias("note_id"), "ts", packed(*ChangedProcessor.EVENT))
     processor = ChangedProcessor(None if keep_ms is None else keep_ms * 1000)
-    out = plain.groupBy("note_id").transformWithState(processor, "note_id string, ts_us bigint, seq bigint, value string", "Append", "EventTime")
+    out = taken(edits, "note_id", lateness, processor, ts_us="bigint", seq="bigint", value="string")
     return out.select("note_id", F.timestamp_micros("ts_us").alias("ts"), "seq", "value")

@@ -9,9 +9,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
-from quillspark.streaming.in_order import InOrder, packed
-
-_OUT = "session string, note_id string, status string, at_us bigint, seq bigint"
+from quillspark.streaming.in_order import InOrder, taken
 
 
 def _shown(key: Any, note_id: str, status: str, at: int, seq: int) -> Row:
@@ -29,11 +27,12 @@ class StatusProcessor(InOrder):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.kept = handle.getValueState("editor", "opened string, at bigint, seq bigint")
+        self.kept = handle.getValueState("editor", "opened string, at bigint, seq bigint, upto bigint")
 
-    def begin(self) -> None:
-        self.opened, *pending = self.kept.get() or (None, None, None)
+    def begin(self) -> int | None:
+        self.opened, *pending, upto = self.kept.get() or (None, None, None, None)
         self.pending = tuple(pending) if pending[0] is not None else None
+        return upto
 
     def take(self, key: Any, event: tuple) -> Iterator[Row]:
         at, seq, note_id, edit = event
@@ -50,16 +49,15 @@ class StatusProcessor(InOrder):
             yield _shown(key, self.opened, "saved", *self.pending)
             self.pending = None
 
-    def end(self) -> int | None:
+    def end(self, upto: int) -> int | None:
         if self.opened is not None:
-            self.kept.update((self.opened, *(self.pending or (None, None))))
+            self.kept.update((self.opened, *(self.pending or (None, None)), upto))
         return self.pending[0] if self.pending else None
 
 
 def statuses(events: DataFrame, gap_ms: int = 800, lateness: str = "10 seconds") -> DataFrame:
     """A stream of ``events`` (session, ts, seq, note_id, edit) to (session, note_id, status, at, seq), as ``changelog.save_statuses`` has them,
     each once the watermark has reached its moment."""
-    known = events.withWatermark("ts", lateness).filter("note_id IS NOT NULL")
-    plain = known.withColumn("ts_us", F.unix_micros("ts")).select(F.col("session").cast("string").alias("session"), "ts", packed(*StatusProcessor.EVENT))
-    out = plain.groupBy("session").transformWithState(StatusProcessor(gap_ms * 1000), _OUT, "Append", "EventTime")
+    known, processor = events.filter("note_id IS NOT NULL"), StatusProcessor(gap_ms * 1000)
+    out = taken(known, "session", lateness, processor, note_id="string", status="string", at_us="bigint", seq="bigint")
     return out.select("session", "note_id", "status", F.timestamp_micros("at_us").alias("at"), "seq")

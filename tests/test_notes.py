@@ -3,6 +3,7 @@ import os
 import random
 from datetime import UTC, datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from quillspark.operators import changelog, lookup, search, slots, store, views
 from quillspark.sources import codec, files, json_array
 from quillspark.sources.note_files import NoteFiles
 from quillspark.sources.search_index import SearchIndex, code, codes, grams
-from quillspark.streaming import changed, folds, note_state, status
+from quillspark.streaming import changed, folds, in_order, note_state, status
 from quillspark.streaming.feed import Feed
 
 
@@ -842,3 +843,58 @@ def test_a_batch_waits_in_few_entries(kind):
     late = list(processor.handleInputRows(("k",), rows([2001]), _Time(2001)))
     assert [r.seq for r in late if kind == "edits" or r.status == "saving"] == list(range(1501, 2002))
     assert handle.states["waiting"].value is None
+
+
+def test_events_of_a_key_come_in_few_rows(monkeypatch):
+    """A row takes Python longer than the events in it. Those of a key lie in one row whatever the order, but at most a thousand of them."""
+    keys = [None if k % 10 == 3 else "hot" if k % 2 else f"k{k % 10}" for k in range(6000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[a:b]), pa.array(range(a, b)), pa.array([f'{{"seq":{k}}}' for k in range(a, b)])], ["session", "ts_us", "event"]) for a, b in ((0, 2500), (2500, 2500), (2500, 6000))]
+    for limit, most in ((10**9, 9), (1, 18)):
+        monkeypatch.setattr(in_order, "BUFFER", limit)
+        rows = [row for batch in in_order._parts(iter(batches)) for row in batch.to_pylist()]
+        assert len(rows) <= most
+        seen = {}
+        for row in rows:
+            events = [e["seq"] for e in json.loads("[" + row["event"] + "]")]
+            assert len(events) <= 1000 and (row["first_us"], row["last_us"]) == (min(events), max(events))
+            seen.setdefault(row["session"], []).extend(events)
+        assert seen == {key: [k for k, name in enumerate(keys) if name == key] for key in set(keys)}
+    assert not list(in_order._parts(iter(batches[1:2])))
+
+
+def _joined_rows(*parts):
+    """Rows as they reach the processor of editors: each with several events."""
+    events = [[json.dumps({"ts_us": t * 1000, "seq": t, "note_id": "n", "edit": True}) for t in part] for part in parts]
+    return iter([Row(session="k", ts=datetime.fromtimestamp(max(p) / 1000, UTC), first_us=min(p) * 1000, event=",".join(e)) for p, e in zip(parts, events, strict=True)])
+
+
+def test_an_expired_timer_asks_little_of_the_state():
+    """Each call goes to the JVM and back. What comes out is one row; Spark itself deletes the timer."""
+    processor, handle = in_order._InLists(status.StatusProcessor(10_000), "session"), _Handle()
+    processor.init(handle)
+    assert not list(processor.handleInputRows(("k",), _joined_rows(range(20, 1000, 20), range(1000, 2000, 20)), _Time(0)))
+    assert len(handle.states["waiting"].value) == 1 and handle.states["timer"].value == (20,)
+    handle.calls.clear()
+    (row,) = processor.handleExpiredTimer(("k",), _Time(3000), None)
+    assert row.session == "k" and row.status == ["saving", "saved"] * 99 and row.seq == [t for t in range(20, 2000, 20) for _ in (1, 2)]
+    assert sorted(handle.calls) == ["clear", "clear", "get", "get", "update"]
+
+
+def test_an_event_that_comes_with_later_ones_after_its_moment_was_passed(spark, tmp_path):
+    """It is dropped, as it would be by itself; one whose key has nothing passed yet, or only earlier moments, is taken."""
+    rows = [[("a", _at(1000), 0, "n", True), ("z", _at(60_000), 1, "n", False)], [("y", _at(60_000), 2, "n", False)],
+        [("a", _at(5000), 3, "m", True), ("a", _at(70_000), 4, "n", True), ("b", _at(5000), 5, "n", True), ("b", _at(70_000), 6, "n", True)], [("z", _at(3_600_000), 7, "n", False)]]
+    for zone in ("UTC", "America/New_York"):
+        before = spark.conf.get("spark.sql.session.timeZone")
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            at = tmp_path / zone.replace("/", "-")
+            out = status.statuses(_stream(spark, at, rows, STATUS_DDL))
+            _finish(out.writeStream.outputMode("append").format("parquet").option("path", str(at / "rows")), at)
+            shown = spark.read.parquet(str(at / "rows")).collect()
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", before)
+        assert sorted((x.session, x.note_id, x.status, round(x["at"].timestamp() * 1000), x.seq) for x in shown) == [
+            ("a", "n", "saved", 1800, 0), ("a", "n", "saved", 70_800, 4), ("a", "n", "saving", 1000, 0), ("a", "n", "saving", 70_000, 4),
+            ("b", "n", "saved", 5800, 5), ("b", "n", "saved", 70_800, 6), ("b", "n", "saving", 5000, 5), ("b", "n", "saving", 70_000, 6),
+        ]
